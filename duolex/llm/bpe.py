@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import kept, table
 
 #: UTF-8 bytes of text that are indexed together, and words kept in a worker.
-BLOCK_BYTES, KEPT_WORDS = 4 << 20, 400_000
+BLOCK_BYTES, KEPT_WORDS = 4 << 20, 800_000
 #: White space as the vocabulary's own pattern library has it.
 WHITE_POINTS = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 WHITE = "".join(map(chr, WHITE_POINTS))
@@ -63,8 +63,8 @@ class WordBpe:
             self.rank[self.vocab[a] << 20 | self.vocab[b]] = r
             self.pair.append((self.vocab[a], self.vocab[b]))
             self.made.append(self.vocab[a + b])
-        self.letter = [self.vocab.get(c, -1) for c in byte_letters()]
-        self.last = [self.vocab.get(c + self.suffix, -1) for c in byte_letters()]
+        self.letter = np.array([self.vocab.get(c, -1) for c in byte_letters()], np.int64)
+        self.last = np.array([self.vocab.get(c + self.suffix, -1) for c in byte_letters()], np.int64)
         self.done: dict[str, list[int]] = {}
 
     def split(self, text: str) -> list[str | int]:
@@ -86,30 +86,31 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode the given new words by the pair occurrence index."""
-        sym: list[int] = []
-        ends: list[tuple[str, int, int]] = []
-        nxt: list[int] = []
-        for w in words:
-            raw = w.encode()
-            begin = len(sym)
-            sym += [self.letter[b] for b in raw[:-1]]
-            sym.append(self.last[raw[-1]])
-            if min(sym[begin:]) < 0:  # a letter that the vocabulary lacks is left out
-                sym[begin:] = [s for s in sym[begin:] if s >= 0]
-            nxt += range(begin + 1, len(sym) + 1)
-            if len(sym) > begin:
-                nxt[-1] = -1
-            ends.append((w, begin, len(sym)))
-        prv = [-1] * len(sym)
-        where: dict[int, list[int]] = {}
+        names = list(words)
+        raw = [w.encode() for w in names]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        octets = np.frombuffer(b"".join(raw), np.uint8)
+        stop = np.cumsum(lens)
+        symbols = self.letter[octets]
+        symbols[stop - 1] = self.last[octets[stop - 1]]
+        if len(symbols) and symbols.min() < 0:  # a letter that the vocabulary lacks is left out
+            has = symbols >= 0
+            lens = np.add.reduceat(has, stop - lens, dtype=np.int64)
+            symbols, stop = symbols[has], np.cumsum(lens)
+        start, full = stop - lens, lens > 0
+        after, ahead = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        after[stop[full] - 1], ahead[start[full]] = -1, -1
         rank, made, pair = self.rank, self.made, self.pair
-        for i, j in enumerate(nxt):
-            if j >= 0:
-                prv[j] = i
-                r = rank.get(sym[i] << 20 | sym[j])
-                if r is not None:
-                    where.setdefault(r, []).append(i)
-        active = list(where)
+        # the index: positions of each pair that has a rank, in ascending order
+        left = np.flatnonzero(after >= 0)
+        keys, of = np.unique(symbols[left] << 20 | symbols[left + 1], return_inverse=True)
+        ranks = np.array([rank.get(k, -1) for k in keys.tolist()], np.int64)
+        order = np.argsort(of, kind="stable")
+        ends = np.cumsum(np.bincount(of, minlength=len(keys)))
+        spots_of = np.split(left[order], ends[:-1]) if len(keys) else []
+        where: dict[int, list[int]] = {r: x.tolist() for r, x in zip(ranks.tolist(), spots_of, strict=True) if r >= 0}
+        sym, nxt, prv = symbols.tolist(), after.tolist(), ahead.tolist()
+        find, active = rank.get, list(where)
         heapq.heapify(active)
         while active:
             r = heapq.heappop(active)
@@ -119,23 +120,30 @@ class WordBpe:
                 j = nxt[i]
                 if sym[i] != a or j < 0 or sym[j] != b:
                     continue
-                k, h, lower = nxt[j], prv[i], False
+                k, h = nxt[j], prv[i]
                 sym[i], sym[j], nxt[i] = new, -1, k
-                for left, q in ((h, rank.get(sym[h] << 20 | new) if h >= 0 else None), (i, rank.get(new << 20 | sym[k]) if k >= 0 else None)):
-                    if q is not None:
+                lower = False
+                if h >= 0 and (q := find(sym[h] << 20 | new)) is not None:
+                    if q in where:
+                        where[q].append(h)
+                    else:
+                        where[q] = [h]
+                        heapq.heappush(active, q)
+                    lower = q < r
+                if k >= 0:
+                    prv[k] = i
+                    if (q := find(new << 20 | sym[k])) is not None:
                         if q in where:
-                            where[q].append(left)
+                            where[q].append(i)
                         else:
-                            where[q] = [left]
+                            where[q] = [i]
                             heapq.heappush(active, q)
                         lower |= q < r
-                if k >= 0:
-                    prv[k] = i
                 if lower:  # what this made comes first in its word: the rest of this rank waits
                     where[r] = [*where.get(r, []), *spots[n + 1 :]]
                     heapq.heappush(active, r)
                     break
-        for w, begin, end in ends:
+        for w, begin, end in zip(names, start.tolist(), stop.tolist(), strict=True):
             self.done[w] = [s for s in sym[begin:end] if s >= 0]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
