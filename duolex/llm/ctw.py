@@ -7,7 +7,7 @@ its own estimate with the product of its children's, each with weight one half.
 context: the posterior that the tree ends there. The probability of a bit mixes the estimates along the path of its context
 by these weights; a path ends where a context wasn't seen in training.
 
-How it is spread: texts are dealt to blocks of about BLOCK bytes. A block sends its distinct (context, byte) grams and words
+How it is spread: successive texts of a task make blocks of about BLOCK bytes. A block sends its distinct (context, byte) grams and words
 with their training counts, packed, to buckets by the last two bytes of context (words: by hash). A bucket holds the distinct
 grams of some contexts of two bytes; it builds their trees from depth 2 down and sends up what depth 1 and 0 need: sums for at
 most 256 * 255 nodes, the only thing that the driver sees. A bucket then answers each block with the log probabilities of
@@ -22,16 +22,18 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import body, crc_fold, cut, pack_sorted, squeeze, table, unpack_sorted, unsqueeze
 
 #: UTF-8 bytes of a block, positions worked on at once, grams of a bucket (on average, at most), bytes of context.
-BLOCK, SLICE, BUCKET, DEPTH = 8 << 20, 1 << 20, 1 << 17, 6
+BLOCK, SLICE, BUCKET, DEPTH = 16 << 20, 1 << 20, 1 << 17, 6
 END = b"\n"
 
 
@@ -75,6 +77,34 @@ def gram_bucket(keys: np.ndarray, buckets: int, depth: int) -> np.ndarray:
     return ((last_two * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
 
 
+def by_bucket(u: np.ndarray, buckets: int, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, positions) of ascending keys; positions ascend."""
+    b = gram_bucket(u, buckets, depth)
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))).tolist()
+    return [(int(b[i]), order[i:j]) for i, j in zip(cuts, [*cuts[1:], len(b)], strict=True)]
+
+
+def words_by_bucket(words: list[list[bytes]], buckets: int) -> list[tuple[int, list[bytes]]]:
+    """(bucket, distinct words) of some texts, the end token among them, in the order of their first place."""
+    parts: dict[int, list[bytes]] = {}
+    for w in dict.fromkeys(chain.from_iterable([*words, [END]])):
+        parts.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    return list(parts.items())
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return squeeze(np.frombuffer(sink.getvalue(), np.uint8))
+
+
+def unpacked(b: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(unsqueeze(b, np.uint8).tobytes()).read_next_batch()
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
     lg = np.vectorize(math.lgamma, otypes=[float])
@@ -156,48 +186,46 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
         raise ValueError("depth must be 3 to 7")
     rows = docs.select("doc_id", body("text").alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.length("t") + 1)).first()[0] or 0
-    blocks = max(1, -(-size // block))
     buckets = max(32, -(-size // (16 * BUCKET)))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks))).repartition(blocks, "block")
 
-    def ask(key, pdf: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        words = [tokens_of(t) for t in pdf.t]
-        learn = pdf.train.to_numpy(bool)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            part = np.cumsum([len(t) + 1 for t in texts]) // block
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j > i:
+                    yield asked_by(batch.slice(i, j - i), texts[i:j])
+
+    def asked_by(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        own = packed(batch.select([0, 1]))
+        name = zlib.crc32(own) << 31 ^ zlib.adler32(own)
+        words, learn = [tokens_of(t) for t in texts], np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
         seen, count = [], []
         for g, of in slices(words, depth):
             yes = learn[of]
-            if yes.any():
-                u, n = np.unique(g[yes], return_counts=True)
-                seen.append(u), count.append(n)
-            if not yes.all():
-                u = np.unique(g[~yes])
-                seen.append(u), count.append(np.zeros(len(u), np.int64))
-            if len(seen) > 16:
+            for some, w in ((g[yes], 1), (g[~yes], 0)):
+                if len(some):
+                    u, n = np.unique(some, return_counts=True)
+                    seen.append(u), count.append(n * w)
+            if len(seen) > 8:
                 u, n = summed(np.concatenate(seen), np.concatenate(count))
                 seen, count = [u], [n]
         u, n = summed(np.concatenate(seen), np.concatenate(count))
-        out = []
-        b = gram_bucket(u, buckets, depth)
-        order = np.argsort(b, kind="stable")
-        u, n, b = u[order], n[order], b[order]
-        cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))).tolist()
-        for i, j in zip(cuts, [*cuts[1:], len(b)], strict=True):
-            out.append((int(b[i]), 0, key[0], pack_sorted(u[i:j]), squeeze(n[i:j])))
+        out = [(-1, 2, name, own, b"")]
+        for b, at in by_bucket(u, buckets, depth):
+            out.append((b, 0, name, pack_sorted(u[at]), squeeze(n[at])))
         vocabulary: Counter = Counter()
-        for w, yes in zip(words, learn, strict=True):
+        for w, yes in zip(words, learn.tolist(), strict=True):
             if yes:
                 vocabulary.update(w)
-            else:
-                vocabulary.update(dict.fromkeys(w, 0))
         vocabulary[END] = int(learn.sum())
-        parts: dict[int, list[bytes]] = {}
-        for w in vocabulary:
-            parts.setdefault(zlib.crc32(w) % buckets, []).append(w)
-        for i, ws in parts.items():
-            out.append((buckets + i, 1, key[0], squeeze(np.frombuffer(b" ".join(ws), np.uint8)), squeeze(np.array([vocabulary[w] for w in ws], np.int64))))
-        return pd.DataFrame(out, columns=["bucket", "kind", "block", "keys", "counts"])
+        for b, ws in words_by_bucket(words, buckets):
+            out.append((buckets + b, 1, name, squeeze(np.frombuffer(b" ".join(ws), np.uint8)), squeeze(np.array([vocabulary[w] for w in ws], np.int64))))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "block", "keys", "counts"])
 
-    asked = cut(dealt.groupBy("block").applyInPandas(ask, "bucket bigint, kind int, block bigint, keys binary, counts binary"))
+    everything = cut(rows.mapInArrow(ask, "bucket bigint, kind int, block bigint, keys binary, counts binary"))
+    asked = everything.filter("kind < 2")
 
     def all_grams(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         u, n = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -230,37 +258,43 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
     root = Level(*summed(one.keys & np.uint64(255), one.n0, one.n1), below=one) if len(one.keys) else one
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf.bucket.iloc[0])
         out = []
         if pdf.kind.iloc[0]:
             c = all_words(pdf)
-            for block, keys in zip(pdf.block, pdf["keys"], strict=True):
-                ws = unsqueeze(keys, np.uint8).tobytes().split(b" ")
-                out.append((block, 1, keys, squeeze(np.array([c[w] for w in ws], np.int64))))
+            for name, keys in zip(pdf.block, pdf["keys"], strict=True):
+                out.append((name, bucket, squeeze(np.array([c[w] for w in unsqueeze(keys, np.uint8).tobytes().split(b" ")], np.int64))))
         else:
             u, n = all_grams(pdf)
-            p = log10_probability(u, [root, one, *reversed(tree(u, n, depth, 2))], depth)
-            for block, keys in zip(pdf.block, pdf["keys"], strict=True):
-                out.append((block, 0, keys, squeeze(p[np.searchsorted(u, unpack_sorted(keys))])))
-        return pd.DataFrame(out, columns=["block", "kind", "keys", "given"])
-
-    answers = asked.groupBy("bucket").applyInPandas(answer, "block bigint, kind int, keys binary, given binary")
-
-    def scored(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        words = [tokens_of(t) for t in docs.t]
-        k, p = [], []
+            p = log10_probability(u, [root, one, *reversed(tree(u, n, depth, 2))], depth).astype(np.float32)
+            for name, keys in zip(pdf.block, pdf["keys"], strict=True):
+                out.append((name, bucket, squeeze(p[np.searchsorted(u, unpack_sorted(keys))])))
+        return pd.DataFrame(out, columns=["block", "bucket", "given"])
+
+    answers = asked.groupBy("bucket").applyInPandas(answer, "block bigint, bucket bigint, given binary")
+
+    def scored(key, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+        given = dict(zip(got.bucket, got.given, strict=True))
+        return pd.concat([scored_block(unpacked(x), given) for x in own["keys"]], ignore_index=True)
+
+    def scored_block(docs: pa.RecordBatch, given: dict[int, bytes]) -> pd.DataFrame:
+        words = [tokens_of(t) for t in docs.column(1).to_pylist()]
+        seen: list[np.ndarray] = []
+        for g, _ in slices(words, depth):
+            seen.append(np.unique(g))
+            if len(seen) > 8:
+                seen = [np.unique(np.concatenate(seen))]
+        k = np.unique(np.concatenate(seen))
+        p = np.empty(len(k))
+        for b, at in by_bucket(k, buckets, depth):
+            p[at] = unsqueeze(given[b], np.float32)
         index: dict[bytes, int] = {}
         counts = []
-        for kind, keys, given in zip(got.kind, got["keys"], got.given, strict=True):
-            if kind:
-                for w in unsqueeze(keys, np.uint8).tobytes().split(b" "):
-                    index[w] = len(index)
-                counts.append(unsqueeze(given, np.int64))
-            else:
-                k.append(unpack_sorted(keys))
-                p.append(unsqueeze(given, np.float64))
-        k, p, c = np.concatenate(k), np.concatenate(p), np.concatenate(counts)
-        order = np.argsort(k)
-        k, p, log_c = k[order], p[order], np.log10(c + 1.0)
+        for b, ws in words_by_bucket(words, buckets):
+            index.update(zip(ws, range(len(index), len(index) + len(ws)), strict=True))
+            counts.append(unsqueeze(given[buckets + b], np.int64))
+        c = np.concatenate(counts)
+        log_c = np.log10(c + 1.0)
         total, n_bytes = np.zeros(len(words)), np.zeros(len(words), np.int64)
         for g, of in slices(words, depth):
             first = of[0]
@@ -273,10 +307,11 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
             logs[i] = log_c[x].sum() + log_c[index[END]]
             known[i] = (c[x] > 0).sum() + (c[index[END]] > 0)
         base = logs - n_tokens * math.log10(n_train + v_train + 1)
-        return pd.DataFrame({"doc_id": docs.doc_id, "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": total, "n_bytes": n_bytes, "bits_per_byte": -total / math.log10(2) / n_bytes})
+        return pd.DataFrame({"doc_id": docs.column(0).to_pandas(), "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": total, "n_bytes": n_bytes, "bits_per_byte": -total / math.log10(2) / n_bytes})
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
+    texts = everything.filter("kind = 2").select("block", "keys")
+    got = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
     return got.withColumns({"train_tokens": F.lit(n_train).cast("bigint"), "vocabulary": F.lit(v_train).cast("bigint")})
 
 
