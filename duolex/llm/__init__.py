@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "bpe", "token_counts", "sharding", "licenses", "ctw")
+MODULES = ("simhash", "bpe", "token_counts", "sharding", "licenses", "ctw", "pii")
 
 
 def registered(what: str) -> dict:
