@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "bpe", "token_counts", "sharding", "licenses", "ctw", "pii")
+MODULES = ("simhash", "bpe", "token_counts", "sharding", "licenses", "ctw", "pii", "quality", "toxicity")
 
 
 def registered(what: str) -> dict:
