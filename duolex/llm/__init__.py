@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "bpe", "token_counts", "sharding", "licenses", "ctw", "pii", "quality", "toxicity")
+MODULES = ("licenses", "ctw", "sharding", "pii", "simhash", "decontaminate", "quality", "bpe", "token_counts", "toxicity")
 
 
 def registered(what: str) -> dict:

@@ -18,15 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one under the warehouse where the session names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the cluster's shared checkpoint folder (`spark.checkpoint.dir`).
 
     A lost executor can read it again. Only where the session names no folder, as in tests, is one set here.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        spark.sparkContext.setCheckpointDir(os.path.join(where, "_checkpoints"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -90,12 +90,11 @@ def scan(docs: DataFrame, licences: list[tuple[str, str]] | None = None) -> Data
     spark = docs.sparkSession
     table_ = spark.createDataFrame(licences or known(), "license_id string, t string").select("license_id", digest(F.col("t")).alias("digest"))
     table_ = table_.filter(F.col("digest") != F.sha2(F.lit(b""), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    of = F.broadcast(table_.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("by_digest")))
+    pairs = table_.select("digest", "license_id").collect()  # a few dozen rows: those of the list given
+    by_digest = F.create_map(*[F.lit(x) for r in pairs for x in r]) if pairs else F.create_map().cast("map<string,string>")
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(NOTICE_HINT))
-    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), lines.alias("lines")).join(F.broadcast(table_), "digest", "left")
-    with_notices = rows.crossJoin(of).select(  # one row: the lookup table of lines
-        "doc_id", "digest", "license_id", F.filter(F.transform("lines", lambda x: F.col("by_digest")[digest(x)]), lambda x: x.isNotNull()).alias("ids")
-    )
+    rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.filter(F.transform(lines, lambda x: by_digest[digest(x)]), lambda x: x.isNotNull()).alias("ids"))
+    with_notices = rows.join(F.broadcast(table_), "digest", "left")
     return with_notices.select("doc_id", "digest", "license_id", F.size("ids").cast("bigint").alias("n_notice_lines"), F.array_join(F.array_sort(F.array_distinct("ids")), ",").alias("notice_ids"))
 
 

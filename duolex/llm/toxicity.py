@@ -32,59 +32,71 @@ LEET = str.maketrans("013457@$!*", "oieastasi ")
 YOU = re.compile(r"\b(?:you|your|youre|u|ur)(?:'re| are|r)?\s+(?:(?:a|an|such|so|all|really|just|fucking|the|are|is)\s+){0,3}([^\W\d_]+)")
 OBSCURED = re.compile(r"[^\W\d_]+[013457@$!*]+[^\W\d_]+")
 WORD = re.compile(r"[^\W\d_]+")
-VOTERS = (*LEXICONS, "induced", "induced_two", "two_kinds", "you_are", "obscured", "shouting", "nothing", "long_nothing")
-COUNTS = ("n_listed", "n_distinct_listed", "n_induced", "n_distinct_induced", "listed_share", "induced_share")
+VOTERS = (*LEXICONS, "induced_several", "induced_three", "two_kinds", "you_are", "obscured", "shouting", "nothing", "long_nothing")
+COUNTS = ("n_listed", "n_distinct_listed", "n_induced", "n_distinct_induced", "listed_share", "induced_share", "evidence")
 #: Labelled rows that the induced lexicon and the classifier are fitted on, at most; chosen by a hash of the id.
 SAMPLE = 20_000
-#: An induced word occurs in this share of the distinct toxic texts of the sample, and this many times as often as in clean ones.
-INDUCED_SHARE, INDUCED_LIFT = 0.02, 12.0
+#: An induced word or stem occurs in this share of the distinct toxic texts of the sample, and this many times as often as in clean ones.
+INDUCED_SHARE, INDUCED_LIFT, STEMS = 0.01, 30.0, (4, 5, 6, 7)
 
 
 def lexicon() -> dict[str, str]:
     return {w: kind for kind, ws in LEXICONS.items() for w in ws.split()}
 
 
-def looked_at(text: str, listed: dict[str, str], induced: frozenset[str]) -> list[float]:
-    """Votes of VOTERS (1 toxic, -1 clean, 0 none) and COUNTS of a whole text."""
+def looked_at(text: str, listed: dict[str, str], induced: dict[str, float], heads: frozenset[str]) -> list[float]:
+    """Votes of VOTERS (1 toxic, -1 clean, 0 none) and COUNTS of a whole text; heads: the first letters of all that is induced."""
     low = text.lower()
     words = WORD.findall(low)
     hits = [w for w in words if w in listed]
-    found = [w for w in words if w in induced]
+    found = {w: v for w in {w for w in words if w[:3] in heads} if (v := max([induced.get(w, 0.0), *(induced.get(w[:k] + "*", 0.0) for k in STEMS if len(w) > k)]))}
+    n_found = sum(w in found for w in words) if found else 0
     kinds = {listed[w] for w in hits}
-    you = any(m[1] in listed or m[1] in induced for m in YOU.finditer(low)) if hits or found else False
+    you = any(m[1] in listed or m[1] in found for m in YOU.finditer(low)) if hits or found else False
     obscured = any(m[0].translate(LEET) in listed for m in OBSCURED.finditer(low)) if re.search("[013457@$!*]", low) else False
     letters = sum(map(len, words))
     shouting = letters > 20 and sum(map(str.isupper, text)) > 0.6 * letters and "!" in text
-    nothing = not hits and not found and not obscured
+    several = len(found) > 1 or n_found >= 0.02 * len(words) and n_found > 0  # one word of many may be chance
+    nothing = not hits and not several and not obscured
     votes = [float(k in kinds) for k in LEXICONS]
-    votes += [float(bool(found)), float(len(set(found)) > 1), float(len(set(hits)) > 1), float(you), float(obscured), float(shouting), -float(nothing), -float(nothing and len(words) >= 50)]
+    votes += [float(several), float(len(found) > 2), float(len(set(hits)) > 1), float(you), float(obscured), float(shouting), -float(nothing), -float(nothing and len(words) >= 50)]
     n = max(len(words), 1)
-    return [*votes, np.log1p(len(hits)), np.log1p(len(set(hits))), np.log1p(len(found)), np.log1p(len(set(found))), len(hits) / n, len(found) / n]
+    return [*votes, np.log1p(len(hits)), np.log1p(len(set(hits))), np.log1p(n_found), np.log1p(len(found)), len(hits) / n, n_found / n, sum(found.values()) / 5]
 
 
-def features(docs: DataFrame, induced: frozenset[str]) -> DataFrame:
+def features(docs: DataFrame, induced: dict[str, float]) -> DataFrame:
     """docs (doc_id, text) to (doc_id, x array<float>), a row for each row; null is the empty text."""
-    listed = lexicon()
+    listed, heads = lexicon(), frozenset(w[:3] for w in induced)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [looked_at(t or "", listed, induced) for t in b.column(1).to_pylist()]
+            x = [looked_at(t or "", listed, induced, heads) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<float>")
 
 
-def induce(sampled: DataFrame) -> frozenset[str]:
-    """Words of sampled (text, toxic) that mark toxic texts; equal texts count once."""
+def induce(sampled: DataFrame) -> dict[str, float]:
+    """Words, and stems (a beginning of STEMS letters, written with a star), of sampled (text, toxic) that mark toxic texts.
+
+    The value is the log of how many times as often they occur in toxic texts as in others. Equal texts count once.
+    """
     texts = sampled.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    words = texts.select("toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))).alias("w"))
+    words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))
+    stems = [F.transform(words, _stem(k)) for k in STEMS]
+    units = texts.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("w")).filter("w is not null")
     n = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n[0] or not n[1]:
-        return frozenset()
-    count = words.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("q"))
-    good = count.filter((F.col("p") >= max(5, INDUCED_SHARE * n[0])) & (F.length("w") > 2) & (F.col("p") / n[0] >= INDUCED_LIFT * (F.col("q") + 0.5) / (n[1] + 1)))
-    return frozenset(r[0] for r in good.select("w").collect())
+        return {}
+    count = units.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("q"))
+    lift = (F.col("p") / n[0]) / ((F.col("q") + 0.5) / (n[1] + 1))
+    good = count.filter((F.col("p") >= max(5, INDUCED_SHARE * n[0])) & (F.length("w") > 2) & (lift >= INDUCED_LIFT))
+    return {r[0]: float(r[1]) for r in good.select("w", F.log(lift)).collect()}
+
+
+def _stem(k: int):  # noqa: ANN202
+    return lambda w: F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("*")))
 
 
 class LabelModel:
