@@ -34,6 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_dealt(df: DataFrame, partitions: int, key: str) -> DataFrame:
+    """df dealt to partitions by the key and kept like `cut`, in a way that later groupings by the key see.
+
+    Adaptive execution hides the partitioning of what is kept, so it is off for the write.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(partitions, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def crc_fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo mod; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod).cast("int")

@@ -30,25 +30,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, crc_fold, cut, pack_sorted, squeeze, table, unpack_sorted, unsqueeze
+from .common import body, crc_fold, cut_dealt, pack_sorted, squeeze, table, unpack_sorted, unsqueeze
 
 #: UTF-8 bytes of a block, positions worked on at once, grams of a bucket (on average, at most), bytes of context.
 BLOCK, SLICE, BUCKET, DEPTH = 16 << 20, 1 << 20, 1 << 17, 6
 END = b"\n"
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def canonical(text: bytes) -> bytes:
+    """Lower-cased words with single spaces, and the end."""
+    return b" ".join(text.lower().split()) + END
 
 
-def slices(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(grams, text number) of successive positions. A gram: context from the last byte back, then the byte, in a uint64."""
+def slices(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, text number) of successive positions of canonical texts. A gram: context from the last byte back, then the byte, in a uint64."""
     i = 0
     while i < len(texts):
         parts, lens = [], []
         begin = i
         while i < len(texts) and (not lens or sum(lens) < SLICE):
-            s = b" ".join(texts[i]) + END
+            s = texts[i]
             parts.append(END * depth + s)
             lens.append(len(s))
             i += 1
@@ -86,14 +87,46 @@ def by_bucket(u: np.ndarray, buckets: int, depth: int) -> list[tuple[int, np.nda
     return [(int(b[i]), order[i:j]) for i, j in zip(cuts, [*cuts[1:], len(b)], strict=True)]
 
 
-def words_by_bucket(words: list[list[bytes]], buckets: int) -> list[tuple[int, list[bytes]]]:
-    """(bucket, distinct words) of some texts, the end token among them, in the order of their first place."""
+def words_by_bucket(texts: list[bytes], buckets: int) -> list[tuple[int, list[bytes]]]:
+    """(bucket, distinct words) of canonical texts, the end token among them, in the order of their first place."""
     parts: dict[int, list[bytes]] = {}
-    for w in dict.fromkeys(chain.from_iterable([*words, [END]])):
+    for w in dict.fromkeys(chain(chain.from_iterable(map(bytes.split, texts)), [END])):
         parts.setdefault(zlib.crc32(w) % buckets, []).append(w)
     return list(parts.items())
 
 
+class Lookup:
+    """Values by uint64 key in an open-addressed table; all keys that are asked for must be there."""
+
+    NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, self.NONE), np.zeros(1 << self.bits, np.float32)
+        at = self.first(keys)
+        while len(keys):
+            free = self.keys[at] == self.NONE
+            self.keys[at[free]] = keys[free]
+            here = self.keys[at] == keys
+            self.values[at[here]] = values[here]
+            keys, values, at = keys[~here], values[~here], (at[~here] + 1) & ((1 << self.bits) - 1)
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.first(keys)
+        out = self.values[at]
+        left = np.flatnonzero(self.keys[at] != keys)
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            here = self.keys[at] == keys[left]
+            out[left[here]] = self.values[at[here]]
+            left, at = left[~here], at[~here]
+        return out
+
+
 def packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
@@ -199,10 +232,10 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
 
     def asked_by(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         own = packed(batch.select([0, 1]))
-        name = zlib.crc32(own) << 31 ^ zlib.adler32(own)
-        words, learn = [tokens_of(t) for t in texts], np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+        name = -1 - (zlib.crc32(own) << 31 ^ zlib.adler32(own))  # below the numbers of buckets
+        texts, learn = list(map(canonical, texts)), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
         seen, count = [], []
-        for g, of in slices(words, depth):
+        for g, of in slices(texts, depth):
             yes = learn[of]
             for some, w in ((g[yes], 1), (g[~yes], 0)):
                 if len(some):
@@ -212,19 +245,21 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
                 u, n = summed(np.concatenate(seen), np.concatenate(count))
                 seen, count = [u], [n]
         u, n = summed(np.concatenate(seen), np.concatenate(count))
-        out = [(-1, 2, name, own, b"")]
+        out = [(name, 2, name, own, b"")]
         for b, at in by_bucket(u, buckets, depth):
             out.append((b, 0, name, pack_sorted(u[at]), squeeze(n[at])))
         vocabulary: Counter = Counter()
-        for w, yes in zip(words, learn.tolist(), strict=True):
+        for t, yes in zip(texts, learn.tolist(), strict=True):
             if yes:
-                vocabulary.update(w)
+                vocabulary.update(t.split())
         vocabulary[END] = int(learn.sum())
-        for b, ws in words_by_bucket(words, buckets):
+        for b, ws in words_by_bucket(texts, buckets):
             out.append((buckets + b, 1, name, squeeze(np.frombuffer(b" ".join(ws), np.uint8)), squeeze(np.array([vocabulary[w] for w in ws], np.int64))))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "block", "keys", "counts"])
 
-    everything = cut(rows.mapInArrow(ask, "bucket bigint, kind int, block bigint, keys binary, counts binary"))
+    # dealt once: the rows of buckets by bucket, texts by block. Both passes over the buckets and the scoring find them in place.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // (256 << 20)))
+    everything = cut_dealt(rows.mapInArrow(ask, "bucket bigint, kind int, block bigint, keys binary, counts binary"), parts, "bucket")
     asked = everything.filter("kind < 2")
 
     def all_grams(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -258,60 +293,50 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
     root = Level(*summed(one.keys & np.uint64(255), one.n0, one.n1), below=one) if len(one.keys) else one
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf.bucket.iloc[0])
         out = []
         if pdf.kind.iloc[0]:
             c = all_words(pdf)
             for name, keys in zip(pdf.block, pdf["keys"], strict=True):
-                out.append((name, bucket, squeeze(np.array([c[w] for w in unsqueeze(keys, np.uint8).tobytes().split(b" ")], np.int64))))
+                out.append((name, 1, keys, squeeze(np.array([c[w] for w in unsqueeze(keys, np.uint8).tobytes().split(b" ")], np.int64))))
         else:
             u, n = all_grams(pdf)
             p = log10_probability(u, [root, one, *reversed(tree(u, n, depth, 2))], depth).astype(np.float32)
             for name, keys in zip(pdf.block, pdf["keys"], strict=True):
-                out.append((name, bucket, squeeze(p[np.searchsorted(u, unpack_sorted(keys))])))
-        return pd.DataFrame(out, columns=["block", "bucket", "given"])
+                out.append((name, 0, keys, squeeze(p[np.searchsorted(u, unpack_sorted(keys))])))
+        return pd.DataFrame(out, columns=["bucket", "kind", "keys", "given"])
 
-    answers = asked.groupBy("bucket").applyInPandas(answer, "block bigint, bucket bigint, given binary")
+    answers = asked.groupBy("bucket").applyInPandas(answer, "bucket bigint, kind int, keys binary, given binary")
 
     def scored(key, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        given = dict(zip(got.bucket, got.given, strict=True))
-        return pd.concat([scored_block(unpacked(x), given) for x in own["keys"]], ignore_index=True)
-
-    def scored_block(docs: pa.RecordBatch, given: dict[int, bytes]) -> pd.DataFrame:
-        words = [tokens_of(t) for t in docs.column(1).to_pylist()]
-        seen: list[np.ndarray] = []
-        for g, _ in slices(words, depth):
-            seen.append(np.unique(g))
-            if len(seen) > 8:
-                seen = [np.unique(np.concatenate(seen))]
-        k = np.unique(np.concatenate(seen))
-        p = np.empty(len(k))
-        for b, at in by_bucket(k, buckets, depth):
-            p[at] = unsqueeze(given[b], np.float32)
-        index: dict[bytes, int] = {}
-        counts = []
-        for b, ws in words_by_bucket(words, buckets):
-            index.update(zip(ws, range(len(index), len(index) + len(ws)), strict=True))
-            counts.append(unsqueeze(given[buckets + b], np.int64))
-        c = np.concatenate(counts)
-        log_c = np.log10(c + 1.0)
-        total, n_bytes = np.zeros(len(words)), np.zeros(len(words), np.int64)
-        for g, of in slices(words, depth):
+        grams = [(unpack_sorted(k), unsqueeze(g, np.float32)) for kind, k, g in zip(got.kind, got["keys"], got.given, strict=True) if not kind]
+        lookup = Lookup(np.concatenate([k for k, _ in grams]), np.concatenate([g for _, g in grams]))
+        del grams
+        count: dict[bytes, int] = {}
+        for kind, k, g in zip(got.kind, got["keys"], got.given, strict=True):
+            if kind:
+                count.update(zip(unsqueeze(k, np.uint8).tobytes().split(b" "), unsqueeze(g, np.int64).tolist(), strict=True))
+        return pd.concat([scored_block(unpacked(x), lookup, count) for x in own["keys"]], ignore_index=True)
+
+    def scored_block(docs: pa.RecordBatch, lookup: Lookup, count: dict[bytes, int]) -> pd.DataFrame:
+        texts = list(map(canonical, docs.column(1).to_pylist()))
+        total, n_bytes = np.zeros(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
+        for g, of in slices(texts, depth):
             first = of[0]
-            total[first : of[-1] + 1] += np.bincount(of - first, p[np.searchsorted(k, g)])
-            n_bytes[first : of[-1] + 1] += np.bincount(of - first)
-        n_tokens = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        logs, known = np.empty(len(words)), np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            x = np.fromiter(map(index.__getitem__, w), np.int64, len(w))
-            logs[i] = log_c[x].sum() + log_c[index[END]]
-            known[i] = (c[x] > 0).sum() + (c[index[END]] > 0)
+            total[first : of[-1] + 1] += np.bincount(of - first, lookup(g))
+        n_tokens, known, logs = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64), np.empty(len(texts))
+        for i, t in enumerate(texts):
+            c = list(map(count.__getitem__, t.split()))
+            c.append(count[END])
+            n_tokens[i] = len(c)
+            c = np.array(c)
+            known[i] = (c > 0).sum()
+            logs[i] = np.log10(c + 1.0).sum()
         base = logs - n_tokens * math.log10(n_train + v_train + 1)
         return pd.DataFrame({"doc_id": docs.column(0).to_pandas(), "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": total, "n_bytes": n_bytes, "bits_per_byte": -total / math.log10(2) / n_bytes})
 
     kind = dict(docs.dtypes)["doc_id"]
-    texts = everything.filter("kind = 2").select("block", "keys")
-    got = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
+    texts = everything.filter("kind = 2").select("bucket", "keys")
+    got = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(scored, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
     return got.withColumns({"train_tokens": F.lit(n_train).cast("bigint"), "vocabulary": F.lit(v_train).cast("bigint")})
 
 
