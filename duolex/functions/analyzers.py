@@ -7,7 +7,8 @@ script runs and a small table of endings: there is no dictionary to look words u
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,7 +21,7 @@ TOKENS = "array<struct<term:string,pos:int,start:int,end:int>>"
 # English stop words of the usual analyzer.
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 #: Combining marks of kana, which carry meaning and are kept when accents are folded.
-KANA_MARKS = "゙゚"
+KANA_MARKS = chr(0x3099) + chr(0x309A)
 #: Endings that the approximate Japanese analyzer takes off a run that begins with kanji, longest first.
 ENDINGS = ("ませんでした", "させられる", "なかった", "られる", "ました", "ません", "させる", "ている", "てる", "ない", "ます", "れる", "れば", "った", "って", "んだ", "んで", "いた", "いて", "した", "して", "たい", "く", "い", "う", "る", "た", "て", "だ", "で")
 
@@ -35,8 +36,10 @@ def _regex():  # noqa: ANN202
     return regex
 
 
-def normalized(text: str) -> tuple[str, list[int]]:
+def normalized(text: str) -> tuple[str, Sequence[int]]:
     """NFKC, and for each of its characters and the end the place in the text that it comes from."""
+    if text.isascii() or unicodedata.is_normalized("NFKC", text):
+        return text, range(len(text) + 1)
     out, at = [], []
     i = 0
     while i < len(text):
@@ -50,13 +53,16 @@ def normalized(text: str) -> tuple[str, list[int]]:
     return "".join(out), [*at, len(text)]
 
 
+@lru_cache(maxsize=100_000)
 def folded(term: str) -> str:
     """Case and accents folded, but for the marks of kana."""
+    if term.isascii():
+        return term.lower()
     parts = unicodedata.normalize("NFD", term.casefold())
     kept = []
     for i, c in enumerate(parts):
-        kana = i > 0 and "぀" <= parts[i - 1] <= "ヿ"
-        if not (unicodedata.category(c) == "Mn" and not (kana and c in "゙゚")):
+        kana = i > 0 and 0x3040 <= ord(parts[i - 1]) <= 0x30FF
+        if not (unicodedata.category(c) == "Mn" and not (kana and c in KANA_MARKS)):
             kept.append(c)
     return unicodedata.normalize("NFC", "".join(kept))
 
@@ -65,21 +71,39 @@ def hiragana(term: str) -> str:
     return "".join(chr(ord(c) - 96) if "ァ" <= c <= "ヶ" else c for c in term)
 
 
-def split_formation(term: str, strict_compat: bool = False) -> list[str]:
+@lru_cache(maxsize=100_000)
+def split_formation(term: str, strict_compat: bool = False) -> tuple[str, ...]:
     """Parts of a fleet name such as 4thdesdiv3; other terms as they are.
 
     strict_compat: digits aren't parts, as where the pattern's escapes are doubled by mistake.
     """
     number = "" if strict_compat else r"(\d+(?:st|nd|rd|th))?"
     m = _regex().fullmatch(number + r"((?:bat|car|cru|des)(?:div|ron))" + ("" if strict_compat else r"(\d+)?"), term)
-    return [g for g in m.groups() if g] if m else [term]
+    return tuple(g for g in m.groups() if g) if m else (term,)
+
+
+#: Letters but y as v or c; letters beyond ASCII count as consonants.
+VOWELS = type("Vowels", (dict,), {"__missing__": lambda self, c: "v" if chr(c) in "aeiou" else "y" if chr(c) == "y" else "c"})()
+CJK = "|".join((_class(HIRAGANA), _class(KATAKANA), _class(HAN), "ー"))
+
+
+@lru_cache(maxsize=1)
+def _word_patterns():  # noqa: ANN202
+    re = _regex()
+    return re.compile(CJK), re.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}_]|['’.:](?=\p{L})|[.,](?=\p{N}))*")
+
+
+@lru_cache(maxsize=1)
+def _mixed_pattern():  # noqa: ANN202
+    return _regex().compile(rf"(?P<c>{CJK})[{KANA_MARKS}]*|[\p{{L}}\p{{N}}](?:(?!{CJK})[\p{{L}}\p{{N}}\p{{M}}_]|['’.:](?=\p{{L}})(?!{CJK})|[.,](?=\p{{N}}))*")
 
 
 def default_tokens(text: str, strict_compat: bool = False) -> list[Token]:
     """NFKC, words, folding, katakana as hiragana, fleet names in parts, CJK letters as overlapping pairs (alone: as they are)."""
-    re = _regex()
     clean, at = normalized(text)
-    cjk = _class(HIRAGANA) + "|" + _class(KATAKANA) + "|" + _class(HAN) + "|ー"
+    every, words = _word_patterns()
+    if not every.search(clean):
+        return [(part, i, at[m.start()], at[m.end()]) for i, m in enumerate(words.finditer(clean)) for part in split_formation(folded(m[0]).replace("’", "'"), strict_compat)]
     out: list[Token] = []
     pos = 0
     run: list[tuple[str, int, int]] = []
@@ -94,7 +118,7 @@ def default_tokens(text: str, strict_compat: bool = False) -> list[Token]:
             pos += 1
         run = []
 
-    for m in re.finditer(rf"(?P<c>{cjk})[゙゚]*|[\p{{L}}\p{{N}}](?:(?!{cjk})[\p{{L}}\p{{N}}\p{{M}}_]|['’.:](?=\p{{L}})(?!{cjk})|[.,](?=\p{{N}}))*", clean):
+    for m in _mixed_pattern().finditer(clean):
         start, end = at[m.start()], at[m.end()]
         end = max(end, start + 1)
         if m["c"]:
@@ -127,13 +151,16 @@ def japanese_spans(text: str) -> list[Token]:
 
 
 def _measure(stem: str) -> int:
-    return _regex().sub(r"[v]+", "v", _regex().sub(r"[c]+", "c", _shape(stem))).lstrip("c").count("vc")
+    return _shape(stem).count("vc")
 
 
+@lru_cache(maxsize=200_000)
 def _shape(word: str) -> str:
-    out = ""
-    for i, c in enumerate(word):
-        out += "v" if c in "aeiou" or c == "y" and i and out[-1] == "c" else "c"
+    """v for vowels, c for consonants; y is a vowel after a consonant."""
+    out = word.translate(VOWELS)
+    while "y" in out:
+        i = out.index("y")
+        out = out[:i] + ("v" if i and out[i - 1] == "c" else "c") + out[i + 1 :]
     return out
 
 
@@ -141,6 +168,7 @@ def _short(word: str) -> bool:
     return _shape(word).endswith("cvc") and word[-1] not in "wxy"
 
 
+@lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
     """Porter's stemmer (1980)."""
     if len(word) < 3:

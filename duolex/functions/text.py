@@ -160,7 +160,7 @@ def scn_plain(s: Column, key: Column | None = None) -> Column:
         .when(stripped.rlike(r"(?<!\\)&"), F.lit("unescaped ampersand"))
         .when(stripped.rlike(r"(?s)^(?:[^\\]|\\[\\%&n])*\\[^\\%&n]"), F.lit("unknown escape"))
     )
-    hold = ""  # stands for an escaped backslash meanwhile
+    hold = chr(0xE001)  # stands for an escaped backslash meanwhile
     out = F.replace(stripped, F.lit("\\\\"), F.lit(hold))
     for a, b in (("\\%", "%"), ("\\&", "&"), ("\\n", "\n"), (hold, "\\")):
         out = F.replace(out, F.lit(a), F.lit(b))

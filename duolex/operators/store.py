@@ -12,7 +12,7 @@ from ..functions.text import base_name, sha1_path
 def reconcile(stored: DataFrame, incoming: DataFrame, source, key: str = "id", by: str = "source") -> DataFrame:  # noqa: ANN001
     """(key, action I/U/D) that makes the stored rows of one source equal to the incoming ones; other sources are untouched."""
     a = stored.filter(F.col(by) == source).select(F.col(key), F.lit(True).alias("_s"))
-    b = incoming.select(F.col(key), F.assert_true(F.col(by) == source, "a row of another source").alias("_e"), F.lit(True).alias("_i"))
+    b = incoming.select(F.when(F.col(by) == source, F.col(key)).otherwise(F.raise_error(F.lit("a row of another source"))).alias(key), F.lit(True).alias("_i"))
     both = a.join(b, key, "full_outer")
     return both.select(key, F.when(F.col("_s").isNull(), "I").when(F.col("_i").isNull(), "D").otherwise("U").alias("action"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analyzers import analyzed
 from ..operators.corpus import with_weights
 
 #: Fields of the index: (name, language, analyzer).
@@ -18,7 +20,7 @@ FIELDS = (
     ("japanese.text.conjugations", "japanese", "japanese_conjugations"),
     ("japanese.text.kanji", "japanese", "kanji"),
 )
-MARKER = ""
+MARKER = chr(0xE000)  # a private-use character
 
 
 @dataclass
@@ -35,16 +37,47 @@ def guard_marker(quotes: DataFrame, marker: str = MARKER) -> Column:
     return F.assert_true(~bad, "a text contains the highlight marker")
 
 
-def build_index(quotes: DataFrame, fields=FIELDS) -> Index:
-    """quotes to docs (with weights by source), postings (field, term, id, tf, positions), stats (df) and sizes (N by field)."""
+def postings_of(docs: DataFrame, fields=FIELDS) -> DataFrame:
+    """docs (id, english.text, japanese.text) to a row for each field, term and document, with tf and positions.
+
+    A document's tokens are grouped where they are made, so nothing is shuffled.
+    """
+    from ..functions.analyzers import ANALYZERS
+
+    languages = list(dict.fromkeys(language for _, language, _ in fields))
+    runs = [(field, languages.index(language), ANALYZERS[analyzer]) for field, language, analyzer in fields]
+    place = pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [b.column(i + 1).to_pylist() for i in range(len(languages))]
+            names, terms, of, ends, spots = [], [], [], [0], ([], [], [])
+            for k in range(b.num_rows):
+                for field, i, analyzer in runs:
+                    found: dict[str, list] = {}
+                    for t in analyzer(texts[i][k] or ""):
+                        found.setdefault(t[0], []).append(t)
+                    for term, at in found.items():
+                        names.append(field), terms.append(term), of.append(k), ends.append(ends[-1] + len(at))
+                        for column, n in zip(spots, (1, 2, 3), strict=True):
+                            column.extend([t[n] for t in at])
+            flat = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in spots], fields=list(place))
+            ends = pa.array(ends, pa.int32())
+            tf = pc.cast(pc.subtract(ends[1:], ends[:-1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(terms, pa.string()), b.column(0).take(pa.array(of, pa.int64())), tf, pa.ListArray.from_arrays(ends, flat)], names=["field", "term", "id", "tf", "positions"])
+
+    kind = dict(docs.dtypes)["id"]
+    return docs.select("id", *[F.col(f"{x}.text").alias(x) for x in languages]).mapInArrow(run, f"field string, term string, id {kind}, tf bigint, positions array<struct<pos:int,start:int,end:int>>")
+
+
+def build_index(quotes: DataFrame, fields=FIELDS, keep: bool = True) -> Index:
+    """quotes to docs (with weights by source), postings (field, term, id, tf, positions), stats (df) and sizes (N by field).
+
+    keep: hold the postings for the queries that follow; `write_index` makes them a table.
+    """
     docs = with_weights(quotes, "source").withColumn("_ok", guard_marker(quotes)).filter(F.col("_ok").isNull()).drop("_ok")
-    parts = []
-    for field, language, analyzer in fields:
-        tokens = docs.select("id", F.explode(analyzed(F.col(f"{language}.text"), analyzer)).alias("t"))
-        parts.append(tokens.groupBy(F.lit(field).alias("field"), F.col("t.term").alias("term"), "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list(F.struct("t.pos", "t.start", "t.end"))).alias("positions")))
-    postings = parts[0]
-    for p in parts[1:]:
-        postings = postings.unionByName(p)
+    postings = postings_of(docs, fields)
+    postings = postings.persist() if keep else postings
     stats = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     sizes = postings.groupBy("field").agg(F.count_distinct("id").alias("n"))
     return Index(docs, postings, stats, sizes)
