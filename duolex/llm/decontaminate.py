@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items are a stated query set, taken in blocks of at most ITEM_BYTES so that a block can go to all executors. For a block,
-one pass over all documents counts how many contain each n-gram of the items; the rarer half of each item's n-grams are its
-seeds, however frequent they are, so a passage that leaked into very many documents keeps its seeds. A second pass looks the
+one pass over all documents counts how many contain each n-gram of the items; of those of an item that occur, the rarer half,
+and LEAST_SEEDS at least, are its seeds, however frequent they are: a passage that leaked into very many documents keeps its seeds. A second pass looks the
 seeds up in every document (a hash join with the small side in memory; texts don't move), gathers the hits of an item by
 place, and aligns the item with the words around them. An alignment that scores `share` of a perfect one or more is a link,
 so copies with replaced, added or dropped words are found and chance n-grams aren't.
@@ -24,7 +24,7 @@ from .common import body, table
 #: Bytes of item texts in a block; words of a seed; scores of equal words, of unequal ones and of a gap.
 ITEM_BYTES, SEED, EQUAL, UNEQUAL, GAP = 32 << 20, 3, 2, -1, -1
 #: Share of a perfect score, and equal words at least, of a link.
-SHARE, LEAST_WORDS = 0.5, 6
+SHARE, LEAST_WORDS, LEAST_SEEDS = 0.5, 6, 16
 #: ASCII letters to lower case; everything else in ASCII but digits separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -121,8 +121,9 @@ def links(docs: DataFrame, items: DataFrame, share: float = SHARE, least: int =
             at: dict[tuple, int] = {}
             for p, g in enumerate(grams_of(w)):
                 at.setdefault(g, p)
-            rare = sorted(at, key=lambda g: (counted.get(number[g], 0), at[g]))
-            for g in rare[: max(8, -(-len(rare) // 2))]:
+            there = [g for g in at if number[g] in counted]
+            rare = sorted(there, key=lambda g: (counted[number[g]], at[g]))
+            for g in rare[: max(LEAST_SEEDS, -(-len(rare) // 2))]:
                 seeds.setdefault(g, []).append((k, at[g]))
         part = _linked(rows, block, seeds, share, least, schema)
         found = part if found is None else found.unionByName(part)

@@ -3,8 +3,8 @@
 Lexicon and pattern voters look at a text and vote toxic, clean or not at all. A generative model of the true class and the votes
 (the labels at hand are one more, fallible voter) is fitted by expectation maximisation on the counts of vote patterns: it
 gives each voter's accuracy, and from what is left unexplained the correlation of each pair given the class, by which
-dependent voters are discounted. A linear classifier on counts and votes is then trained on the posterior labels, and
-scores all texts. What leaves the executors: counts of vote patterns, the induced lexicon, and a bounded sample of rows.
+dependent voters are discounted. A linear classifier on counts and votes is then trained on the posterior labels, put on the
+scale of the labels by slope and intercept, and scores all texts. What leaves the executors: counts of vote patterns, the induced lexicon, and a bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -183,6 +183,13 @@ def score(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Da
         x = np.concatenate([v[:, :-1], np.zeros((len(v), len(COUNTS)))], 1)
         y = model.posterior(v)
     w = fit_linear(x, y)
+    if rows and (r01 := np.array([r["label"] for r in rows])).min() < 0 < r01.max():
+        # the score on the scale of the labels: slope and intercept over the labelled rows of the sample
+        z = w[0] + x @ w[1:]
+        at = fit_linear(z[r01 != 0, None], (r01[r01 != 0] > 0).astype(float), ridge=1e-2)
+        if at[1] > 0:
+            w = w * at[1]
+            w[0] += at[0]
     total = F.lit(float(w[0]))
     for i, c in enumerate(w[1:]):
         total = total + F.get("x", i) * float(c)
