@@ -194,3 +194,8 @@ def sha1_path(data: Column, ext: Column) -> Column:
     """aa/bb/rest.ext of the content's SHA-1."""
     h = F.sha1(data)
     return F.concat(F.substring(h, 1, 2), F.lit("/"), F.substring(h, 3, 2), F.lit("/"), F.substring(h, 5, 36), F.lit("."), ext)
+
+
+def title_order(title: Column) -> Column:
+    """A key that orders titles without regard to case, by Unicode's root collation."""
+    return F.collate(title, "UNICODE_CI")

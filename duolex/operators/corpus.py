@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 
 def remap_speakers(lines: DataFrame, names: DataFrame) -> DataFrame:
@@ -73,10 +74,11 @@ def numbered(pairs: DataFrame, order: str = "ord") -> DataFrame:
 def running_index(df: DataFrame, order: str, name: str = "index", buckets: int | None = None) -> DataFrame:
     """df with its place, from 0, in the order of a column: rows are range-partitioned, numbered inside, and offset by the rows before.
 
-    The partition of a row is found by range partitioning; only a count for each partition goes through one task.
+    The partition of a row is found by range partitioning; only a count for each partition goes through one task. The dealt
+    rows are kept once, as a second sampling of the ranges could deal them otherwise.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    placed = cut(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()))
     part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
     placed = placed.withColumn("_p", part)
     counts = placed.groupBy("_p").count()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.search import uniform
+from ..session import cut
 
 
 def follow_chain(nodes: DataFrame, key: str, parent: str, values: list[str], depth: int = 32) -> DataFrame:
@@ -23,18 +24,21 @@ def follow_chain(nodes: DataFrame, key: str, parent: str, values: list[str], dep
 
 
 def chain_end(links: DataFrame, key: str, to: str, depth: int = 32) -> DataFrame:
-    """(key, end): where the links from each key lead; a cycle ends at its last new node."""
-    spark: SparkSession = links.sparkSession
-    links.createOrReplaceTempView("_duolex_links")
-    walk = spark.sql(
-        f"""WITH RECURSIVE walk(start, at, seen, n) AS (
-              SELECT {key}, {key}, array({key}), 0 FROM _duolex_links
-              UNION ALL
-              SELECT w.start, l.{to}, array_append(w.seen, l.{to}), w.n + 1 FROM walk w JOIN _duolex_links l ON l.{key} = w.at
-              WHERE l.{to} IS NOT NULL AND NOT array_contains(w.seen, l.{to}) AND w.n < {depth})
-            SELECT start AS {key}, max_by(at, n) AS end FROM walk GROUP BY start"""
-    )
-    return walk
+    """(key, end): where the links from each key lead; a cycle ends at its last new node, a longer chain after `depth` links.
+
+    Only walks that still move are joined again; their number falls with each round.
+    """
+    hop = links.select(F.col(key).alias("_k"), F.col(to).alias("_to")).filter("_to is not null")
+    walk = links.select(F.col(key).alias("_s"), F.col(key).alias("_at"), F.array(key).alias("_seen"))
+    done = None
+    for _ in range(depth):
+        step = cut(walk.join(hop, walk["_at"] == hop["_k"], "left").select("_s", "_at", "_seen", F.when(~F.array_contains("_seen", F.col("_to")), F.col("_to")).alias("_to")))
+        part = step.filter("_to is null").select("_s", "_at")
+        done = part if done is None else done.unionByName(part)
+        walk = step.filter("_to is not null").select("_s", F.col("_to").alias("_at"), F.array_append("_seen", F.col("_to")).alias("_seen"))
+        if walk.isEmpty():
+            break
+    return done.unionByName(walk.select("_s", "_at")).select(F.col("_s").alias(key), F.col("_at").alias("end"))
 
 
 def lowest_entry(entries: DataFrame, list_key: str, level: str, item: str) -> DataFrame:

@@ -146,9 +146,21 @@ def ft_kanji(spark, sf_dir):  # noqa: ANN001, ANN201
     return inline(spark, "id int, s string", JAPANESE).select("id", F.posexplode(k).alias("pos", "term")).select("id", "term", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query()
+#: The tokens of the default analyzer for JAPANESE, by hand: (id, term, pos, start, end).
+BIGRAMS = [
+    *[(1, t, i, s, s + 2) for i, (t, s) in enumerate((("祥鳳", 0), ("鳳型", 1), ("型軽", 2), ("軽空", 3), ("空母", 4), ("瑞鳳", 7), ("鳳で", 8), ("です", 9)))],
+    *[(2, t, i, s, s + 2) for i, (t, s) in enumerate((("あう", 0), ("うと", 1), ("とれ", 2), ("れん", 3), ("んじ", 4), ("決め", 7), ("めま", 8), ("ます", 9)))],
+    *[(3, t, i, i, i + 2) for i, t in enumerate(("いい", "いか", "かも", "もね"))],
+    (4, "looks", 0, 0, 5), (4, "good", 1, 6, 10), (5, "quote", 0, 0, 5),
+    *[(6, t, i, i, i + 2) for i, t in enumerate(("𪚲は", "は一", "一文", "文字"))],
+    *[(7, t, i, i, i + 2) for i, t in enumerate(("かた", "たか", "かな"))],
+    (8, "ー", 0, 0, 1), (9, "鏡", 0, 0, 1),
+]
+
+
+@query("WITH " + values("v", 'id, term, pos, "start", "end"', BIGRAMS) + " SELECT * FROM v")
 def ft_cjk_bigram(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Tokens of the default analyzer, which no SQL expresses."""
+    """Tokens of the default analyzer."""
     from .functions.analyzers import analyzed
 
     return inline(spark, "id int, s string", JAPANESE).select("id", F.explode(analyzed(F.col("s"), "default")).alias("t")).select("id", "t.term", "t.pos", "t.start", "t.end")
@@ -554,7 +566,7 @@ def sf_unix_seconds(spark, sf_dir):  # noqa: ANN001, ANN201
 CONTEXTS = [(1, "10th Anniversary 2023", ""), (2, "Docking Major", ""), (3, "Secretary 2", ""), (4, "Unknown Thing", ""), (5, "air battle/daytime spotting", ""), (6, "Valentine’s Day 2017", "")]
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, '10th Anniversary', '十周年記念'), (2, 'Docking (Major Damage)', '入渠 (中破以上)'), (3, 'Secretary', '母港'), (4, 'Unknown Thing', 'Unknown Thing'), (5, 'Air Battle / Daytime Spotting', '航空戦開始 / カットイン'), (6, 'Valentine''s Day 2017', 'バレンタイン 2017')) t(id, english, japanese)")
 def sf_context(spark, sf_dir):  # noqa: ANN001, ANN201
     return inline(spark, "id int, c string, n string", CONTEXTS).select("id", context.translated(F.col("c"), F.col("n")).alias("t")).select("id", "t.*")
 
@@ -603,7 +615,7 @@ def rc_template_chain(spark, sf_dir):  # noqa: ANN001, ANN201
     return rules.follow_chain(inline(spark, "npc string, template string, name string, voice string", NPCS), "npc", "template", ["name", "voice"], depth=8)
 
 
-@query()
+@query("WITH RECURSIVE " + values("n", "npc, template, name, voice", NPCS) + ", w AS (SELECT npc AS k, npc AS here, [npc] AS seen, 0 AS i FROM n UNION ALL SELECT w.k, n.template, list_append(seen, n.template), i + 1 FROM w JOIN n ON n.npc = w.here WHERE n.template IS NOT NULL AND NOT list_contains(seen, n.template)) SELECT k AS npc, arg_max(here, i) AS \"end\" FROM w GROUP BY k")
 def rc_chain_end(spark, sf_dir):  # noqa: ANN001, ANN201
     """Where links lead; a cycle ends at its last new node."""
     return rules.chain_end(inline(spark, "npc string, template string, name string, voice string", NPCS).select("npc", "template"), "npc", "template")
@@ -640,7 +652,7 @@ def rc_choose_speaker(spark, sf_dir):  # noqa: ANN001, ANN201
 
 # --- sources -----------------------------------------------------------------------------------------------------------------
 
-@query()
+@query("SELECT page_id, 0 AS row, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, len(regexp_extract_all(h, '<a\\s[^>]*href'))::INT AS n_links, len(regexp_extract_all(h, '<p[\\s>]'))::INT AS n_paragraphs, len(regexp_extract_all(h, '<li[\\s>]'))::INT AS n_items FROM (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script[^>]*>.*?</script>', '', 'g') AS h FROM pages)")
 def sc_html_rows(spark, sf_dir):  # noqa: ANN001, ANN201
     return html.read_rows(table(spark, sf_dir, "pages"), html.page_outline, html.OUTLINE)
 

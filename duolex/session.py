@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,3 +30,16 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one under the warehouse where the session names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder (`spark.checkpoint.dir`), where a lost executor's successor finds it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -159,6 +159,7 @@ def with_texts(lines: DataFrame, en: DataFrame, ja: DataFrame) -> DataFrame:
     return j.withColumn("reason", F.when(F.col("en").isNull(), "no english").when(F.col("ja").isNull(), "no japanese").when(F.col("en").contains("[") | F.col("ja").contains("["), "interpolated"))
 
 
+# Fixed value: places of voice files in an archive: mod, voice type, form and response number.
 VOICE_FILE = r"(?i)^sound[\\/]voice[\\/]([^\\/]+)[\\/]([^\\/]+)[\\/].*_([0-9a-f]{8})_(\d+)\.fuz$"
 
 

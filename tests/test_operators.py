@@ -187,3 +187,39 @@ def test_stream(spark, tmp_path):
     q = valid_pairs_stream(spark, str(src)).writeStream.format("memory").queryName("pairs").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert [r.key for r in spark.sql("select * from pairs").collect()] == ["k1"]
+
+
+def test_remap(spark):
+    d = lines(spark, [("a", "en", "x", "Guard01", 0), ("a", "ja", "y", "Guard01", 0)])
+    got = corpus.remap_speakers(d, spark.createDataFrame([("en", "Guard01", "Guard")], "language string, name string, new_name string"))
+    assert {r.language: r.speaker for r in got.collect()} == {"en": "Guard", "ja": "Guard01"}
+
+
+def test_dialogue_reason(spark):
+    rows = [("(sigh)", "（ため息）", ["a"], ["a"]), ("Go now", "行け", ["a"], ["b"]), ("Go", "行け", ["a"], ["a"]), ("Go now", "行け", ["a"], ["a"]), ("", "行け", ["a"], ["a"])]
+    d = spark.createDataFrame(rows, "en string, ja string, x array<string>, y array<string>")
+    got = [r[0] for r in d.select(corpus.dialogue_reason(F.col("en"), F.col("ja"), F.col("x"), F.col("y"))).collect()]
+    assert got == ["in parentheses", "no voice", "one word", None, "blank"]
+
+
+def test_journal(spark):
+    o = "array<struct<en:string,ja:string>>"
+    rows = [([("a", "あ"), ("b", "い")], "main"), ([("a", "あ"), ("b", "い")], "misc"), ([("a", None)], "main"), ([("<a>", "あ")], "main"), ([], "main")]
+    got = [r[0] for r in spark.createDataFrame(rows, f"o {o}, k string").select(rules.journal_entry(F.col("o"), F.col("k"))).collect()]
+    assert [g and g.en for g in got] == ["b", "a", None, None, None]
+
+
+def test_with_texts(spark):
+    t = lambda rows: spark.createDataFrame(rows, "id string, text string")
+    ln = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "text_id string")
+    got = readers.with_texts(ln, t([("1", "a"), ("2", "b [x]"), ("3", "c")]), t([("1", "あ"), ("2", "い"), ("4", "う")]))
+    assert {r.text_id: r.reason for r in got.collect()} == {"1": None, "2": "interpolated", "3": "no japanese", "4": "no english"}
+
+
+def test_small_text_functions(spark):
+    from duolex.functions import text as T
+
+    d = spark.createDataFrame([("", "en", " *(x)* ", "b"), ("Ann", "ja", "y", "A")], "n string, l string, s string, t string")
+    got = d.select(T.speaker_or_placeholder(F.col("n"), F.col("l")).alias("n"), T.stage_trim(F.col("s")).alias("s"), T.blank_to_null(F.col("n")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("Unknown", "x", None), ("Ann", "y", "Ann")]
+    assert [r.t for r in d.orderBy(T.title_order(F.col("t"))).collect()] == ["A", "b"]
