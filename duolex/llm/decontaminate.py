@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import body, table
 
 #: Bytes of item texts in a block; words of a seed; scores of equal words, of unequal ones and of a gap.
-ITEM_BYTES, SEED, EQUAL, UNEQUAL, GAP = 32 << 20, 3, 2, -1, -1
+ITEM_BYTES, SEED, EQUAL, UNEQUAL, GAP = 2 << 20, 3, 2, -1, -1
 #: Share of a perfect score, and equal words at least, of a link.
 SHARE, LEAST_WORDS, LEAST_SEEDS = 0.5, 6, 16
 #: ASCII letters to lower case; everything else in ASCII but digits separates words.
