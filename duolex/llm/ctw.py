@@ -27,6 +27,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +70,12 @@ def slices(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, with the sums of the values."""
-    u, of = np.unique(keys, return_inverse=True)
-    return u, *[np.bincount(of, v, len(u)) if v.dtype == np.float64 else np.bincount(of, v, len(u)).astype(np.int64) for v in values]
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], *[np.add.reduceat(v[order], first) for v in values]
 
 
 def gram_bucket(keys: np.ndarray, buckets: int, depth: int) -> np.ndarray:
@@ -101,7 +106,7 @@ class Lookup:
     NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(1.4 * len(keys)).bit_length())
         self.keys, self.values = np.full(1 << self.bits, self.NONE), np.zeros(1 << self.bits, np.float32)
         at = self.first(keys)
         while len(keys):
@@ -223,17 +228,16 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            part = np.cumsum([len(t) + 1 for t in texts]) // block
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            part = np.cumsum(np.asarray(pc.binary_length(batch.column(1)), np.int64) + 1) // block
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if j > i:
-                    yield asked_by(batch.slice(i, j - i), texts[i:j])
+                    yield asked_by(batch.slice(i, j - i))
 
-    def asked_by(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+    def asked_by(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = packed(batch.select([0, 1]))
         name = -1 - (zlib.crc32(own) << 31 ^ zlib.adler32(own))  # below the numbers of buckets
-        texts, learn = list(map(canonical, texts)), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
+        texts, learn = [canonical(t.as_py()) for t in batch.column(1)], np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
         seen, count = [], []
         for g, of in slices(texts, depth):
             yes = learn[of]
@@ -241,10 +245,11 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
                 if len(some):
                     u, n = np.unique(some, return_counts=True)
                     seen.append(u), count.append(n * w)
-            if len(seen) > 8:
+            if len(seen) > 4:
                 u, n = summed(np.concatenate(seen), np.concatenate(count))
                 seen, count = [u], [n]
         u, n = summed(np.concatenate(seen), np.concatenate(count))
+        del seen, count
         out = [(name, 2, name, own, b"")]
         for b, at in by_bucket(u, buckets, depth):
             out.append((b, 0, name, pack_sorted(u[at]), squeeze(n[at])))
@@ -318,7 +323,7 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
         return pd.concat([scored_block(unpacked(x), lookup, count) for x in own["keys"]], ignore_index=True)
 
     def scored_block(docs: pa.RecordBatch, lookup: Lookup, count: dict[bytes, int]) -> pd.DataFrame:
-        texts = list(map(canonical, docs.column(1).to_pylist()))
+        texts = [canonical(t.as_py()) for t in docs.column(1)]
         total, n_bytes = np.zeros(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
         for g, of in slices(texts, depth):
             first = of[0]
