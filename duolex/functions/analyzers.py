@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import memo
 from .text import HAN, HIRAGANA, KATAKANA, ranges
 
 Token = tuple[str, int, int, int]
@@ -53,7 +53,7 @@ def normalized(text: str) -> tuple[str, Sequence[int]]:
     return "".join(out), [*at, len(text)]
 
 
-@lru_cache(maxsize=100_000)
+@memo(100_000)
 def folded(term: str) -> str:
     """Case and accents folded, but for the marks of kana."""
     if term.isascii():
@@ -71,7 +71,7 @@ def hiragana(term: str) -> str:
     return "".join(chr(ord(c) - 96) if "ァ" <= c <= "ヶ" else c for c in term)
 
 
-@lru_cache(maxsize=100_000)
+@memo(100_000)
 def split_formation(term: str, strict_compat: bool = False) -> tuple[str, ...]:
     """Parts of a fleet name such as 4thdesdiv3; other terms as they are.
 
@@ -87,13 +87,13 @@ VOWELS = type("Vowels", (dict,), {"__missing__": lambda self, c: "v" if chr(c) i
 CJK = "|".join((_class(HIRAGANA), _class(KATAKANA), _class(HAN), "ー"))
 
 
-@lru_cache(maxsize=1)
+@memo(1)
 def _word_patterns():  # noqa: ANN202
     re = _regex()
     return re.compile(CJK), re.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}_]|['’.:](?=\p{L})|[.,](?=\p{N}))*")
 
 
-@lru_cache(maxsize=1)
+@memo(1)
 def _mixed_pattern():  # noqa: ANN202
     return _regex().compile(rf"(?P<c>{CJK})[{KANA_MARKS}]*|[\p{{L}}\p{{N}}](?:(?!{CJK})[\p{{L}}\p{{N}}\p{{M}}_]|['’.:](?=\p{{L}})(?!{CJK})|[.,](?=\p{{N}}))*")
 
@@ -154,7 +154,7 @@ def _measure(stem: str) -> int:
     return _shape(stem).count("vc")
 
 
-@lru_cache(maxsize=200_000)
+@memo(200_000)
 def _shape(word: str) -> str:
     """v for vowels, c for consonants; y is a vowel after a consonant."""
     out = word.translate(VOWELS)
@@ -168,7 +168,7 @@ def _short(word: str) -> bool:
     return _shape(word).endswith("cvc") and word[-1] not in "wxy"
 
 
-@lru_cache(maxsize=100_000)
+@memo(100_000)
 def stem(word: str) -> str:
     """Porter's stemmer (1980)."""
     if len(word) < 3:

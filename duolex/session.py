@@ -43,3 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def memo(most: int = 100_000):  # noqa: ANN201
+    """Results kept by arguments, up to a number. Unlike the library's cache it travels to executors by value."""
+
+    def around(f):  # noqa: ANN001, ANN202
+        seen: dict = {}
+
+        def kept(*args):  # noqa: ANN002, ANN202
+            if args not in seen:
+                if len(seen) >= most:
+                    seen.clear()
+                seen[args] = f(*args)
+            return seen[args]
+
+        kept.__doc__ = f.__doc__
+        return kept
+
+    return around
