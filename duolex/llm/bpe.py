@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import kept, table
 
 #: UTF-8 bytes of text that are indexed together, and words kept in a worker.
-BLOCK_BYTES, KEPT_WORDS = 4 << 20, 800_000
+BLOCK_BYTES, KEPT_WORDS = 2 << 20, 600_000
 #: White space as the vocabulary's own pattern library has it.
 WHITE_POINTS = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 WHITE = "".join(map(chr, WHITE_POINTS))
@@ -65,7 +65,7 @@ class WordBpe:
             self.made.append(self.vocab[a + b])
         self.letter = np.array([self.vocab.get(c, -1) for c in byte_letters()], np.int64)
         self.last = np.array([self.vocab.get(c + self.suffix, -1) for c in byte_letters()], np.int64)
-        self.done: dict[str, list[int]] = {}
+        self.done: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text after normalisation; an added token that stands in the text is its id."""
@@ -143,16 +143,22 @@ class WordBpe:
                     where[r] = [*where.get(r, []), *spots[n + 1 :]]
                     heapq.heappush(active, r)
                     break
-        for w, begin, end in zip(names, start.tolist(), stop.tolist(), strict=True):
-            self.done[w] = [s for s in sym[begin:end] if s >= 0]
+        final = np.array(sym, np.int64)
+        place = 4 * np.concatenate(([0], np.cumsum(final >= 0)))
+        flat = final[final >= 0].astype("<u4").tobytes()
+        self.done.update(zip(names, [flat[a:b] for a, b in zip(place[start].tolist(), place[stop].tolist(), strict=True)], strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
         if len(self.done) > KEPT_WORDS:
             self.done.clear()
         split = [self.split(t) for t in texts]
         self.learn({w for w in set(chain.from_iterable(split)) if w.__class__ is str and w not in self.done})
         get = self.done.__getitem__
-        return [list(chain.from_iterable([w] if w.__class__ is int else get(w) for w in ws)) if any(w.__class__ is int for w in ws) else list(chain.from_iterable(map(get, ws))) for ws in split]
+        return [b"".join([w.to_bytes(4, "little") if w.__class__ is int else get(w) for w in ws]) if any(w.__class__ is int for w in ws) else b"".join(map(get, ws)) for ws in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<u4").tolist() for x in self.packed(texts)]
 
     def decode(self, ids) -> str:
         """Token strings joined by spaces, as the library does for a file without a decoder."""
@@ -189,12 +195,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
         t = encoder(path)
         for b in blocks(batches, b_text):
-            got = t.encode([x or "" for x in b.column(b_text).to_pylist()])
-            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(got), np.int32, int(ends[-1]))
+            got = t.packed([x or "" for x in b.column(b_text).to_pylist()])
+            ends = (np.cumsum([0, *map(len, got)]) // 4).astype(np.int32)
+            flat = np.frombuffer(b"".join(got), "<u4").astype(np.int32)
             new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
             if decoded:
-                new.append(pa.array([t.decode(x) for x in got], pa.string()))
+                new.append(pa.array([t.decode(np.frombuffer(x, "<u4").tolist()) for x in got], pa.string()))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], *new], names=[*keep, *[n for n, _ in made]])
 
     source = docs.select(*keep) if text in keep else docs.select(*keep, text)
