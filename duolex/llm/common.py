@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-import os
 import sys
 import types
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_folder, table  # noqa: F401
+
 #: Characters that separate words: space and the controls 9 to 13. `bytes.split()` splits at the same six.
 SPACES = r"[\x20\x09-\x0D]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Rows of a side of a join that may be broadcast, once they have been counted.
+FEW = 100_000
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one under the warehouse where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
 
+def few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are counted and found to be at most FEW; beyond that the join is by exchange."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= FEW else keys
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the cluster's shared checkpoint folder (`spark.checkpoint.dir`).
 
-    A lost executor can read it again. Only where the session names no folder, as in tests, is one set here.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def cut_lean(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df kept like `cut`, its Python functions fed with batches of `rows` rows, where rows are long or many are made of one."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, usual)
 
 
 def cut_dealt(df: DataFrame, partitions: int, key: str) -> DataFrame:

@@ -12,19 +12,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, table
+from ..session import memo
+from .common import body, few, table
 
 #: Bytes of item texts in a block; words of a seed; scores of equal words, of unequal ones and of a gap.
 ITEM_BYTES, SEED, EQUAL, UNEQUAL, GAP = 2 << 20, 3, 2, -1, -1
 #: Share of a perfect score, and equal words at least, of a link.
-SHARE, LEAST_WORDS, LEAST_SEEDS = 0.5, 6, 16
+SHARE, LEAST_WORDS, LEAST_SEEDS = 0.4, 8, 16
 #: ASCII letters to lower case; everything else in ASCII but digits separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -65,7 +65,7 @@ def align(item: tuple, text: tuple) -> tuple[int, int, int, int]:
     return score, int(equal), i, end
 
 
-@lru_cache(maxsize=20_000)
+@memo(20_000)
 def _aligned(item: tuple, text: tuple) -> tuple[int, int, int, int]:
     if len(item) == len(text) and item == text:
         return EQUAL * len(item), len(item), 0, len(text)
@@ -183,7 +183,7 @@ def _linked(rows: DataFrame, block: list, seeds: dict, share: float, least: int,
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs, with all its columns, without the documents that are linked to an item. Rows with a null doc_id that link go too."""
-    bad = links(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = few(links(docs, items).select(F.col("doc_id").alias("__bad")).distinct())
     return docs.join(bad, docs.doc_id.eqNullSafe(bad["__bad"]), "left_anti")
 
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, table
+from .common import SPACES, cut, few, table
 
 #: Statistics that conditions may test, as expressions over the columns of `statistics`.
 TESTS = {
@@ -176,8 +176,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that `judge` rejects, in the columns of docs; equal doc_ids with different verdicts stay if any is kept."""
-    good = judge(docs, labels).filter("kept").select("doc_id").distinct()
-    return docs.join(good, docs.doc_id.eqNullSafe(good.doc_id), "left_semi")
+    bad = judge(docs, labels).groupBy("doc_id").agg(F.bool_or("kept").alias("k")).filter("not k").select(F.col("doc_id").alias("__bad"))
+    bad = few(bad)  # texts stay where they are unless very many rows go
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad["__bad"]), "left_anti")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
