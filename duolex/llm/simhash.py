@@ -3,9 +3,9 @@
 A fingerprint of 64 bits is cut into m segments, m the least with bits <= 2m - 1: if two fingerprints differ in at most
 `bits` bits, one of their segments differs in at most one. Every segment is indexed once for each of its positions with that
 position blanked (64 keys for a fingerprint), so segments at distance one or none share a key. Rows with equal keys meet in
-one sorted run; each pair is verified on the whole fingerprint. Runs of up to SMALL rows give all their verified pairs.
-Longer runs, as large families of near copies make, give a spanning forest of the verified links instead: it has the same
-components and at most one edge a row. Nothing is capped or dropped.
+one sorted run; each pair is verified on the whole fingerprint, and taken up under one of the keys that it shares. Runs of up to
+SMALL rows give all their verified pairs. Longer runs, as large families of near copies make, give a spanning forest of the
+verified links instead: it has the same components and at most one edge a row. Nothing is capped or dropped.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, cut, table
+from .common import body, cut, cut_lean, few, table
 from .graph import components
 
 SMALL = 16
@@ -94,14 +94,34 @@ def variants(fp, bits: int):
     return F.array(*out)
 
 
-def spanning(f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def home(x: np.ndarray, bits: int) -> np.ndarray:
+    """The one position under which a pair with the differences x is taken up, of all those under which it shares a key.
+
+    In the first segment with one difference at most: that of the difference, or else the segment's first.
+    """
+    at = np.full(x.shape, 255, np.uint8)
+    for shift, width in reversed(segments(bits)):
+        part = (x >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        one = np.log2(np.maximum(part, np.uint64(1)).astype(float)).astype(np.uint8)
+        at = np.where(np.bitwise_count(part) <= 1, shift + one, at)
+    return at
+
+
+def close(x: np.ndarray, bits: int, position: int) -> np.ndarray:
+    """Which differences are a link that is taken up at the position."""
+    near = np.bitwise_count(x) <= bits
+    near[near] = home(x[near], bits) == position
+    return near
+
+
+def spanning(f: np.ndarray, bits: int, position: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (from, to) of a spanning forest of the links among f."""
     left, a, b = np.arange(len(f)), [], []
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             at = front.pop()
-            near = np.bitwise_count(f[left] ^ f[at]) <= bits
+            near = close(f[left] ^ f[at], bits, position)
             if near.any():
                 hit, left = left[near], left[~near]
                 a.append(np.full(len(hit), at))
@@ -111,7 +131,7 @@ def spanning(f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked(keys: np.ndarray, f: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    """Verified links (n, 2) of ids within runs of equal keys (sorted)."""
+    """Verified links (n, 2) of ids within runs of equal keys (sorted), each where it is at home."""
     found = []
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
@@ -121,10 +141,12 @@ def linked(keys: np.ndarray, f: np.ndarray, ids: np.ndarray, bits: int) -> np.nd
         if not len(i):
             break
         i = i[np.bitwise_count(f[i] ^ f[i + o]) <= bits]
+        i = i[home(f[i] ^ f[i + o], bits) == (keys[i] >> np.uint64(32)) & np.uint64(0xFF)]
         found.append(np.stack((ids[i], ids[i + o]), 1))
     for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
         order = s + np.argsort(ids[s : s + n])
-        a, b = spanning(f[order], bits)
+        position = int(keys[s]) >> 32 & 0xFF
+        a, b = spanning(f[order], bits, position)
         found.append(np.stack((ids[order[a]], ids[order[b]]), 1))
     both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
     return np.unique(np.sort(both, 1), axis=0) if len(both) else both
@@ -146,7 +168,7 @@ def links(prints: DataFrame, bits: int, n_prints: int = 1) -> DataFrame:
             end = len(m) if last or not len(m) else int(np.searchsorted(m[:, 0], m[-1, 0]))
             held, size = [m[end:]], len(m) - end
             if end:
-                got = linked(m[:end, 0], m[:end, 1].view(np.uint64), m[:end, 2], bits)
+                got = linked(m[:end, 0].view(np.uint64), m[:end, 1].view(np.uint64), m[:end, 2], bits)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
         for b in batches:
@@ -167,9 +189,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     made; rows with a null doc_id keep their component and never name it unless all its ids are null. An empty table gives
     an empty one. Other columns are ignored, whatever they are called.
     """
-    prints = cut(fingerprints(docs, words).select(F.col("key").alias("doc_id"), F.col("prints")[0].alias("fp")))
+    prints = cut_lean(fingerprints(docs, words).select(F.col("key").alias("doc_id"), F.col("prints")[0].alias("fp")))
     per = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = links(per.select(F.col("fp").alias("id"), F.array("fp").alias("prints")), bits)
+    edges = cut(links(per.select(F.col("fp").alias("id"), F.array("fp").alias("prints")), bits))
     root = components(edges)
     placed = per.join(root, per.fp == root.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -185,23 +207,23 @@ def jaccard_links(docs: DataFrame, edges: DataFrame, words: int, least: float) -
             out = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "s"])
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = few(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     shingles = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", body("text")).mapInArrow(sets, "id bigint, s binary")
-    shingles = cut(shingles)
+    shingles = cut_lean(shingles)
     x, y = shingles.select(F.col("id").alias("a"), F.col("s").alias("x")), shingles.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(close, "a bigint, b bigint")
+    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 7, prints: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 7, prints: int = 6) -> DataFrame:
     """docs without all but one row of each group of near duplicates; the row with the smallest doc_id stays.
 
     Equal texts are one group. Different texts are candidates if one of `prints` independent SimHash fingerprints is at most
@@ -210,14 +232,19 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     stays; rows with a null doc_id stay where no row with an id is equal in text, one for each text.
     """
     names = docs.columns
-    marked = docs.withColumn("__h", F.sha2(body("text"), 256)).withColumn("__k", F.concat_ws("/", F.col("doc_id").cast("string"), "__h"))
-    light = fingerprints(marked, words, prints, "doc_id", "__k")
+    marked = docs.withColumn("__k", F.concat_ws("/", F.col("doc_id").cast("string"), F.sha2(body("text"), 256)))
+    light = cut_lean(fingerprints(marked, words, prints, "doc_id", "__k"))
     first = cut(light.groupBy(F.substring_index("tag", "/", -1).alias("h")).agg(F.min("key").alias("id"), F.min_by("tag", "key").alias("tag"), F.first("prints").alias("prints"), F.first("tag").alias("any")))
     edges = cut(links(first.filter("id is not null").select("id", "prints"), bits, prints))
-    gone = components(jaccard_links(docs, edges, words, similarity)).select(F.col("node").alias("id")).distinct()
-    stay = first.select("id", F.coalesce("tag", "any").alias("__k")).join(gone, "id", "left_anti")
-    # tags name a doc_id and a text, so no key is hot but for rows that repeat both
-    return marked.join(stay.select("__k"), "__k", "left_semi").dropDuplicates(["__k"]).select(*names)
+    gone = components(cut_lean(jaccard_links(docs, edges, words, similarity))).select(F.col("node").alias("id")).distinct()
+    stay = first.select("id", F.coalesce("tag", "any").alias("tag")).join(gone, "id", "left_anti").select("tag")
+    # texts stay where they are unless very much goes: what is sent are the tags of rows that go or that repeat
+    counts = light.groupBy("tag").agg(F.count("*").alias("n"))
+    drop = counts.join(stay, "tag", "left_anti").select(F.col("tag").alias("__k"))
+    again = few(counts.filter("n > 1").join(stay, "tag", "left_semi").select(F.col("tag").alias("__k")))
+    kept = marked.join(few(drop), "__k", "left_anti")
+    single = kept.join(again, "__k", "left_anti")
+    return single.unionByName(kept.join(again, "__k", "left_semi").dropDuplicates(["__k"])).select(*names)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

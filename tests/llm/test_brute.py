@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from duolex.llm import bpe, ctw, decontaminate, pii, quality, sharding, simhash, token_counts, toxicity
+from duolex.llm import bpe, common, ctw, decontaminate, pii, quality, sharding, simhash, token_counts, toxicity
 
 from .helpers import plain
 
@@ -146,7 +146,7 @@ def ctw_brute(texts, train, depth):
     return lambda t: sum(math.log10(p(c, n, b) or 0.5) for c, n, b in bits(t))
 
 
-@pytest.mark.parametrize("depth", [3, 6])
+@pytest.mark.parametrize("depth", [4, 6])
 def test_ctw(spark, texts, depth):
     some = {i: t for i, t in list(texts.items())[:25]}
     some[1001], some[1002] = "", None
@@ -379,3 +379,12 @@ def test_label_model():
     assert m.prior[1] == pytest.approx(0.2, abs=0.04)
     assert m.table[1][1, 2] == pytest.approx(0.6, abs=0.08) and m.table[0][1, 2] == pytest.approx(0.05, abs=0.03)
     assert m.weight[0] < 0.7 and m.weight[5] > 0.8 and m.correlation[0, 4] > 0.9
+
+
+def test_deduplicate_without_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.filter("doc_id % 9 = 0"))  # some rows repeat
+    usual = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
+    monkeypatch.setattr(common, "FEW", 0)
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == usual
+    assert len(usual) == len(set(usual))
