@@ -6,22 +6,29 @@ position blanked (64 keys for a fingerprint), so segments at distance one or non
 one sorted run; each pair is verified on the whole fingerprint, and taken up under one of the keys that it shares. Runs of up to
 SMALL rows give all their verified pairs. Longer runs, as large families of near copies make, give a spanning forest of the
 verified links instead: it has the same components and at most one edge a row. Nothing is capped or dropped.
+
+`deduplicate` links by the Jaccard similarity of shingle sets and finds its candidates by a prefix filter, which is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import body, cut, cut_lean, few, table
 from .graph import components
 
 SMALL = 16
+#: Texts looked at for frequent shingles; how many of these come last in a prefix; rounds of comparison with one of a run.
+SAMPLE, FREQUENT, STARS = 10_000, 100_000, 3
+#: Columns of the parities.
+MAP = ("b0", "b1", "b2", "b3")
 #: Rows of the sorted key table that are worked on at once.
 CHUNK = 1 << 19
 
@@ -199,13 +206,61 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def jaccard_links(docs: DataFrame, edges: DataFrame, words: int, least: float) -> DataFrame:
-    """The edges (a, b) of doc ids whose texts have shingle sets of Jaccard similarity `least` or more."""
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat among about SAMPLE texts, ascending, and their ranks from the rarest. They only set an order."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "s"])
+            g, n = np.unique(np.concatenate([np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(0)] or [np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+
+    texts = docs.select(body("text").alias("t"))
+    part = texts.filter(F.pmod(F.xxhash64("t"), F.lit(max(1, docs.count() // SAMPLE))) == 0).distinct()
+    got = part.mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "g").limit(FREQUENT).collect()
+    g = np.array([r.g for r in got], np.int64).view(np.uint64)
+    order = np.argsort(g)
+    return g[order], len(g) - np.arange(len(g))[order]
+
+
+def signatures(docs: DataFrame, words: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, text, __k) to (key, tag, node, n, b0 to b3, prefix), a row for each row.
+
+    node: 64-bit hash of the set of shingles; n: its size; b0 to b3: the parities of how many shingles fall on each of 256
+    places; prefix: the shingles of which two sets of similarity `least` or more share one, rare ones first.
+    """
+    common, rank = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, maps, prefixes = [], [], [], []
+            for t in b.column(1):
+                s = np.unique(shingle_hashes(t.as_py(), words))
+                nodes.append(signed(xxhash.xxh64_intdigest(s.tobytes(), 7)))
+                sizes.append(len(s))
+                parity = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                maps.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    often = common[at] == s
+                    s = np.concatenate((s[~often], s[often][np.argsort(rank[at[often]])]))
+                prefixes.append(s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1].view(np.int64))
+            m = np.array(maps, np.int64).reshape(-1, 4)
+            cols = [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(m[:, i]) for i in range(4)], pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "tag", "node", "n", *MAP, "prefix"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("key"), body("text").alias("t"), F.col("__k").alias("tag"))
+    return rows.mapInArrow(run, "key bigint, tag string, node bigint, n bigint, " + "".join(f"{c} bigint, " for c in MAP) + "prefix array<bigint>")
+
+
+def may_be_alike(x, y, least: float):
+    """False only for sets whose sizes or parities rule the similarity out: parities differ at most where shingles do."""
+    apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in MAP[1:]), F.bit_count(x(MAP[0]).bitwiseXOR(y(MAP[0]))))
+    fit = F.least(x("n"), y("n")) >= least * F.greatest(x("n"), y("n")) - 1e-6
+    return fit & (apart <= (x("n") + y("n")) * ((1 - least) / (1 + least)) + 1e-6)
+
+
+def jaccard_links(sets: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """The edges (a, b) whose sets of shingles, of (id, s), have a Jaccard similarity of `least` or more."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,28 +271,78 @@ def jaccard_links(docs: DataFrame, edges: DataFrame, words: int, least: float) -
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    ends = few(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    shingles = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").select("doc_id", body("text")).mapInArrow(sets, "id bigint, s binary")
-    shingles = cut_lean(shingles)
-    x, y = shingles.select(F.col("id").alias("a"), F.col("s").alias("x")), shingles.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
+    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    return cut_lean(edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
+
+
+def shingle_sets(marked: DataFrame, of: DataFrame, words: int) -> DataFrame:
+    """(id, s) of the nodes in `of` (node, tag): the ascending hashes of their shingles."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "s"])
+
+    rows = marked.select("__k", body("text").alias("t")).join(few(of.select(F.col("tag").alias("__k"), "node")), "__k")
+    return cut_lean(rows.select("node", "t").mapInArrow(sets, "id bigint, s binary").groupBy("id").agg(F.first("s").alias("s")))
 
 
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 7, prints: int = 6) -> DataFrame:
+def similar(marked: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
+    """first (node, tag, n, b0 to b3, prefix) to (node, root) of the components of all pairs of similarity `least` or more.
+
+    Every such pair shares a shingle of both prefixes. Runs of up to SMALL sets with a shingle give all their pairs. In longer
+    ones sets are first held against one of the run, STARS times, so that most of a family is one component by links that
+    are verified; then every pair that is still in two components is looked at.
+    """
+    rows = first.select("node", F.explode("prefix").alias("k"))
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("k"))).filter("size > 1")
+    runs = cut(rows).join(first.select("node", "n", *MAP), "node")
+    runs = cut(runs)
+    fields = ["node", "n", *MAP]
+    other = lambda d, *more: d.select("k", *[F.col(c).alias(f"_{c}") for c in [*fields, *more]])
+    here, there = F.col, lambda c: F.col(f"_{c}")
+    fit = may_be_alike(here, there, least)
+    pair = F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")
+    small, big = runs.filter(F.col("size") <= SMALL), runs.filter(F.col("size") > SMALL)
+    pairs = cut(small.join(other(small), "k").filter(F.col("node") < F.col("_node")).filter(fit).select(*pair).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(big.select("node")).distinct()
+    sets = shingle_sets(marked, first.select("node", "tag").join(ends, "node", "left_semi"), words)
+    found = jaccard_links(sets, pairs, least)
+    root = components(found)
+    for i in range(STARS + 1):
+        now = big.join(few(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        star = now.groupBy("k").agg(F.min_by(F.struct(*fields, "root"), F.xxhash64("node", F.lit(i))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        star = star.filter("lo < hi").select("k", *[F.col(f"p.{c}").alias(f"_{c}") for c in [*fields, "root"]])
+        now = cut(now.join(star, "k"))  # runs in one component are decided
+        if now.isEmpty():
+            break
+        now = now.filter("root <> _root") if i < STARS else now
+        if i < STARS:
+            pairs = now.filter(fit)
+        else:
+            rest = now.filter("root <> _root").select("k", *fields, "root", F.col("_root").alias("main"))
+            pairs = rest.join(other(now, "root"), "k").filter("root <> _root and (_root = main or node < _node)").filter(fit)
+        more = jaccard_links(sets, cut(pairs.select(*pair).distinct()), least)
+        found = found.unionByName(more)
+        root = components(found)
+    return root
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one row of each group of near duplicates; the row with the smallest doc_id stays.
 
-    Equal texts are one group. Different texts are candidates if one of `prints` independent SimHash fingerprints is at most
-    `bits` bits apart, and are linked if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or
-    more. Texts without a word are one group, like any equal shingle sets. Of rows that are equal in doc_id and text one
-    stays; rows with a null doc_id stay where no row with an id is equal in text, one for each text.
+    Equal texts are one group. Different texts are linked if the Jaccard similarity of their sets of `words`-word shingles
+    is `similarity` or more; no such pair is left out. Texts without a word are one group, like any equal shingle sets. Of
+    rows that are equal in doc_id and text one stays. Rows with a null doc_id are compared like all others and stay only
+    where no row of their group has an id, one for each group. Where different texts share a doc_id each is judged alone.
     """
     names = docs.columns
     marked = docs.withColumn("__k", F.concat_ws("/", F.col("doc_id").cast("string"), F.sha2(body("text"), 256)))
-    light = cut_lean(fingerprints(marked, words, prints, "doc_id", "__k"))
-    first = cut(light.groupBy(F.substring_index("tag", "/", -1).alias("h")).agg(F.min("key").alias("id"), F.min_by("tag", "key").alias("tag"), F.first("prints").alias("prints"), F.first("tag").alias("any")))
-    edges = cut(links(first.filter("id is not null").select("id", "prints"), bits, prints))
-    gone = components(cut_lean(jaccard_links(docs, edges, words, similarity))).select(F.col("node").alias("id")).distinct()
-    stay = first.select("id", F.coalesce("tag", "any").alias("tag")).join(gone, "id", "left_anti").select("tag")
+    light = cut_lean(signatures(marked, words, similarity, frequent_shingles(docs, words)))
+    first = cut(light.groupBy("node").agg(F.min("tag").alias("tag"), *[F.first(c).alias(c) for c in ("n", *MAP, "prefix")]))
+    root = similar(marked, first, words, similarity)
+    placed = light.select("key", "tag", "node").join(few(root), "node", "left")
+    stay = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag")).alias("s")).select("s.tag")
     # texts stay where they are unless very much goes: what is sent are the tags of rows that go or that repeat
     counts = light.groupBy("tag").agg(F.count("*").alias("n"))
     drop = counts.join(stay, "tag", "left_anti").select(F.col("tag").alias("__k"))
