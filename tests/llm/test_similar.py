@@ -55,3 +55,13 @@ def test_no_pair_is_missed(spark):
     want = stays(texts)
     assert 300 < len(want) < 600
     assert sorted(r.doc_id for r in simhash.deduplicate(plain(spark, list(enumerate(texts)))).collect()) == want
+
+
+def test_large_family_around_the_limit(spark):
+    """Runs much longer than SMALL, in which many of the candidates of any one member fail."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = [edited(rnd, base, rnd.choice((2, 3, 3, 4))) for _ in range(400)]
+    want = stays(texts)
+    assert 1 < len(want) < 300
+    assert sorted(r.doc_id for r in simhash.deduplicate(plain(spark, list(enumerate(texts)))).collect()) == want
