@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are a stated query set, taken in blocks of at most ITEM_BYTES so that a block can go to all executors. For a block,
-one pass over all documents counts how many contain each n-gram of the items; of those of an item that occur, the rarer half,
-and LEAST_SEEDS at least, are its seeds, however frequent they are: a passage that leaked into very many documents keeps its seeds. A second pass looks the
-seeds up in every document (a hash join with the small side in memory; texts don't move), gathers the hits of an item by
-place, and aligns the item with the words around them. An alignment that scores `share` of a perfect one or more is a link,
+every n-gram of an item is a seed, however frequent it is, so a copy of any part of an item, however much that part leaked, has
+seeds. One pass looks the seeds up in every document (a hash join with the small side in memory; texts don't move), gathers
+the hits of an item by place, and aligns the item with the words around them, unless the words that both have, counted
+without their order, can't reach the score. An alignment that scores `share` of a perfect one or more is a link,
 so copies with replaced, added or dropped words are found and chance n-grams aren't.
 """
 
@@ -24,7 +24,7 @@ from .common import body, few, table
 #: Bytes of item texts in a block; words of a seed; scores of equal words, of unequal ones and of a gap.
 ITEM_BYTES, SEED, EQUAL, UNEQUAL, GAP = 2 << 20, 3, 2, -1, -1
 #: Share of a perfect score, and equal words at least, of a link.
-SHARE, LEAST_WORDS, LEAST_SEEDS = 0.4, 8, 16
+SHARE, LEAST_WORDS = 0.4, 8
 #: ASCII letters to lower case; everything else in ASCII but digits separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -85,6 +85,12 @@ def windows(hits: list[tuple[int, int]], size: int, n_words: int) -> list[tuple[
     return [(a, b) for a, b in out]
 
 
+def shared(item: Counter, text: list[bytes]) -> int:
+    """Words that an item and a text both have, each as often as both have it: no alignment has more equal words."""
+    there = Counter(filter(item.__contains__, text))
+    return sum(min(n, item[w]) for w, n in there.items())
+
+
 def blocks_of(items: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
     """The items (item_id, words), a block after the other; null and blank items are left out."""
     rows = items.select("item_id", body("text").alias("t"))
@@ -111,46 +117,18 @@ def links(docs: DataFrame, items: DataFrame, share: float = SHARE, least: int =
     schema = f"doc_id {kind}, item_id {item_kind}, score double, identity double, begin bigint, end bigint"
     found: DataFrame | None = None
     for block in blocks_of(items):
-        number: dict[tuple, int] = {}
-        for _, w in block:
-            for g in grams_of(w):
-                number.setdefault(g, len(number))
-        counted = dict(_frequencies(rows, number).collect())
         seeds: dict[tuple, list[tuple[int, int]]] = {}
         for k, (_, w) in enumerate(block):
-            at: dict[tuple, int] = {}
             for p, g in enumerate(grams_of(w)):
-                at.setdefault(g, p)
-            there = [g for g in at if number[g] in counted]
-            rare = sorted(there, key=lambda g: (counted[number[g]], at[g]))
-            for g in rare[: max(LEAST_SEEDS, -(-len(rare) // 2))]:
-                seeds.setdefault(g, []).append((k, at[g]))
+                seeds.setdefault(g, []).append((k, p))
         part = _linked(rows, block, seeds, share, least, schema)
         found = part if found is None else found.unionByName(part)
     return (found if found is not None else spark.createDataFrame([], schema)).distinct()
 
 
-def _frequencies(rows: DataFrame, number: dict[tuple, int]) -> DataFrame:
-    """(gram number, documents that contain it); the sums of a task leave it, not its hits."""
-    lengths = {len(g) for g in number}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        for b in batches:
-            for t in b.column(1):
-                w = words_of(t.as_py())
-                hit = set()
-                for k in lengths:
-                    if len(w) >= k:
-                        hit.update(filter(number.__contains__, grams_of(w, k)))
-                n.update(map(number.__getitem__, hit))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["g", "n"])
-
-    return rows.mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-
-
 def _linked(rows: DataFrame, block: list, seeds: dict, share: float, least: int, schema: str) -> DataFrame:
     lengths = {len(g) for g in seeds}
+    counts = [Counter(w) for _, w in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,13 +144,14 @@ def _linked(rows: DataFrame, block: list, seeds: dict, share: float, least: int,
                                     hits.setdefault(k, []).append((at, p))
                 for k, own in hits.items():
                     item_id, item = block[k]
-                    best = None
+                    best, top = None, EQUAL * len(item)
                     for a, b in windows(own, len(item), len(w)):
+                        if EQUAL * shared(counts[k], w[a:b]) < share * top:
+                            continue
                         score, equal, i, j = _aligned(tuple(item), tuple(w[a:b]))
                         if best is None or score > best[0]:
                             best = (score, equal, a + i, a + j)
-                    top = EQUAL * len(item)
-                    if best[0] >= share * top and best[1] >= min(least, len(item)):
+                    if best is not None and best[0] >= share * top and best[1] >= min(least, len(item)):
                         out.append((doc, item_id, best[0] / top, best[1] / len(item), best[2], best[3]))
             cols = list(zip(*out, strict=True)) or [()] * 6
             types = (batch.schema.field(0).type, None, pa.float64(), pa.float64(), pa.int64(), pa.int64())
