@@ -61,6 +61,12 @@ def body(col: Column | str) -> Column:
     return F.coalesce(col.cast("binary"), F.lit(b""))
 
 
+def row_tag(doc_id: Column | str, text: Column | str) -> Column:
+    """What tells rows of different ids or texts apart, also where ids are null or repeat: the id and a digest of the text."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.concat_ws("/", doc_id.cast("string"), F.sha2(body(text), 256))
+
+
 def kept(name: str, make):
     """make() once in a worker process, whatever copies of this module the tasks unpickle."""
     box = sys.modules.setdefault("_duolex_worker_cache", types.ModuleType("_duolex_worker_cache")).__dict__

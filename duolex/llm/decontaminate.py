@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import memo
-from .common import body, few, table
+from .common import body, few, row_tag, table
 
 #: Bytes of item texts in a block; words of a seed; scores of equal words, of unequal ones and of a gap.
 ITEM_BYTES, SEED, EQUAL, UNEQUAL, GAP = 2 << 20, 3, 2, -1, -1
@@ -161,9 +161,11 @@ def _linked(rows: DataFrame, block: list, seeds: dict, share: float, least: int,
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs, with all its columns, without the documents that are linked to an item. Rows with a null doc_id that link go too."""
-    bad = few(links(docs, items).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["__bad"]), "left_anti")
+    """docs, with all its columns, without the rows that are linked to an item. Each row is judged by its own text, whatever its doc_id."""
+    marked = docs.withColumn("__k", row_tag("doc_id", "text"))
+    own = marked.select(F.col("__k").alias("doc_id"), "text")
+    bad = few(links(own, items).select(F.col("doc_id").alias("__k")).distinct())
+    return marked.join(bad, "__k", "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

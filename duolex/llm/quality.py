@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, few, table
+from .common import SPACES, cut, few, row_tag, table
 
 #: Statistics that conditions may test, as expressions over the columns of `statistics`.
 TESTS = {
@@ -63,8 +63,8 @@ def repeated_words(words: Column, window: int = 5) -> Column:
     return F.when(F.size(words) < window, F.lit(0)).otherwise(let(hashes, count)).cast("bigint")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to doc_id and counts (bigint) of the whole text, a row for each row; null is the text without words."""
+def statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """docs (doc_id, text) to doc_id, the columns `more` and counts (bigint) of the whole text, a row for each row; null is the text without words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     gone = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("bigint")
     words = F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
@@ -78,6 +78,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     made = docs.select(
         "doc_id",
+        *more,
         let(words, of_words).alias("w"),
         let(lines, of_lines).alias("l"),
         gone(r"[#*$%&|<>]+").alias("n_symbols"),
@@ -85,7 +86,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         gone(r"[0-9]+").alias("n_digits"),
         gone(r"[!?;:\"'()\[\]{}=_~^+/\\-]+").alias("n_marks"),
     )
-    return made.select("doc_id", "w.*", "l.*", "n_symbols", "n_upper", "n_digits", "n_marks")
+    return made.select("doc_id", *more, "w.*", "l.*", "n_symbols", "n_upper", "n_digits", "n_marks")
 
 
 def learn(stats: DataFrame, labels: DataFrame) -> list[list[tuple[str, str, float]]]:
@@ -162,23 +163,24 @@ def conditional(rules: list[list[tuple[str, str, float]]]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     """docs (doc_id, text) with labels (doc_id, quality) to a row for each row: the counts, base_failed, rule and kept.
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated five-word windows. rule: the first learned rule
     that holds, 0 if none. kept: neither. Null and blank texts fail. Rows that repeat are judged each; other columns of docs
-    are ignored; without usable labels only the base rejects.
+    but `more` are ignored; without usable labels only the base rejects.
     """
-    stats = cut(statistics(docs))
+    stats = cut(statistics(docs, *more))
     rules = learn(stats, labels)
     return stats.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("rule", conditional(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that `judge` rejects, in the columns of docs; equal doc_ids with different verdicts stay if any is kept."""
-    bad = judge(docs, labels).groupBy("doc_id").agg(F.bool_or("kept").alias("k")).filter("not k").select(F.col("doc_id").alias("__bad"))
+    """docs without the rows that `judge` rejects, in the columns of docs. Each row is judged by its own text, whatever its doc_id."""
+    marked = docs.withColumn("__k", row_tag("doc_id", "text"))
+    bad = judge(marked, labels, "__k").filter("not kept").select("__k").distinct()
     bad = few(bad)  # texts stay where they are unless very many rows go
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad["__bad"]), "left_anti")
+    return marked.join(bad, "__k", "left_anti").select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

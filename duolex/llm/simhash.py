@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import body, cut, cut_lean, few, table
+from .common import body, cut, cut_lean, few, row_tag, table
 from .graph import components
 
 SMALL = 16
@@ -337,7 +337,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     where no row of their group has an id, one for each group. Where different texts share a doc_id each is judged alone.
     """
     names = docs.columns
-    marked = docs.withColumn("__k", F.concat_ws("/", F.col("doc_id").cast("string"), F.sha2(body("text"), 256)))
+    marked = docs.withColumn("__k", row_tag("doc_id", "text"))
     light = cut_lean(signatures(marked, words, similarity, frequent_shingles(docs, words)))
     first = cut(light.groupBy("node").agg(F.min("tag").alias("tag"), *[F.first(c).alias(c) for c in ("n", *MAP, "prefix")]))
     root = similar(marked, first, words, similarity)
