@@ -276,19 +276,20 @@ def jaccard_links(sets: DataFrame, edges: DataFrame, least: float) -> DataFrame:
 
 
 def shingle_sets(marked: DataFrame, of: DataFrame, words: int) -> DataFrame:
-    """(id, s) of the nodes in `of` (node, tag): the ascending hashes of their shingles."""
+    """(id, s) of the nodes in `of` (node, tag, again): the ascending hashes of their shingles. again: rows with the tag repeat."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "s"])
 
-    rows = marked.select("__k", body("text").alias("t")).join(few(of.select(F.col("tag").alias("__k"), "node")), "__k")
-    return cut_lean(rows.select("node", "t").mapInArrow(sets, "id bigint, s binary").groupBy("id").agg(F.first("s").alias("s")))
+    rows = marked.select("__k", body("text").alias("t")).join(few(of.select(F.col("tag").alias("__k"), "node", "again")), "__k")
+    made = lambda d: d.select("node", "t").mapInArrow(sets, "id bigint, s binary")
+    return cut_lean(made(rows.filter("not again")).unionByName(made(rows.filter("again")).groupBy("id").agg(F.first("s").alias("s"))))
 
 
 def similar(marked: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
-    """first (node, tag, n, b0 to b3, prefix) to (node, root) of the components of all pairs of similarity `least` or more.
+    """first (node, tag, again, n, b0 to b3, prefix) to (node, root) of the components of all pairs of similarity `least` or more.
 
     Every such pair shares a shingle of both prefixes. Runs of up to SMALL sets with a shingle give all their pairs. In longer
     ones sets are first held against one of the run, STARS times, so that most of a family is one component by links that
@@ -306,7 +307,7 @@ def similar(marked: DataFrame, first: DataFrame, words: int, least: float) -> Da
     small, big = runs.filter(F.col("size") <= SMALL), runs.filter(F.col("size") > SMALL)
     pairs = cut(small.join(other(small), "k").filter(F.col("node") < F.col("_node")).filter(fit).select(*pair).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(big.select("node")).distinct()
-    sets = shingle_sets(marked, first.select("node", "tag").join(ends, "node", "left_semi"), words)
+    sets = shingle_sets(marked, first.select("node", "tag", "again").join(ends, "node", "left_semi"), words)
     found = jaccard_links(sets, pairs, least)
     root = components(found)
     for i in range(STARS + 1):
@@ -339,7 +340,9 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     names = docs.columns
     marked = docs.withColumn("__k", row_tag("doc_id", "text"))
     light = cut_lean(signatures(marked, words, similarity, frequent_shingles(docs, words)))
-    first = cut(light.groupBy("node").agg(F.min("tag").alias("tag"), *[F.first(c).alias(c) for c in ("n", *MAP, "prefix")]))
+    twice = few(light.groupBy("tag").agg(F.count("*").alias("n")).filter("n > 1").select("tag", F.lit(True).alias("again")))
+    first = light.groupBy("node").agg(F.min("tag").alias("tag"), *[F.first(c).alias(c) for c in ("n", *MAP, "prefix")])
+    first = cut(first.join(twice, "tag", "left").withColumn("again", F.coalesce("again", F.lit(False))))
     root = similar(marked, first, words, similarity)
     placed = light.select("key", "tag", "node").join(few(root), "node", "left")
     stay = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag")).alias("s")).select("s.tag")
