@@ -82,6 +82,12 @@ def split_formation(term: str, strict_compat: bool = False) -> tuple[str, ...]:
     return tuple(g for g in m.groups() if g) if m else (term,)
 
 
+@memo(200_000)
+def _parts(word: str, strict_compat: bool = False) -> tuple[str, ...]:
+    """The terms of a word as it is written."""
+    return split_formation(folded(word).replace("’", "'"), strict_compat)
+
+
 #: Letters but y as v or c; letters beyond ASCII count as consonants.
 VOWELS = type("Vowels", (dict,), {"__missing__": lambda self, c: "v" if chr(c) in "aeiou" else "y" if chr(c) == "y" else "c"})()
 CJK = "|".join((_class(HIRAGANA), _class(KATAKANA), _class(HAN), "ー"))
@@ -103,7 +109,7 @@ def default_tokens(text: str, strict_compat: bool = False) -> list[Token]:
     clean, at = normalized(text)
     every, words = _word_patterns()
     if not every.search(clean):
-        return [(part, i, at[m.start()], at[m.end()]) for i, m in enumerate(words.finditer(clean)) for part in split_formation(folded(m[0]).replace("’", "'"), strict_compat)]
+        return [(part, i, at[m.start()], at[m.end()]) for i, m in enumerate(words.finditer(clean)) for part in _parts(m[0], strict_compat)]
     out: list[Token] = []
     pos = 0
     run: list[tuple[str, int, int]] = []
@@ -127,7 +133,7 @@ def default_tokens(text: str, strict_compat: bool = False) -> list[Token]:
             run.append((folded(m[0]), start, end))
             continue
         flush()
-        for part in split_formation(folded(m[0]).replace("’", "'"), strict_compat):
+        for part in _parts(m[0], strict_compat):
             out.append((part, pos, start, end))
         pos += 1
     flush()
@@ -212,13 +218,14 @@ def stem(word: str) -> str:
     return w
 
 
+@memo(200_000)
+def _stemmed(term: str) -> str | None:
+    t = term.removesuffix("'s")
+    return None if t in STOP_WORDS else stem(t)
+
+
 def english_conjugation_tokens(text: str) -> list[Token]:
-    out = []
-    for term, pos, start, end in default_tokens(text):
-        t = term.removesuffix("'s")
-        if t not in STOP_WORDS:
-            out.append((stem(t), pos, start, end))
-    return out
+    return [(t, pos, start, end) for term, pos, start, end in default_tokens(text) if (t := _stemmed(term)) is not None]
 
 
 def japanese_conjugation_tokens(text: str) -> list[Token]:

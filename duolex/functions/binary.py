@@ -27,7 +27,8 @@ def audio_problem(data: Column) -> Column:
 
 def little_endian(data: Column, start: Column | int, size: int) -> Column:
     start = F.lit(start) if isinstance(start, int) else start
-    return F.conv(F.hex(F.reverse(F.substring(data, start + 1, F.lit(size)))), 16, 10).cast("bigint")
+    h = F.hex(F.substring(data, start + 1, F.lit(size)))
+    return F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(size - 1, -1, -1)]), 16, 10).cast("bigint")
 
 
 def fuz_audio(data: Column) -> Column:
@@ -46,6 +47,7 @@ def decode_alignments(blob: Column) -> Column:
 
 
 def encode_alignments(alignments: Column) -> Column:
-    number = lambda x: F.reverse(F.unhex(F.lpad(F.hex(x), 4, "0")))
-    each = F.transform(alignments, lambda a: F.hex(F.concat(*[number(a[k]) for k in ("from_start", "from_end", "to_start", "to_end")])))
+    number = lambda x: F.lpad(F.hex(x), 4, "0")
+    low_first = lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))
+    each = F.transform(alignments, lambda a: F.concat(*[low_first(number(a[k])) for k in ("from_start", "from_end", "to_start", "to_end")]))
     return F.unhex(F.array_join(each, ""))

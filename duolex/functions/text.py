@@ -15,7 +15,7 @@ JAPANESE_LETTERS = "[一-龠ぁ-ゔァ-ヴー々〆〤ヶ]"
 HIRAGANA = ((0x3041, 0x3096), (0x309D, 0x309E), (0x309F, 0x309F), (0x1B001, 0x1B11F), (0x1B132, 0x1B132), (0x1B150, 0x1B152), (0x1F200, 0x1F200))
 KATAKANA = ((0x30A1, 0x30FA), (0x30FD, 0x30FE), (0x30FF, 0x30FF), (0x31F0, 0x31FF), (0x32D0, 0x32FE), (0x3300, 0x3357), (0xFF66, 0xFF6F), (0xFF71, 0xFF9D), (0x1AFF0, 0x1AFF3), (0x1AFF5, 0x1AFFB), (0x1AFFD, 0x1AFFE), (0x1B000, 0x1B000), (0x1B120, 0x1B122), (0x1B155, 0x1B155), (0x1B164, 0x1B167))
 HAN = ((0x2E80, 0x2E99), (0x2E9B, 0x2EF3), (0x2F00, 0x2FD5), (0x3005, 0x3005), (0x3007, 0x3007), (0x3021, 0x3029), (0x3038, 0x303A), (0x303B, 0x303B), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFA6D), (0xFA70, 0xFAD9), (0x16FE2, 0x16FE2), (0x16FE3, 0x16FE3), (0x16FF0, 0x16FF1), (0x20000, 0x2A6DF), (0x2A700, 0x2B739), (0x2B740, 0x2B81D), (0x2B820, 0x2CEA1), (0x2CEB0, 0x2EBE0), (0x2EBF0, 0x2EE5D), (0x2F800, 0x2FA1D), (0x30000, 0x3134A), (0x31350, 0x323AF))
-#: Words of English text: letters with inner apostrophes, or digits with inner separators.
+# Words of English text (letters with inner apostrophes, or digits with inner separators) and a mention in a query.
 ENGLISH_TOKEN = r"\p{L}+(?:['’]\p{L}+)*|\d+(?:[,.]\d+)*"
 MENTION = r"(?U)\s*(?<!\S)[@＠](\S+)\s*"
 
@@ -151,12 +151,17 @@ def ks_attribute(s: Column, name: str) -> Column:
     return F.when(F.regexp_count(s, F.lit(KS_NAME)) > 1, F.raise_error(F.lit("more than one name tag in a line"))).otherwise(value)
 
 
+# Percent tags and ruby of scene text, and percent tags that aren't known.
+SCN_TAG = r"(?i)(?<!\\)(?:%l;%l(?:[^;]+;){3}|%(?:l[^;]*;)?[^;]*;|\[[^\]]*\])"
+SCN_UNKNOWN = r"(?i)(?<!\\)%[^\d;dfl]"
+
+
 def scn_plain(s: Column, key: Column | None = None) -> Column:
     """Scene text without percent tags and ruby, unescaped. Unknown tags, bare ampersands and unknown escapes are errors."""
     key = F.lit("text") if key is None else key
-    stripped = F.regexp_replace(s, r"(?i)(?<!\\)(?:%l;%l(?:[^;]+;){3}|%(?:l[^;]*;)?[^;]*;|\[[^\]]*\])", "")
+    stripped = F.regexp_replace(s, SCN_TAG, "")
     wrong = (
-        F.when(s.rlike(r"(?i)(?<!\\)%[^\d;dfl]"), F.lit("unknown percent tag"))
+        F.when(s.rlike(SCN_UNKNOWN), F.lit("unknown percent tag"))
         .when(stripped.rlike(r"(?<!\\)&"), F.lit("unescaped ampersand"))
         .when(stripped.rlike(r"(?s)^(?:[^\\]|\\[\\%&n])*\\[^\\%&n]"), F.lit("unknown escape"))
     )

@@ -125,7 +125,7 @@ def quotes(pairs: DataFrame, source: str, id_: Column) -> DataFrame:
 
 
 def import_corpus(lines: DataFrame, source: str, source_id: int, align=None) -> DataFrame:  # noqa: ANN001
-    """The whole import as one lazy plan: distinct, pair, check, validate, number, format, deduplicate, align, build."""
+    """The whole import, lazy but for the numbering, which keeps its rows once: distinct, pair, check, validate, number, format, deduplicate, align, build."""
     from ..functions.ids import pack_index
     from ..functions.spans import ALIGNMENTS
 

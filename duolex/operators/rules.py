@@ -12,8 +12,8 @@ from ..session import cut
 def follow_chain(nodes: DataFrame, key: str, parent: str, values: list[str], depth: int = 32) -> DataFrame:
     """Each node with the first non-null of each value along its chain of parents, itself first.
 
-    A node that comes again ends its chain, as does `depth`. Values are looked up by joins that double the length of the
-    chain that is known, so a chain of 32 takes five joins.
+    A chain is followed for `depth` nodes at least: for the next power of two, as each join doubles the length that is known,
+    so a chain of 32 takes five joins. Nodes that come again add nothing.
     """
     nodes = nodes.select(key, parent, *values)
     cur = nodes

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.corpus import with_weights
+from ..session import cut, shared_folder
 
 #: Fields of the index: (name, language, analyzer).
 FIELDS = (
@@ -40,7 +42,8 @@ def guard_marker(quotes: DataFrame, marker: str = MARKER) -> Column:
 def postings_of(docs: DataFrame, fields=FIELDS) -> DataFrame:
     """docs (id, english.text, japanese.text) to a row for each field, term and document, with tf and positions.
 
-    A document's tokens are grouped where they are made, so nothing is shuffled.
+    A document's tokens are grouped where they are made, so nothing is shuffled. A row without a term stands for each document
+    that has a token in a field, with their number as tf: counting these rows sizes the field.
     """
     from ..functions.analyzers import ANALYZERS
 
@@ -48,47 +51,54 @@ def postings_of(docs: DataFrame, fields=FIELDS) -> DataFrame:
     runs = [(field, languages.index(language), ANALYZERS[analyzer]) for field, language, analyzer in fields]
     place = pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
+    def grouped(field: str, ids: pa.Array, texts: list[str], analyzer) -> pa.RecordBatch:  # noqa: ANN001
+        tokens = [analyzer(t) if t else [] for t in texts]
+        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        of, flat = np.repeat(np.arange(len(tokens)), n), [t for doc in tokens for t in doc]
+        words = pa.array([t[0] for t in flat], pa.string()).dictionary_encode()
+        spots = np.array([t[1:] for t in flat], np.int32).reshape(-1, 3)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((code, of))
+        of, code, spots = of[order], code[order], spots[order]
+        first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+        ends = np.append(first, len(of))
+        some = np.flatnonzero(n)
+        terms = pa.concat_arrays([words.dictionary.take(pa.array(code[first])), pa.nulls(len(some), pa.string())])
+        at = pa.StructArray.from_arrays([pa.array(spots[:, i]) for i in range(3)], fields=list(place))
+        ends = np.concatenate((ends, np.full(len(some), len(of)))).astype(np.int32)
+        tf = np.concatenate((np.diff(np.append(first, len(of))), n[some]))
+        return pa.RecordBatch.from_arrays([pa.array([field] * len(terms)), terms, ids.take(pa.array(np.concatenate((of[first], some)))), pa.array(tf), pa.ListArray.from_arrays(pa.array(ends), at)], names=["field", "term", "id", "tf", "positions"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [b.column(i + 1).to_pylist() for i in range(len(languages))]
-            names, terms, of, ends, spots = [], [], [], [0], ([], [], [])
-            for k in range(b.num_rows):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                texts = [b.column(i + 1).to_pylist() for i in range(len(languages))]
                 for field, i, analyzer in runs:
-                    found: dict[str, list] = {}
-                    for t in analyzer(texts[i][k] or ""):
-                        found.setdefault(t[0], []).append(t)
-                    for term, at in found.items():
-                        names.append(field), terms.append(term), of.append(k), ends.append(ends[-1] + len(at))
-                        for column, n in zip(spots, (1, 2, 3), strict=True):
-                            column.extend([t[n] for t in at])
-            flat = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in spots], fields=list(place))
-            ends = pa.array(ends, pa.int32())
-            tf = pc.cast(pc.subtract(ends[1:], ends[:-1]), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(terms, pa.string()), b.column(0).take(pa.array(of, pa.int64())), tf, pa.ListArray.from_arrays(ends, flat)], names=["field", "term", "id", "tf", "positions"])
+                    yield grouped(field, b.column(0), texts[i], analyzer)
 
     kind = dict(docs.dtypes)["id"]
     return docs.select("id", *[F.col(f"{x}.text").alias(x) for x in languages]).mapInArrow(run, f"field string, term string, id {kind}, tf bigint, positions array<struct<pos:int,start:int,end:int>>")
 
 
-def build_index(quotes: DataFrame, fields=FIELDS, keep: bool = True) -> Index:
-    """quotes to docs (with weights by source), postings (field, term, id, tf, positions), stats (df) and sizes (N by field).
+def build_index(quotes: DataFrame, fields=FIELDS, path: str | None = None, partitions: int | None = None) -> Index:
+    """quotes to docs (with weights by source), postings (field, term, id, tf, positions), stats (df) and sizes (N by field), as tables.
 
-    keep: hold the postings for the queries that follow; `write_index` makes them a table.
+    They are written under path (one of its own in the shared folder unless given). Postings are ranged by field, term and
+    id, so a query reads few row groups, and a term that nearly all documents have is spread over several tasks.
     """
+    spark = quotes.sparkSession
+    path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     docs = with_weights(quotes, "source").withColumn("_ok", guard_marker(quotes)).filter(F.col("_ok").isNull()).drop("_ok")
-    postings = postings_of(docs, fields)
-    postings = postings.persist() if keep else postings
-    stats = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    sizes = postings.groupBy("field").agg(F.count_distinct("id").alias("n"))
-    return Index(docs, postings, stats, sizes)
-
-
-def write_index(index: Index, path: str, buckets: int = 64) -> None:
-    """Parquet tables under path: postings by field and, inside, sorted by term, so a query reads few row groups."""
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.postings.repartition(buckets, "field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    index.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    made = cut(postings_of(spark.read.parquet(f"{path}/docs"), fields))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["field", "term", "id"]
+    made.filter("term is not null").repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+    made.filter("term is null").groupBy("field").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
+    postings = spark.read.schema(made.schema).parquet(f"{path}/postings")
+    postings.groupBy("field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/stats")
+    return read_index(spark, path)
 
 
 def read_index(spark, path: str) -> Index:  # noqa: ANN001

@@ -129,7 +129,10 @@ def phrase(index: Index, field: str, terms: list[tuple[str, int]]) -> DataFrame:
 
 
 def search(index: Index, query: str, culture: str = "en", seed: str = "42", limit: int = PAGE) -> DataFrame:
-    """Rows (rank, id, source, english, japanese, score, english_highlights, japanese_highlights), best first."""
+    """Rows (id, source, english, japanese, score, key, english_highlights, japanese_highlights), best first.
+
+    Documents are ranked by id, weight and speaker only; texts are read for the page.
+    """
     q = parse(query, culture)
     docs = index.docs.filter(F.lit(False)) if q.kind == "empty" else index.docs
     if q.mention:
@@ -142,14 +145,16 @@ def search(index: Index, query: str, culture: str = "en", seed: str = "42", limi
             continue
         part = phrase(index, field, [t[:2] for t in tokens]) if kind == "phrase" else match(index, field, [t[0] for t in tokens], share)
         scored = part if scored is None else scored.unionByName(part)
-    spans_none = F.array().cast(spans.SPANS)
+    light = docs.select("id", "weight")
     if scored is None:
-        found = docs.withColumn("score", F.lit(0.0)).withColumn("hit", spans_none) if q.kind == "mention" else docs.filter(F.lit(False)).withColumn("score", F.lit(0.0)).withColumn("hit", spans_none)
+        found = (light if q.kind == "mention" else light.filter(F.lit(False))).withColumns({"score": F.lit(0.0), "hit": F.array().cast(spans.SPANS)})
     else:
         total = scored.groupBy("id").agg(F.sum("score").alias("score"), F.flatten(F.collect_list("positions")).alias("positions"))
-        found = docs.join(total, "id").withColumn("hit", F.array_distinct(F.transform("positions", lambda p: spans.span(p["start"], p["end"]))))
-    top = found.withColumn("key", random_key(seed, F.col("id"), F.col("weight"))).orderBy(F.desc(F.round("score", 6)), F.desc("key"), "id").limit(limit)
+        found = light.join(total, "id").withColumn("hit", F.array_distinct(F.transform("positions", lambda p: spans.span(p["start"], p["end"])))).drop("positions")
+    best = F.desc(F.round("score", 6)), F.desc("key"), "id"
+    page = found.withColumn("key", random_key(seed, F.col("id"), F.col("weight"))).orderBy(*best).limit(limit).drop("weight")
+    top = index.docs.join(F.broadcast(page), "id")  # a page of rows
     own = spans.merge(F.col("hit"), F.col(f"{q.language}.text"))
     rest = spans.mapped(F.col("own"), F.col("alignment_data"), F.col(f"{other}.text"), q.language == "english")
     top = top.withColumn("own", own).withColumn(f"{q.language}_highlights", F.col("own")).withColumn(f"{other}_highlights", rest)
-    return top.select("id", "source", "english", "japanese", "score", "key", "english_highlights", "japanese_highlights")
+    return top.orderBy(*best).select("id", "source", "english", "japanese", "score", "key", "english_highlights", "japanese_highlights")

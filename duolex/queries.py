@@ -2,187 +2,24 @@
 
 The tables of the driver stand in for the corpus: `documents` for quotes (doc_id, source), `conversations` for paired lines
 (role for language, conv_id and turn for the key), `customer`, `supplier`, `part`, `orders`, `lineitem` for stores and caches,
-`events` for speakers. Japanese text comes from inline rows.
+`events` for speakers. `search_queries` and `table_queries` hold those of the search engine, of spans, formats, rules and readers.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import binary, context, ids, spans
+from . import search_queries, table_queries  # noqa: F401
+from .functions import ids, spans
 from .functions import text as T
 from .operators import corpus, rules, store
 from .plans import search
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .search_queries import flagship  # noqa: F401
 from .session import table
 from .sources import html, readers
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def quoted(x) -> str:  # noqa: ANN001
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
-
-
-def values(name: str, columns: str, rows: list[tuple]) -> str:
-    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)})"
-
-
-# --- full text -----------------------------------------------------------------------------------------------------
-
-TERMS = ("than", "thing", "ention", "edre")
-PHRASE = ("and", "the")
-WORDS = r"[\p{L}\p{N}]+"
-_TOK = f"SELECT doc_id, source, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM documents"
-
-
-def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORDS), F.lit(0)).alias("w"))
-
-
-def term_counts(spark: SparkSession, sf_dir: str, terms=TERMS) -> DataFrame:
-    """The count of each term in its row: nothing is exploded or shuffled."""
-    hit = F.filter("w", lambda x: x.isin(*terms))
-    return tokenized(spark, sf_dir).select("doc_id", "source", hit.alias("h")).select("doc_id", "source", *[(F.size("h") - F.size(F.array_remove("h", t))).alias(f"t{i}") for i, t in enumerate(terms)])
-
-
-def bm25(counts: DataFrame, n: int) -> DataFrame:
-    """counts with score; document frequencies are one row of sums."""
-    df = counts.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(n)]).first()
-    score = sum((F.log(F.lit(1 + (df["n"] - df[f"d{i}"] + 0.5) / (df[f"d{i}"] + 0.5))) * F.col(f"t{i}") / (F.col(f"t{i}") + search.K1) for i in range(n)), F.lit(0.0))
-    got = sum(((F.col(f"t{i}") > 0).cast("int") for i in range(n)), F.lit(0))
-    return counts.withColumn("score", F.round(score, 6)).withColumn("got", got)
-
-
-def _bm25_sql(terms=TERMS) -> str:
-    cols = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(terms))
-    dfs = ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(len(terms)))
-    score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} / (t{i} + {search.K1})" for i in range(len(terms)))
-    got = " + ".join(f"(t{i} > 0)::INT" for i in range(len(terms)))
-    return f"WITH k AS (SELECT doc_id, source, {cols} FROM ({_TOK})), s AS (SELECT count(*) AS n, {dfs} FROM k), r AS (SELECT doc_id, source, round({score}, 6) AS score, {got} AS got FROM k, s)"
-
-
-@query(_bm25_sql() + f" SELECT doc_id, source, score FROM r WHERE got > 0 ORDER BY score DESC, doc_id LIMIT {search.PAGE}")
-def ft_bm25_match(spark, sf_dir):  # noqa: ANN001, ANN201
-    r = bm25(term_counts(spark, sf_dir), len(TERMS))
-    return r.filter("got > 0").orderBy(F.desc("score"), "doc_id").limit(search.PAGE).select("doc_id", "source", "score")
-
-
-@query(_bm25_sql() + f" SELECT doc_id, score, got::BIGINT AS matched FROM r WHERE got >= {search.required(len(TERMS), search.SHARE)}")
-def ft_min_should_match(spark, sf_dir):  # noqa: ANN001, ANN201
-    r = bm25(term_counts(spark, sf_dir), len(TERMS))
-    return r.filter(F.col("got") >= search.required(len(TERMS), search.SHARE)).select("doc_id", "score", F.col("got").cast("bigint").alias("matched"))
-
-
-def phrase_count(w, terms=PHRASE):  # noqa: ANN001, ANN201
-    """How often the terms stand next to each other, in order."""
-    at = F.transform(w, lambda x, i: F.when(x == terms[0], i + 1))
-    hit = F.filter(at, lambda i: i.isNotNull())
-    for k, t in enumerate(terms[1:], 1):
-        hit = _followed(hit, w, k, t)
-    return F.size(hit)
-
-
-def _followed(hit, w, k: int, t: str):  # noqa: ANN001, ANN202
-    return F.filter(hit, lambda i: F.get(w, i - 1 + k) == t)
-
-
-_PHRASE_SQL = f"SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = '{PHRASE[0]}' AND w[i + 1] = '{PHRASE[1]}')) AS tf FROM ({_TOK})"
-
-
-@query(f"SELECT doc_id, tf::BIGINT AS phrase_tf FROM ({_PHRASE_SQL}) WHERE tf > 0")
-def ft_phrase(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = tokenized(spark, sf_dir)
-    return d.select("doc_id", phrase_count(F.col("w")).cast("bigint").alias("phrase_tf")).filter("phrase_tf > 0")
-
-
-@query(_bm25_sql() + f", p AS ({_PHRASE_SQL}) SELECT r.doc_id, CASE WHEN got >= 3 THEN score ELSE 0 END + CASE WHEN tf > 0 THEN 1 ELSE 0 END AS score FROM r JOIN p ON r.doc_id = p.doc_id WHERE got >= 3 OR tf > 0")
-def ft_bool_should(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Either clause is enough; scores add up. Both are counted in the same row."""
-    terms = (*TERMS,)
-    d = tokenized(spark, sf_dir).withColumn("tf", phrase_count(F.col("w")))
-    hit = F.filter("w", lambda x: x.isin(*terms))
-    counts = d.select("doc_id", "tf", hit.alias("h")).select("doc_id", "tf", *[(F.size("h") - F.size(F.array_remove("h", t))).alias(f"t{i}") for i, t in enumerate(terms)])
-    r = bm25(counts, len(terms)).filter("got >= 3 or tf > 0")
-    return r.select("doc_id", (F.when(F.col("got") >= 3, F.col("score")).otherwise(0.0) + F.when(F.col("tf") > 0, 1.0).otherwise(0.0)).alias("score"))
-
-
-@query(_bm25_sql() + " SELECT doc_id, score FROM r WHERE got > 0 AND source = 'src3'")
-def ft_term_filter(spark, sf_dir):  # noqa: ANN001, ANN201
-    """An exact filter beside the scoring clauses; statistics stay those of all documents."""
-    return bm25(term_counts(spark, sf_dir), len(TERMS)).filter("got > 0 and source = 'src3'").select("doc_id", "score")
-
-
-JAPANESE = [(1, "祥鳳型軽空母、瑞鳳です。"), (2, "アウトレンジ、決めます。"), (3, "いいかもね。"), (4, "Looks good."), (5, "Ｑｕｏｔｅ"), (6, "𪚲は一文字"), (7, "カタカナ"), (8, "ー"), (9, "鏡")]
-_HAN, _HIRA, _KATA = T.ranges(T.HAN), T.ranges(T.HIRAGANA), T.ranges(T.KATAKANA)
-
-
-@query("WITH " + values("v", "id, s", JAPANESE) + f" SELECT id, regexp_matches(s, '[{_HIRA}{_KATA}{_HAN}]') AS japanese, regexp_matches(s, '^[{_HAN}]$') AS single_kanji, regexp_matches(s, '{T.KANJI_OR_HIRAGANA}') AS importable, regexp_matches(s, '{T.JAPANESE_LETTERS}') AS on_page FROM v")
-def ft_lang_detect(spark, sf_dir):  # noqa: ANN001, ANN201
-    s = F.col("s")
-    return inline(spark, "id int, s string", JAPANESE).select("id", T.is_japanese(s).alias("japanese"), T.is_single_kanji(s).alias("single_kanji"), T.has_kanji_or_hiragana(s).alias("importable"), T.has_japanese_letters(s).alias("on_page"))
-
-
-@query("WITH " + values("v", "id, s", JAPANESE) + f", t AS (SELECT id, regexp_extract_all(s, '[{_HAN}]') AS k FROM v) SELECT id, unnest(k) AS term, unnest(range(len(k))) AS pos FROM t")
-def ft_kanji(spark, sf_dir):  # noqa: ANN001, ANN201
-    k = F.regexp_extract_all("s", F.lit(f"[{_HAN}]"), F.lit(0))
-    return inline(spark, "id int, s string", JAPANESE).select("id", F.posexplode(k).alias("pos", "term")).select("id", "term", F.col("pos").cast("bigint").alias("pos"))
-
-
-#: The tokens of the default analyzer for JAPANESE, by hand: (id, term, pos, start, end).
-BIGRAMS = [
-    *[(1, t, i, s, s + 2) for i, (t, s) in enumerate((("祥鳳", 0), ("鳳型", 1), ("型軽", 2), ("軽空", 3), ("空母", 4), ("瑞鳳", 7), ("鳳で", 8), ("です", 9)))],
-    *[(2, t, i, s, s + 2) for i, (t, s) in enumerate((("あう", 0), ("うと", 1), ("とれ", 2), ("れん", 3), ("んじ", 4), ("決め", 7), ("めま", 8), ("ます", 9)))],
-    *[(3, t, i, i, i + 2) for i, t in enumerate(("いい", "いか", "かも", "もね"))],
-    (4, "looks", 0, 0, 5), (4, "good", 1, 6, 10), (5, "quote", 0, 0, 5),
-    *[(6, t, i, i, i + 2) for i, t in enumerate(("𪚲は", "は一", "一文", "文字"))],
-    *[(7, t, i, i, i + 2) for i, t in enumerate(("かた", "たか", "かな"))],
-    (8, "ー", 0, 0, 1), (9, "鏡", 0, 0, 1),
-]
-
-
-@query("WITH " + values("v", 'id, term, pos, "start", "end"', BIGRAMS) + " SELECT * FROM v")
-def ft_cjk_bigram(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Tokens of the default analyzer."""
-    from .functions.analyzers import analyzed
-
-    return inline(spark, "id int, s string", JAPANESE).select("id", F.explode(analyzed(F.col("s"), "default")).alias("t")).select("id", "t.term", "t.pos", "t.start", "t.end")
-
-
-@query()
-def ft_search(spark, sf_dir):  # noqa: ANN001, ANN201
-    """The whole ranked search: documents as English text, an index over all of them, one page of results with highlights."""
-    from .plans.index import build_index
-
-    d = table(spark, sf_dir, "documents")
-    side = lambda text: F.struct(F.col("lang").alias("speaker_name"), F.lit("").alias("context"), text.alias("text"), F.lit(0).alias("word_count"), F.lit("").alias("notes"), F.lit(None).cast("string").alias("audio_file"))
-    quotes = d.select(F.col("doc_id").alias("id"), "source", side(F.coalesce("text", F.lit(""))).alias("english"), side(F.lit("")).alias("japanese"), F.array().cast(spans.ALIGNMENTS).alias("alignment_data"))
-    index = build_index(quotes, fields=(("english.text", "english", "default"), ("english.text.conjugations", "english", "english_conjugations")))
-    got = search.search(index, "and the thing @en")
-    return got.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.size("english_highlights").alias("n_highlights"))
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft_bm25_match(spark, sf_dir)
-
-
 # --- aggregates, weights, sampling ------------------------------------------------------------------------------------
 
 _WEIGHTS = "SELECT source, count(*) AS n, round(sum(count(*)) OVER () / (count(*) * count(*) OVER ()), 6) AS weight FROM documents GROUP BY source"
@@ -226,11 +63,11 @@ def ag_having_distinct(spark, sf_dir):  # noqa: ANN001, ANN201
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_returnflag").alias("flags")).filter("flags > 1")
 
 
-@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1)")
+@query("SELECT p_partkey, p_name || p_type || p_size AS voice, p_brand FROM part WHERE p_name || p_type || p_size IN (SELECT p_name || p_type || p_size FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1)")
 def ag_unique_voice(spark, sf_dir):  # noqa: ANN001, ANN201
     """Parts whose name belongs to one brand only, as a voice to one speaker."""
-    got = rules.unique_voices(table(spark, sf_dir, "part").select(F.col("p_partkey"), F.col("p_name").alias("voice"), F.col("p_brand").alias("name")))
-    return got.select("p_partkey", F.col("voice").alias("p_name"), F.col("name").alias("p_brand"))
+    got = rules.unique_voices(table(spark, sf_dir, "part").select(F.col("p_partkey"), F.concat("p_name", "p_type", "p_size").alias("voice"), F.col("p_brand").alias("name")))
+    return got.select("p_partkey", "voice", F.col("name").alias("p_brand"))
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) FILTER (event_type <> 'view') AS first_type, arg_min(value, event_id) FILTER (value > 100) AS first_large FROM events GROUP BY user_id")
@@ -351,16 +188,16 @@ def id_unpack(spark, sf_dir):  # noqa: ANN001, ANN201
 
 # --- store --------------------------------------------------------------------------------------------------------------
 
-@query("WITH s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0), i AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 1) SELECT coalesce(s.id, i.id) AS id, CASE WHEN s.id IS NULL THEN 'I' WHEN i.id IS NULL THEN 'D' ELSE 'U' END AS action FROM s FULL JOIN i ON s.id = i.id")
+@query("WITH s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'), i AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW') SELECT coalesce(s.id, i.id) AS id, CASE WHEN s.id IS NULL THEN 'I' WHEN i.id IS NULL THEN 'D' ELSE 'U' END AS action FROM s FULL JOIN i ON s.id = i.id")
 def sk_merge_reconcile(spark, sf_dir):  # noqa: ANN001, ANN201
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"))
-    return store.reconcile(o.filter("id % 3 <> 0"), o.filter("source = 'O' and id % 3 <> 1"), "O")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), "o_orderpriority")
+    return store.reconcile(o.filter("o_orderpriority <> '1-URGENT'"), o.filter("source = 'O' and o_orderpriority <> '5-LOW'"), "O")
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS source FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 3 <> 0 OR o_orderstatus = 'O' AND o_orderkey % 3 <> 1")
+@query("SELECT o_orderkey AS id, o_orderstatus AS source FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority <> '1-URGENT' OR o_orderstatus = 'O' AND o_orderpriority <> '5-LOW'")
 def sk_replace_source(spark, sf_dir):  # noqa: ANN001, ANN201
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"))
-    return store.replaced(o.filter("id % 3 <> 0"), o.filter("source = 'O' and id % 3 <> 1"), "O")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), "o_orderpriority")
+    return store.replaced(o.filter("o_orderpriority <> '1-URGENT'"), o.filter("source = 'O' and o_orderpriority <> '5-LOW'"), "O").select("id", "source")
 
 
 @query("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -378,9 +215,9 @@ def jn_anti_basename(spark, sf_dir):  # noqa: ANN001, ANN201
     return store.stale_objects(objects, files)
 
 
-@query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
+@query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 48)")
 def jn_orphans(spark, sf_dir):  # noqa: ANN001, ANN201
-    q = table(spark, sf_dir, "lineitem").select(F.struct(F.col("l_partkey").alias("audio_file")).alias("english"), F.struct(F.col("l_suppkey").alias("audio_file")).alias("japanese"))
+    q = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.struct(F.col("l_partkey").alias("audio_file")).alias("english"), F.struct(F.col("l_suppkey").alias("audio_file")).alias("japanese"))
     return store.orphans(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")), q)
 
 
@@ -423,19 +260,6 @@ def jn_existence(spark, sf_dir):  # noqa: ANN001, ANN201
 
 # --- spans -----------------------------------------------------------------------------------------------------------
 
-SPAN_ROWS = [(1, "2nd ship of the Agano-class light cruisers", 0, 8), (1, "2nd ship of the Agano-class light cruisers", 16, 21), (1, "2nd ship of the Agano-class light cruisers", 22, 27), (1, "2nd ship of the Agano-class light cruisers", 17, 19), (2, "a b", 0, 1), (2, "a b", 2, 3), (3, "abc", 0, 2), (3, "abc", 1, 3)]
-
-
-@query(
-    "WITH RECURSIVE " + values("v", "id, t, s, e", SPAN_ROWS) + ", o AS (SELECT id, t, s, e, row_number() OVER (PARTITION BY id ORDER BY s, e) AS k FROM v), "
-    "m AS (SELECT id, t, s, e, max(e) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, k FROM o), "
-    r"i AS (SELECT *, sum(CASE WHEN p IS NULL OR NOT (s <= p OR regexp_full_match(substr(t, p + 1, s - p), '[\s-]*')) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS g FROM m) "
-    "SELECT id, min(s) AS start, max(e) AS stop FROM i GROUP BY id, g"
-)
-def wn_merge_ranges(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = inline(spark, "id int, t string, s int, e int", SPAN_ROWS).groupBy("id", "t").agg(F.collect_list(spans.span(F.col("s"), F.col("e"))).alias("x"))
-    return d.select("id", F.explode(spans.merge(F.col("x"), F.col("t"))).alias("m")).select("id", "m.start", F.col("m.end").alias("stop"))
-
 
 @query("SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_quantity + 5 > b.l_quantity AND a.l_quantity < b.l_quantity + 5")
 def jn_interval_overlap(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -446,43 +270,15 @@ def jn_interval_overlap(spark, sf_dir):  # noqa: ANN001, ANN201
     return a.select("l_orderkey", F.col("a.l_linenumber"), F.explode(hit).alias("b")).select("l_orderkey", "l_linenumber", F.col("b.l_linenumber").alias("other"))
 
 
-BLOB = "AAAIAAYACQAQABUAAAAEABYAGwAAAAQAHAAqAAQABgAsADMACgAMADUARwANABMASQBcABQAGwA="
-ENGLISH = "2nd ship of the Agano-class light cruisers, Noshiro. Reporting for duty. Pleased to meet you!"
-
-
-@query(
-    f"WITH b AS (SELECT from_base64('{BLOB}') AS b), n AS (SELECT unnest(range(octet_length(b) // 8)) AS i, hex(b) AS h FROM b) "
-    "SELECT i, ('0x' || substr(h, i * 16 + 3, 2) || substr(h, i * 16 + 1, 2))::INT AS from_start, ('0x' || substr(h, i * 16 + 7, 2) || substr(h, i * 16 + 5, 2))::INT AS from_end, "
-    "('0x' || substr(h, i * 16 + 11, 2) || substr(h, i * 16 + 9, 2))::INT AS to_start, ('0x' || substr(h, i * 16 + 15, 2) || substr(h, i * 16 + 13, 2))::INT AS to_end FROM n"
-)
-def al_decode_blob(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = spark.range(1).select(binary.decode_alignments(F.unbase64(F.lit(BLOB))).alias("a"))
-    return d.select(F.posexplode("a").alias("i", "x")).select(F.col("i").cast("bigint").alias("i"), "x.*")
-
-
-@query("SELECT * FROM (VALUES (0, 8), (16, 42), (53, 71)) t(start, stop)")
-def ft_map_highlights(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = spark.range(1).select(binary.decode_alignments(F.unbase64(F.lit(BLOB))).alias("a"), F.array(*[spans.span(F.lit(x), F.lit(y)) for x, y in ((2, 8), (13, 15), (17, 19))]).alias("h"))
-    return d.select(F.explode(spans.mapped(F.col("h"), F.col("a"), F.lit(ENGLISH), from_side=False)).alias("s")).select("s.start", F.col("s.end").alias("stop"))
+_ENCODED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), QFOUR, '&#39;')".replace("QFOUR", "'" * 4)
 
 
-@query("SELECT doc_id, '<mark>' || substr(t, 1, 5) || '</mark>' || substr(t, 6) AS html FROM (SELECT doc_id, replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS t FROM documents) WHERE regexp_matches(t, '^[^&]{5}')")
+@query(f"SELECT doc_id, '<mark>' || {_ENCODED.format('substr(t, 1, 5)')} || '</mark>' || {_ENCODED.format('substr(t, 6)')} AS html FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def ft_apply_marks(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).filter(T.html_encode(F.col("text")).rlike("^[^&]{5}"))
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return d.select("doc_id", spans.marked(F.col("text"), F.array(spans.span(F.lit(0), F.lit(5)))).alias("html"))
 
 
-SIMPLIFY = [(1, "0,5,0,2,0,5,2,3,0,5,3,4,0,5,4,5,6,10,0,2,6,10,2,3,6,10,3,4,6,10,4,5,10,11,5,6", "Looks good.", "いいかもね。"), (2, "2,5,7,9,2,5,9,11,6,12,7,9,6,12,9,11,18,20,0,3,18,20,3,6,21,25,0,3,21,25,3,6,26,31,0,3,26,31,3,6,31,32,11,12", "We'll decide this at long range.", "アウトレンジ、決めます。")]
-
-
-@query("SELECT * FROM (VALUES (1, 0, 10, 0, 5), (1, 10, 11, 5, 6), (2, 2, 12, 7, 11), (2, 18, 31, 0, 6), (2, 31, 32, 11, 12)) t(id, from_start, from_end, to_start, to_end)")
-def al_simplify(spark, sf_dir):  # noqa: ANN001, ANN201
-    n = F.split("raw", ",").cast("array<int>")
-    d = inline(spark, "id int, raw string, en string, ja string", SIMPLIFY).withColumn("n", n)
-    a = F.transform(F.sequence(F.lit(0), (F.size("n") / 4).cast("int") - 1), lambda i: F.struct(*[F.get("n", i * 4 + k).alias(c) for k, c in enumerate(("from_start", "from_end", "to_start", "to_end"))]))
-    return d.withColumn("a", a).select("id", F.inline(spans.simplified(F.col("a"), F.col("en"), F.col("ja"))))
-
-
 # --- sets --------------------------------------------------------------------------------------------------------------
 
 @query("SELECT n_nationkey AS key FROM nation UNION SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -520,21 +316,16 @@ def sf_english_tokens(spark, sf_dir):  # noqa: ANN001, ANN201
     return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.get("t", F.lit(0)).alias("first"))
 
 
-_TRIMMED = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_UNWRAPPED = f"SELECT doc_id, CASE WHEN regexp_matches(t, '(?s)^[\"“「『].*[\"”」』]$') THEN {_TRIM.format('substr(t, 2, length(t) - 2)')} ELSE t END AS t FROM (SELECT doc_id, {_TRIM.format('q')} AS t FROM (SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN ' 「' || coalesce(text, '') || '” ' ELSE coalesce(text, '') END AS q FROM documents))"
 
 
-@query(rf"SELECT doc_id, md5(regexp_replace({_TRIMMED}, '\s+', ' ', 'g')) AS english, md5(regexp_replace({_TRIMMED}, '[\r\n]', '', 'g')) AS japanese FROM documents WHERE NOT regexp_matches({_TRIMMED}, '^[\"“「『]')")
+@query(rf"SELECT doc_id, md5(regexp_replace(t, '\s+', ' ', 'g')) AS english, md5(regexp_replace(t, '[\r\n]', '', 'g')) AS japanese FROM ({_UNWRAPPED})")
 def sf_format_text(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).filter(~T.trim_unicode(F.col("text")).rlike("^[\"“「『]"))
-    return d.select("doc_id", F.md5(T.format_english(F.col("text")).cast("binary")).alias("english"), F.md5(T.format_japanese(F.col("text")).cast("binary")).alias("japanese"))
-
-
-MENTIONS = [(1, "top number"), (2, "@Hachiroku"), (3, "top number@Hachiroku"), (4, "top number @Hachiroku"), (5, "@Hachiroku top number"), (6, "  top  @Hachiroku  number  "), (7, "\t@Hachiroku ")]
-
-
-@query("WITH " + values("v", "id, q", MENTIONS) + r" SELECT id, nullif(regexp_extract(q, '(?:^|\s)@(\S+)', 1), '') AS mention, trim(regexp_replace(q, '(?:^|\s+)@\S+\s*', ' ', 'g')) AS rest FROM v")
-def sf_mention(spark, sf_dir):  # noqa: ANN001, ANN201
-    return inline(spark, "id int, q string", MENTIONS).select("id", T.mention_of(F.col("q")).alias("mention"), T.without_mention(F.col("q")).alias("rest"))
+    """All documents, those of an even length in quotation marks."""
+    t = F.coalesce("text", F.lit(""))
+    q = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit(" 「"), t, F.lit("” "))).otherwise(t)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.format_english(q).cast("binary")).alias("english"), F.md5(T.format_japanese(q).cast("binary")).alias("japanese"))
 
 
 @query("SELECT p_partkey, levenshtein(p_name, p_type) AS distance, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part")
@@ -563,37 +354,12 @@ def sf_unix_seconds(spark, sf_dir):  # noqa: ANN001, ANN201
     return e.select("event_id", F.timestamp_seconds("seconds").cast("timestamp_ntz").alias("at"), "seconds")
 
 
-CONTEXTS = [(1, "10th Anniversary 2023", ""), (2, "Docking Major", ""), (3, "Secretary 2", ""), (4, "Unknown Thing", ""), (5, "air battle/daytime spotting", ""), (6, "Valentine’s Day 2017", "")]
-
-
-@query("SELECT * FROM (VALUES (1, '10th Anniversary', '十周年記念'), (2, 'Docking (Major Damage)', '入渠 (中破以上)'), (3, 'Secretary', '母港'), (4, 'Unknown Thing', 'Unknown Thing'), (5, 'Air Battle / Daytime Spotting', '航空戦開始 / カットイン'), (6, 'Valentine''s Day 2017', 'バレンタイン 2017')) t(id, english, japanese)")
-def sf_context(spark, sf_dir):  # noqa: ANN001, ANN201
-    return inline(spark, "id int, c string, n string", CONTEXTS).select("id", context.translated(F.col("c"), F.col("n")).alias("t")).select("id", "t.*")
-
-
-HEADERS = [(1, "FFFB9064"), (2, "49443303"), (3, "4F67675300020000000000000000000000000000000000000000000101766F7262697300"), (4, "4F67675300020000000000000000000000000000000000000000000A4F70757348656164"), (5, "4F676753000200000000000000000000000000000000000000000001AAAAAAAA"), (6, "52494646"), (7, "")]
-
-
-@query("SELECT * FROM (VALUES (1, 'mp3', NULL), (2, 'mp3', NULL), (3, 'ogg', NULL), (4, 'opus', NULL), (5, NULL, 'unsupported stream'), (6, NULL, 'unsupported format'), (7, NULL, 'zero bytes')) t(id, format, problem)")
-def sf_audio_format(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = inline(spark, "id int, h string", HEADERS).withColumn("b", F.unhex("h"))
-    return d.select("id", binary.audio_format(F.col("b")).alias("format"), binary.audio_problem(F.col("b")).alias("problem"))
-
-
 @query("SELECT o_orderkey, 'file:///orders/' || replace(o_orderpriority, chr(92), '/') || '#' || o_orderkey AS uri, split_part(o_orderpriority, '-', 1) AS base, upper(substr(o_orderpriority, 1, 1)) || substr(o_orderpriority, 2) AS title FROM orders")
 def sf_uri_and_title(spark, sf_dir):  # noqa: ANN001, ANN201
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", T.file_uri(F.lit("orders"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string")).alias("uri"), F.split("o_orderpriority", "-")[0].alias("base"), T.scene_title(F.col("o_orderpriority"), F.lit("en")).alias("title"))
 
 
-KANA = [(1, "ズイカク"), (2, "Zuikaku"), (3, "ひらがな"), (4, "ヴ")]
-
-
-@query("SELECT * FROM (VALUES (1, 'ずいかく'), (2, 'zuikaku'), (3, 'ひらがな'), (4, 'ゔ')) t(id, folded)")
-def sf_kana_fold(spark, sf_dir):  # noqa: ANN001, ANN201
-    return inline(spark, "id int, s string", KANA).select("id", T.kana_folded(F.col("s")).alias("folded"))
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '12') ORDER BY c_custkey LIMIT 50")
 def sl_autocomplete(spark, sf_dir):  # noqa: ANN001, ANN201
     return table(spark, sf_dir, "customer").filter(T.kana_folded(F.col("c_name")).contains("12")).orderBy("c_custkey").limit(50).select("c_custkey", "c_name")
@@ -605,51 +371,6 @@ def sf_quote_json(spark, sf_dir):  # noqa: ANN001, ANN201
     return d.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("docId"), "source", "lang")).alias("j"))
 
 
-# --- rules ----------------------------------------------------------------------------------------------------------------
-
-NPCS = [("a", "b", None, "va"), ("b", "c", None, None), ("c", None, "Guard", "vc"), ("d", "e", None, None), ("e", "d", "Loop", None), ("f", None, "Alone", "vf")]
-
-
-@query("WITH RECURSIVE " + values("n", "npc, template, name, voice", NPCS) + ", w AS (SELECT npc AS k, npc, template, name, voice, 0 AS i FROM n UNION ALL SELECT w.k, n.npc, n.template, n.name, n.voice, i + 1 FROM w JOIN n ON n.npc = w.template WHERE i < 8) SELECT k AS npc, arg_min(name, i) FILTER (name IS NOT NULL) AS name, arg_min(voice, i) FILTER (voice IS NOT NULL) AS voice FROM w GROUP BY k")
-def rc_template_chain(spark, sf_dir):  # noqa: ANN001, ANN201
-    return rules.follow_chain(inline(spark, "npc string, template string, name string, voice string", NPCS), "npc", "template", ["name", "voice"], depth=8)
-
-
-@query("WITH RECURSIVE " + values("n", "npc, template, name, voice", NPCS) + ", w AS (SELECT npc AS k, npc AS here, [npc] AS seen, 0 AS i FROM n UNION ALL SELECT w.k, n.template, list_append(seen, n.template), i + 1 FROM w JOIN n ON n.npc = w.here WHERE n.template IS NOT NULL AND NOT list_contains(seen, n.template)) SELECT k AS npc, arg_max(here, i) AS \"end\" FROM w GROUP BY k")
-def rc_chain_end(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Where links lead; a cycle ends at its last new node."""
-    return rules.chain_end(inline(spark, "npc string, template string, name string, voice string", NPCS).select("npc", "template"), "npc", "template")
-
-
-CONDITIONS = [("t1", 0, 0, "A", True, "=", 1.0, True, False), ("t1", 0, 1, "B", False, "=", 1.0, True, False), ("t1", 0, 2, "C", False, "=", 0.0, False, False), ("t1", 1, 0, "D", False, "=", 1.0, False, True), ("t2", 0, 0, "B", False, "=", 1.0, True, False), ("t3", 0, 0, "C", False, "=", 1.0, False, False)]
-MEMBERS = [("A", "n1"), ("A", "n2"), ("B", "n3"), ("C", "n2"), ("B", "n2")]
-_COND = "topic, set, ord, cond, or_flag, op, value, producer, ignored"
-
-
-def conditions(spark):  # noqa: ANN001, ANN201
-    c = inline(spark, "topic string, set int, ord int, cond string, or_flag boolean, op string, value double, producer boolean, ignored boolean", CONDITIONS)
-    return rules.or_groups(c).withColumn("negated", rules.negated(F.col("op"), F.col("value")))
-
-
-@query("SELECT * FROM (VALUES ('t1', 'A', 0, false), ('t1', 'B', 0, false), ('t1', 'C', 1, true), ('t1', 'D', 2, false), ('t2', 'B', 0, false), ('t3', 'C', 0, false)) t(topic, cond, grp, negated)")
-def rc_or_groups(spark, sf_dir):  # noqa: ANN001, ANN201
-    return conditions(spark).select("topic", "cond", F.col("grp").cast("int").alias("grp"), "negated")
-
-
-@query("SELECT * FROM (VALUES ('t1', 'n1'), ('t1', 'n3'), ('t2', 'n3'), ('t2', 'n2')) t(topic, npc)")
-def rc_producer_filter(spark, sf_dir):  # noqa: ANN001, ANN201
-    return rules.evaluate(conditions(spark), inline(spark, "cond string, npc string", MEMBERS))
-
-
-CANDIDATES = [("t1", "1:a", "Bandit", "M1", False, ["F"]), ("t1", "1:b", "Bandit", "M1", False, ["F"]), ("t1", "1:c", "Outlaw", "M2", False, ["F"]), ("t2", "1:d", "Lydia", "F1", True, ["G"]), ("t2", "1:e", "Whiterun Guard", "M3", False, ["G"]), ("t3", "1:f", "X", "M1", True, ["H"]), ("t3", "1:g", "Y", "m2", True, ["H"])]
-
-
-@query("SELECT * FROM (VALUES ('t1', '1:a', 'Bandit', 'M1'), ('t2', '1:e', 'Whiterun Guard', 'M3'), ('t3', '1:g', 'Y', 'm2')) t(topic, npc, name, voice)")
-def rc_choose_speaker(spark, sf_dir):  # noqa: ANN001, ANN201
-    c = inline(spark, "topic string, npc string, name string, voice string, is_unique boolean, factions array<string>", CANDIDATES)
-    return rules.choose_speakers(c, inline(spark, "faction string, wanted string", [("G", "Whiterun Guard")]), inline(spark, "faction string, voice string", [("H", "M2")]))
-
-
 # --- sources -----------------------------------------------------------------------------------------------------------------
 
 @query("SELECT page_id, 0 AS row, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, len(regexp_extract_all(h, '<a\\s[^>]*href'))::INT AS n_links, len(regexp_extract_all(h, '<p[\\s>]'))::INT AS n_paragraphs, len(regexp_extract_all(h, '<li[\\s>]'))::INT AS n_items FROM (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script[^>]*>.*?</script>', '', 'g') AS h FROM pages)")
@@ -657,57 +378,6 @@ def sc_html_rows(spark, sf_dir):  # noqa: ANN001, ANN201
     return html.read_rows(table(spark, sf_dir, "pages"), html.page_outline, html.OUTLINE)
 
 
-PAGE = """<div class="mw-parser-output"><h2>Voice Lines</h2><table><tr><td rowspan="2"><b>Introduction</b><a title="Play" href="/a.mp3">Play</a></td><td>I'm Zuihou!<sup class="reference"><a href="#n1">[1]</a></sup></td><td rowspan="2">Note <i>x</i></td></tr><tr><td>瑞鳳です！</td></tr></table></div><li id="n1"><span class="reference-text">A ref</span></li>"""
-
-
-@query("SELECT 1::BIGINT AS page_id, 'Introduction' AS scenario, '/a.mp3' AS audio, 'I''m Zuihou!' AS english, '瑞鳳です！' AS japanese, 'Note x<br>\nA ref' AS notes, 0 AS index")
-def sc_wiki_quotes(spark, sf_dir):  # noqa: ANN001, ANN201
-    rows = html.read_rows(inline(spark, "page_id long, html string", [(1, PAGE)]), html.quote_rows, html.QUOTE_ROW)
-    return html.quotes_of(rows).select("page_id", "scenario", "audio", "english", "japanese", "notes", "index")
-
-
-def lines_of(spark, text: str, file: str = "f"):  # noqa: ANN001, ANN201
-    return inline(spark, "file string, line_ordinal int, line string", [(file, i, x) for i, x in enumerate(text.split("\n"))])
-
-
-@query("SELECT * FROM (VALUES (7::BIGINT, 'a.ogg', 'Ann', 'Say \"hi\"'), (NULL, 'b.ogg', '', '')) t(key_int, audio_path, speaker, text)")
-def sc_tsv(spark, sf_dir):  # noqa: ANN001, ANN201
-    d = readers.tsv(lines_of(spark, '7\ta.ogg\tAnn\tSay "hi"\nx\tb.ogg\t\t\n'), ["IntKey", "AudioFilePath", "SpeakerName", "Text"])
-    return d.select("key_int", "audio_path", "speaker", "text")
-
-
-KS = "*page1|x\n@bg\n;c\n\t[nm t=\"Ann\" s=mao_1]Hello [ruby]there[np]\n[iscript]\nskip\n[endscript]\n[nm s=mao_2]Bye[np]\n*page1\nMore[np]"
-
-
-@query("SELECT * FROM (VALUES ('f*p1[0]', 'Hello there', 'Ann', 'mao_1'), ('f*p1[1]', 'Bye', 'Boss', 'mao_2'), ('f*p1[2]', 'More', '', NULL)) t(key, text, speaker, audio_path)")
-def sc_ks(spark, sf_dir):  # noqa: ANN001, ANN201
-    return readers.ks(lines_of(spark, KS), separators=("np",), default_speakers=(("mao_", "Boss"),)).select("key", "text", "speaker", "audio_path")
-
-
-SCENE = json.dumps({"scenes": [{"label": "*s", "title": ["題", "the　title"], "texts": [["宗", None, [["宗", "お%l;a;b;は[るび]"], ["Mune", "Hi\\nthere"]], [{"voice": "v1"}]], ["x", None, [["x", "二"], ["x", "two"]], [{"voice": "v2"}, {"voice": "v3"}]]]}]}, ensure_ascii=False)
-
-
-@query("SELECT * FROM (VALUES ('*s[0]', 'en', 'Hi\nthere', 'Mune', 'The title', 'v1'), ('*s[0]', 'ja', 'おb;は', '宗', '題', 'v1')) t(key, language, text, speaker, context, audio_path)")
-def sc_scn_json(spark, sf_dir):  # noqa: ANN001, ANN201
-    return readers.scn(inline(spark, "file string, value string", [("f", SCENE)])).select("key", "language", "text", "speaker", "context", "audio_path")
-
-
-COMMANDS = [("f", i, k, v) for i, (k, v) in enumerate([("sound", "v1"), ("name", "宗_一＠x"), ("message", "a"), ("message", "b"), ("input", ""), ("message", "unvoiced"), ("page", ""), ("sound", "v2"), ("sound", "v3"), ("message", "c"), ("input", "")])]
-
-
-@query("SELECT 'v1' AS key, 'ab' AS text, '宗 一' AS speaker")
-def sc_cst(spark, sf_dir):  # noqa: ANN001, ANN201
-    return readers.cst(inline(spark, "file string, ord int, kind string, value string", COMMANDS)).select("key", "text", "speaker")
-
-
-LISTING = [("sound/voice/a.esm/MaleNord/q_0002be10_1.fuz", 0), ("Sound\\Voice\\a.esm\\malenord\\q_0002BE10_1.fuz", 1), ("sound/voice/a.esm/Female/q_0002be10_2.fuz", 2), ("textures/x.dds", 3)]
-
-
-@query("SELECT * FROM (VALUES (179728::BIGINT, 1, 'a.esm', 'MaleNord'), (179728, 2, 'a.esm', 'Female')) t(form, response, mod, voice)")
-def sc_voice_files(spark, sf_dir):  # noqa: ANN001, ANN201
-    return readers.voice_files(inline(spark, "path string, ord int", LISTING)).select("form", "response", "mod", "voice")
-
-
 @query("SELECT source, lang FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src0'")
 def sc_projected_scan(spark, sf_dir):  # noqa: ANN001, ANN201
     """Two columns of all rows: the filters reach the scan, no other column is read."""

@@ -7,7 +7,7 @@ from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -223,16 +223,19 @@ def checked_links(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def quotes_of(rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """Rows of `quote_rows` formatted, checked and without repeats (same context, texts and sound), numbered per page in page order."""
-    from pyspark.sql import Window
+def quotes_of(rows: DataFrame, key: str = "page_id", name: Column | None = None) -> DataFrame:
+    """Rows of `quote_rows` formatted, checked and without repeats, numbered per page in page order.
 
-    from ..functions.context import kept_notes
+    A repeat has the normalised context, texts and sound of a row before it, so rows that differ in the number of their
+    scenario only are repeats. context and context_ja are the scenario in both languages; name is the speaker's.
+    """
+    from ..functions.context import kept_notes, translated
     from ..functions.text import JAPANESE_LETTERS, format_english, format_japanese, is_missing
 
     r = rows.withColumns({"english": format_english(F.col("english")), "japanese": format_japanese(F.col("japanese")), "notes": kept_notes(F.col("notes"))})
     r = r.filter(~is_missing(F.col("english")) & ~is_missing(F.col("japanese"))).filter(F.regexp_count("english", F.lit(JAPANESE_LETTERS)) / F.length("english") <= 0.5)
-    first = Window.partitionBy(key, "scenario", "english", "japanese", "audio").orderBy("row")
+    r = r.withColumn("_c", translated(F.col("scenario"), F.lit("") if name is None else name)).withColumns({"context": F.col("_c.english"), "context_ja": F.col("_c.japanese")}).drop("_c")
+    first = Window.partitionBy(key, "context", "english", "japanese", "audio").orderBy("row")
     r = r.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     return r.withColumn("index", F.row_number().over(Window.partitionBy(key).orderBy("row")) - 1)
 

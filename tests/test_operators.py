@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from duolex.operators import corpus, rules, store
 from duolex.plans import align
-from duolex.plans.index import MARKER, build_index, read_index, write_index
+from duolex.plans.index import MARKER, build_index, read_index
 from duolex.plans.search import search
 from duolex.sources import html, readers
 from duolex.streaming.validate import valid_pairs_stream
@@ -99,7 +99,7 @@ def test_search(spark, tmp_path):
     assert [r.id for r in search(index, "duty @Tama").collect()] == [2]
     assert search(index, "aa @" + "x" * 31).count() == 0
     assert [tuple(s) for s in search(index, "着任").collect()[0].japanese_highlights] == [(0, 2)]
-    write_index(index, str(tmp_path / "ix"))
+    build_index(quotes(spark), path=str(tmp_path / "ix"), partitions=3)
     again = read_index(spark, str(tmp_path / "ix"))
     assert [r.id for r in search(again, "reporting for duty").collect()] == [r.id for r in got]
 
@@ -107,7 +107,7 @@ def test_search(spark, tmp_path):
 def test_marker_guard(spark):
     bad = quotes(spark).withColumn("english", F.col("english").withField("text", F.lit("a" + MARKER)))
     with pytest.raises(Exception, match="marker"):
-        build_index(bad, keep=False).docs.collect()
+        build_index(bad)
 
 
 def test_align(spark):
