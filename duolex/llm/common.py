@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +64,40 @@ def body(col: Column | str) -> Column:
 
 
 def row_tag(doc_id: Column | str, text: Column | str) -> Column:
-    """What tells rows of different ids or texts apart, also where ids are null or repeat: the id and a digest of the text."""
+    """What tells rows of different ids or texts apart, also where ids are null or repeat: half of a digest of both."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.concat_ws("/", doc_id.cast("string"), F.sha2(body(text), 256))
+    own = F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")).cast("binary")
+    return F.substring(F.sha2(F.concat(own, F.lit("\n").cast("binary"), body(text)), 256), 1, 32)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until docs has no column of that name in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of a sorted table that are worked on at once.
+CHUNK = 1 << 19
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Batches of bigint columns, sorted by the first, as blocks of whole runs of equal first values. A run may exceed CHUNK."""
+    held: list[np.ndarray] = []
+    size, limit = 0, CHUNK
+    for b in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1))
+        size += len(held[-1])
+        if size >= limit:
+            m = np.concatenate(held)
+            end = int(np.searchsorted(m[:, 0], m[-1, 0]))
+            held, size = [m[end:]], len(m) - end
+            limit = max(CHUNK, 2 * size)  # a long run is put together a few times only
+            if end:
+                yield m[:end]
+    if size:
+        yield np.concatenate(held)
 
 
 def kept(name: str, make):

@@ -3,32 +3,41 @@
 A value is read as a list of digits in mixed radices: a decimal digit has radix 10 (8 where the numbering plan wants 2 to 9), a
 letter 26, a hexadecimal digit 16, an octet 256, a date two digits of radices 17 and 4297, which make up the 73049 days from
 1900 to 2099. In each of ROUNDS rounds one half of the list is shifted, digit by digit and modulo its radix, by a SHA-512
-keystream of the key, the kind, the round and the other half. That is a permutation of all values of the format, so different
-values stay different, equal values stay equal in all documents, and who has the key can go back (`restore`).
+keystream of the key, the kind, the round and the other half; every place has its own part of the stream, however long the
+value is. That is a permutation of all values of the format, so different values stay different, equal values stay equal in all
+documents, and who has the key can go back (`restore`). Where a format is narrower than its radices (a hexadecimal secret with
+a digit, a month-first date that can't be read day first), the permutation is repeated until it is met again.
 
 Numbers are validated before: cards by length and Luhn sum (the pseudonym keeps the first digit and gets a valid check digit),
-IPv4 addresses by octet, dates by calendar, social security numbers by their reserved areas. What fails stays as it is.
+IPv4 addresses by octet, dates by calendar (day first if both readings are valid), social security numbers by their reserved
+areas, ten-digit phone numbers by the numbering plan. What fails stays as it is, and so do numbers without any mark of their
+kind: ten digits in a row, or in groups parted by spaces only.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
-ROUNDS = 8
+#: Rounds of the network; how often a permutation is repeated at most (a value fails so often with a chance below 1e-12).
+ROUNDS, WALKS = 8, 32
+#: The setting with the key.
+KEY_SETTING = "duolex.pii.key"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NAMED = r"(?i:(?:access[_-]?token|token|password|passwd|secret|api[_-]?key)[ \t]{0,8}[=:][ \t]{0,8}[\"']?)"
 #: Patterns of the kinds, in the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": NAMED + r"(?=[A-Za-z+/_-]{0,128}[0-9])[A-Za-z0-9+/_-]{8,128}",
+    "secret": NAMED + r"(?=[A-Za-z+/_.=~-]*+[0-9])[A-Za-z0-9+/_.=~-]{8,}+",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+(?!1)[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z]|\.[0-9])",
+    "phone": r"(?<![0-9+])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+(?!1)[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])|(?<![0-9+.-])[2-9][0-9]{2}([.-])[2-9][0-9]{2}\1[0-9]{4}(?![0-9]|[.-][0-9])",
+    "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|\.[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
@@ -40,36 +49,50 @@ def let(value: Column, use) -> Column:  # noqa: ANN001
 
 def feistel(values: Column, radices: Column, kind: str, key: str, back: bool = False) -> Column:
     """The permuted list of values, each below its radix."""
-    half = F.floor(F.size(values) / 2).cast("int")
+    order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
 
-    def turn(state: Column, r: Column) -> Column:
-        even = r % 2 == 0  # even rounds shift the left half
-        other = F.array_join(F.when(even, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half)).cast("array<string>"), ",")
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.size(state).cast("string"), other).cast("binary"), 512)
+    def network(state: Column, radices: Column, half: Column, blocks: Column) -> Column:
+        def turn(state: Column, r: Column) -> Column:
+            even = r % 2 == 0  # even rounds shift the left half
+            other = F.array_join(F.when(even, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, F.lit(1), half)).cast("array<string>"), ",")
+            seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.size(state).cast("string"), other).cast("binary"), 256)
 
-        def shifted(h: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                shift = F.conv(F.substring(h, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-                rad = F.element_at(radices, i + 1)
-                return F.when((i < half) == even, F.pmod(x - shift if back else x + shift, rad)).otherwise(x).cast("int")
+            def shifted(h: Column) -> Column:
+                def one(x: Column, i: Column) -> Column:
+                    shift = F.conv(F.substring(F.get(h, F.floor(i / 32).cast("int")), (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                    rad = F.element_at(radices, i + 1)
+                    return F.when((i < half) == even, F.pmod(x - shift if back else x + shift, rad)).otherwise(x).cast("int")
 
-            return F.transform(state, one)
+                return F.transform(state, one)
 
-        return let(stream, shifted)
+            stream = let(seed, lambda s: F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", s, b.cast("string")).cast("binary"), 512)))
+            return let(stream, shifted)
 
-    order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(order, values.cast("array<int>"), turn)
+        return F.aggregate(order, state, turn)
+
+    def sized(v: Column) -> Column:
+        half = F.floor(F.size(v) / 2).cast("int")
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / 32).cast("int"))
+        return let(radices, lambda r: let(half, lambda h: let(blocks, lambda b: network(v, r, h, b))))
+
+    return let(values.cast("array<int>"), sized)
+
+
+def walked(value: Column, step, good) -> Column:  # noqa: ANN001
+    """step(value), and step again while the result isn't good: a permutation of the good values if step is one of all."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), step(value), lambda v, _: F.when(good(v), v).otherwise(step(v)))
 
 
 def filled(form: Column, letters: Column) -> Column:
     """form with its letters and digits replaced, in turn, by those of `letters`."""
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
-    def step(a: Column, c: Column) -> Column:
-        put = c.rlike("[0-9A-Za-z]")
-        return F.struct(F.concat(a["out"], F.when(put, F.substring(letters, a["k"], F.lit(1))).otherwise(c)).alias("out"), (a["k"] + put.cast("int")).alias("k"))
+    def put(chars: Column, new: Column) -> Column:
+        placed = F.transform(chars, lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+        moved = F.transform(F.filter(placed, lambda x: x["c"].rlike("[0-9A-Za-z]")), lambda x, k: F.struct(x["i"].alias("i"), F.get(new, k).alias("c")))
+        rest = F.filter(placed, lambda x: ~x["c"].rlike("[0-9A-Za-z]"))
+        return F.array_join(F.transform(F.array_sort(F.concat(moved, rest)), lambda x: x["c"]), "")
 
-    return F.aggregate(F.split(form, ""), start, step, lambda a: a["out"])
+    return let(F.split(form, ""), lambda a: let(F.split(letters, ""), lambda b: put(a, b)))
 
 
 def plain(s: Column) -> Column:
@@ -126,15 +149,18 @@ def of_kind(m: Column, key: str, back: bool) -> Column:
         return F.array_join(feistel(F.split(m, r"\.").cast("array<int>"), F.array(*[F.lit(256)] * 4), "ip", key, back).cast("array<string>"), ".")
 
     def date() -> Column:
-        day = F.coalesce(*[F.try_to_timestamp(m, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy")])
+        # the first format that the match is valid in; with slashes the month may come first
+        form = F.coalesce(*[F.when(F.try_to_timestamp(m, F.lit(f)).isNotNull(), F.lit(f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy")])
+        start = F.lit("1900-01-01").cast("date")
+        on = lambda v: F.date_add(start, v[0] * 4297 + v[1])
+        step = lambda v: feistel(v, F.array(F.lit(17), F.lit(4297)), "date", key, back)
 
-        def moved(d: Column) -> Column:
-            n = F.datediff(d, F.lit("1900-01-01").cast("date"))
-            two = feistel(F.array(F.floor(n / 4297).cast("int"), n % 4297), F.array(F.lit(17), F.lit(4297)), "date", key, back)
-            new = let(two, lambda v: F.date_add(F.lit("1900-01-01").cast("date"), v[0] * 4297 + v[1]))
-            return F.when(m.rlike("-"), F.date_format(new, "yyyy-MM-dd")).when(m.rlike("/"), F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
+        def moved(f: Column) -> Column:
+            n = F.datediff(F.try_to_timestamp(m, f).cast("date"), start)
+            two = F.array(F.floor(n / 4297).cast("int"), (n % 4297).cast("int"))
+            return let(walked(two, step, lambda v: (f != "MM/dd/yyyy") | (F.dayofmonth(on(v)) > 12)), lambda v: F.call_function("date_format", on(v).cast("timestamp"), f))
 
-        return let(day, lambda d: made("date", F.when(d.isNotNull(), moved(d)), d.isNotNull()))
+        return let(form, lambda f: made("date", F.when(f.isNotNull(), moved(f)), f.isNotNull()))
 
     def ssn() -> Column:
         # the area keeps its validity: its digits move within 1 to 8 first, so never 000, 666 or 9xx by the first digit alone
@@ -146,11 +172,15 @@ def of_kind(m: Column, key: str, back: bool) -> Column:
         head = F.regexp_extract(m, "^" + NAMED, 0)
 
         def value(h: Column) -> Column:
-            v = F.substring(m, F.length(h) + 1, F.lit(256))
-            low, up = v.rlike("^[0-9a-f]+$"), v.rlike("^[0-9A-F]+$")
-            hexed = lambda c, i: F.when(low, F.lit("0123456789abcdef")).otherwise(F.lit("0123456789ABCDEF"))
-            keeps = let(F.when(low | up, lettered(v, "secret", key, back, hexed)).otherwise(filled(v, lettered(plain(v), "secret", key, back))), lambda n: F.when(n.rlike("[0-9]"), n).otherwise(v))
-            return F.concat(h, keeps)
+            v = F.substring(m, F.length(h) + 1, F.length(m))
+
+            def hexes(low: Column) -> Column:
+                hexed = lambda c, i: F.when(low, F.lit("0123456789abcdef")).otherwise(F.lit("0123456789ABCDEF"))
+                # what is found again: a digit, and in capitals a letter too
+                return walked(v, lambda x: lettered(x, "secret", key, back, hexed), lambda x: x.rlike("[0-9]") & (low | x.rlike("[A-F]")))
+
+            is_hex = v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+            return F.concat(h, F.when(is_hex, let(v.rlike("^[0-9a-f]+$"), hexes)).otherwise(filled(v, lettered(plain(v), "secret", key, back))))
 
         return let(head, value)
 
@@ -183,7 +213,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str | Non
     new = F.transform(matches, lambda m: of_kind(m, key, back))
     joined = let(new, lambda n: F.struct(F.array_join(F.zip_with(pieces, n, lambda p, x: F.concat(p, F.coalesce(x["new"], F.lit("")))), "").alias("text"), F.filter(F.transform(n, lambda x: x["kind"]), lambda k: k.isNotNull()).alias("kinds")))
     may = t.rlike("[0-9@]")
-    name = "__pii"
+    name = fresh(docs, "pseudonyms")
     out = docs.withColumn(name, F.when(may, joined)).withColumn(text, F.when(F.col(name).isNull(), t).otherwise(F.col(f"{name}.text")))
     if found:
         out = out.withColumn(found, F.coalesce(F.col(f"{name}.kinds"), F.array().cast("array<string>")))
@@ -195,13 +225,16 @@ def restore(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return pseudonymize(docs, key, text, back=True)
 
 
-#: The key of the registered query. A deployment passes its own.
-QUERY_KEY = "a key for tests"
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting; where there is none, a random one that holds for the session."""
+    if not spark.conf.get(KEY_SETTING, ""):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = pseudonymize(docs, QUERY_KEY, found="kinds")
+    got = pseudonymize(docs, session_key(spark), found="kinds")
     return got.select("doc_id", "text", F.size("kinds").cast("bigint").alias("n_values"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
 
 
