@@ -35,6 +35,16 @@ def export_quotes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).filter(has_kanji_or_hiragana(F.col("japanese.text")))
 
 
+def dump_json(rows: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, nulls left out; a folder that is there already is an error."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def copy_table(spark: SparkSession, path: str, to: str) -> None:
+    """A table copied whole, in the files' own schema; a folder that is there already is an error."""
+    spark.read.parquet(path).write.mode("errorifexists").parquet(to)
+
+
 def import_audio(stored: DataFrame, files: DataFrame) -> DataFrame:
     """New objects of files (data, uri) by content address, with size; what is stored already isn't returned. Unknown formats fail."""
     ext = audio_format(F.col("data"))

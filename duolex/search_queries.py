@@ -7,15 +7,18 @@ customers' numbers: a digit becomes a letter of one of the scripts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analyzers, spans
 from .functions import text as T
+from .operators import store
 from .plans import search
 from .plans.index import Index, build_index
 from .registry import query
-from .session import table
+from .session import shared_folder, table
 
 BASE, CONJUGATED = "english.text", "english.text.conjugations"
 TERMS = ("than", "thing", "ention", "edre")
@@ -137,6 +140,12 @@ def ft_search(spark, sf_dir):  # noqa: ANN001, ANN201
     return page(search.search(english_index(spark, sf_dir), f"{CONJUGATED_QUERY} @en"))
 
 
+@query(f"SELECT doc_id, 0.0::DOUBLE AS score, round(pow({_U}, 1 / weight), 9) AS key FROM documents JOIN (SELECT source, sum(count(*)) OVER () / (count(*) * count(*) OVER ()) AS weight FROM documents GROUP BY source) USING (source) WHERE lang = 'fr' ORDER BY key DESC, doc_id LIMIT {search.PAGE}")
+def ft_shuffle(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A speaker alone: a weighted random page of the speaker's documents."""
+    return page(search.search(english_index(spark, sf_dir), "@fr"))
+
+
 @query(f"WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), u AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM s WHERE regexp_matches(t, '(?i)^[a-z ]*\\bthe\\b')) SELECT doc_id, (min(i) - 1)::INT AS start, (min(i) + 2)::INT AS stop FROM u WHERE lower(substr(t, i, 3)) = 'the' AND (i = 1 OR substr(t, i - 1, 1) = ' ') AND NOT regexp_matches(substr(t, i + 3, 1), '[\\p{{L}}\\p{{N}}_]') GROUP BY doc_id")
 def ft_highlight_offsets(spark, sf_dir):  # noqa: ANN001, ANN201
     """Where the first "the" of a document begins and ends, from the positions of its posting."""
@@ -171,6 +180,14 @@ def ft_lang_detect(spark, sf_dir):  # noqa: ANN001, ANN201
     return rows.select("id", T.is_japanese(s).alias("japanese"), T.is_single_kanji(s).alias("single_kanji"), T.has_kanji_or_hiragana(s).alias("importable"), T.has_japanese_letters(s).alias("on_page"))
 
 
+@query(f"SELECT id FROM ({_JA}) WHERE regexp_matches(s, '{T.KANJI_OR_HIRAGANA}')")
+def sc_export_quotes(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Stored quotes whose Japanese text has kanji or hiragana."""
+    path = f"{shared_folder(spark)}/quotes-{uuid.uuid4().hex}"
+    japanese(spark, sf_dir).select("id", F.struct(F.translate("s", "鏡祥鳳瑞", "タカーカ").alias("other"), F.col("s").alias("text")).alias("japanese")).write.parquet(path)
+    return store.export_quotes(spark, path).select("id")
+
+
 def tokens_of(rows: DataFrame, analyzer: str) -> DataFrame:
     return rows.select("id", F.explode(analyzers.analyzed(F.col("s"), analyzer)).alias("t")).select("id", "t.term", "t.pos", "t.start", "t.end")
 

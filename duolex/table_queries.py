@@ -251,6 +251,39 @@ def sk_save_source(spark, sf_dir):  # noqa: ANN001, ANN201
     return spark.read.parquet(path).select("id", "source")
 
 
+@query("SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS customer FROM orders")
+def sk_json_dump(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Rows written as JSON and read again."""
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("customer"))
+    store.dump_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("SELECT * FROM supplier")
+def sk_copy_table(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = f"{shared_folder(spark)}/copy-{uuid.uuid4().hex}"
+    store.copy_table(spark, f"{sf_dir}/supplier.parquet", path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT p_partkey, t AS title FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END || p_type AS t FROM part) ORDER BY lower(t), p_partkey LIMIT 50")
+def sl_title_order(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The first titles without regard to case."""
+    title = F.concat(F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", title.alias("title")).orderBy(T.title_order(F.col("title")), "p_partkey").limit(50)
+
+
+@query("SELECT 'f' || o_custkey || '*p[' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) || ']' AS key, 'v' || o_orderkey AS audio_path FROM orders WHERE o_orderstatus <> 'O'")
+def fl_voiced_only(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Voiced lines of a script only, numbered after the others have gone."""
+    k = F.col("o_orderkey")
+    said = F.concat(F.when(F.col("o_orderstatus") == "O", "").otherwise(F.concat(F.lit("[nm s=v"), k, F.lit("]"))), F.lit("line "), k, F.lit("[np]"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), "o_custkey").alias("file"), k.cast("int").alias("line_ordinal"), said.alias("line"))
+    head = o.select("file").distinct().select("file", F.lit(-1).alias("line_ordinal"), F.lit("*page").alias("line"))
+    return readers.ks(head.unionByName(o), separators=("np",), voiced_only=True).select("key", "audio_path")
+
+
 # --- rules -----------------------------------------------------------------------------------------------------------------
 
 _NPCS = "SELECT c_custkey AS npc, CASE WHEN c_custkey % 50 = 10 THEN c_custkey + 1 WHEN c_custkey % 50 = 11 THEN c_custkey - 1 WHEN c_custkey % 5 <> 0 THEN c_custkey // 3 END AS template, CASE WHEN c_custkey % 7 = 0 THEN c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS voice FROM customer"
