@@ -2,9 +2,11 @@
 
 A partial partition is a vector of one byte total for each shard, ascending. Differencing takes the two partial partitions with
 the largest spread and adds them oppositely ordered: the largest part of one meets the smallest of the other. It starts
-with a group alone in a vector and ends with one vector. It runs in a tree: buckets of groups are differenced side by side,
-then the partial partitions of FAN buckets at a time, until one is left; a task never holds more than one bucket's groups
-or FAN vectors. The assignment of parts is carried down the same tree by joins.
+with a group alone in a vector and ends with one vector.
+
+The GROUPS largest groups are differenced first, together. The others are dealt to buckets of about GROUPS, which are
+differenced side by side. Each bucket starts with one vector more: its share of what the largest groups left uneven. So it
+evens that out too, and its parts belong to the shards of that vector: nothing has to be put together afterwards.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Groups differenced in one task, partial partitions combined in one task, rows numbered in one sorted run.
-GROUPS, FAN, RUN = 4000, 64, 5000
+#: Groups differenced in one task, rows numbered in one sorted run.
+GROUPS, RUN = 4000, 5000
 
 
 def difference(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,43 +53,37 @@ def difference(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return live[top], parts
 
 
+def alone(sizes, shards: int) -> np.ndarray:  # noqa: ANN001
+    """Each size as the last part of a vector of its own."""
+    v = np.zeros((len(sizes), shards), np.int64)
+    v[:, -1] = sizes
+    return v
+
+
 def assign(groups: DataFrame, shards: int) -> DataFrame:
     """(g, bytes) with distinct g to (g, shard). Ties go by size and then by g, so the result doesn't depend on the order of rows."""
-    n = groups.count()
-    buckets = max(1, -(-n // GROUPS))
-
-    def lone(key, pdf: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
+    spark, kind = groups.sparkSession, dict(groups.dtypes)["g"]
+    buckets = -(-(groups.count() - GROUPS) // GROUPS)
+    first = groups.orderBy(F.desc("bytes"), "g").limit(GROUPS).collect()  # at most GROUPS rows
+    if not first:
+        return groups.select("g", F.lit(0).alias("shard"))
+    totals, parts = difference(alone([r["bytes"] for r in first], shards))
+    out = spark.createDataFrame([(r["g"], int(p)) for r, p in zip(first, parts[:, -1], strict=True)], f"g {kind}, shard int")
+    if buckets <= 0:
+        return out
+    share = totals // buckets
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "g"], ascending=[False, True], ignore_index=True)
-        v = np.zeros((len(pdf), shards), np.int64)
-        v[:, -1] = pdf.bytes
-        totals, parts = difference(v)
-        part = parts[:, -1]
-        return pd.DataFrame({"g": pdf.g, "bucket": key[0], "part": part.astype(np.int32), "total": totals[part]})
-
-    def several(key, pdf: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        ids = np.sort(pdf.bucket.unique())
-        v = np.zeros((len(ids), shards), np.int64)
-        v[np.searchsorted(ids, pdf.bucket), pdf.part] = pdf.total
-        totals, parts = difference(v)
-        b, p = np.divmod(np.arange(v.size), shards)
-        up = parts[b, p]
-        return pd.DataFrame({"bucket": ids[b], "part": p.astype(np.int32), "up": key[0], "up_part": up.astype(np.int32), "total": totals[up]})
-
-    placed = groups.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("bigint"))
-    kind = dict(groups.dtypes)["g"]
-    placed = cut(placed.groupBy("bucket").applyInPandas(lone, f"g {kind}, bucket bigint, part int, total bigint"))
-    level, maps = placed.select("bucket", "part", "total").distinct(), []
-    while buckets > 1:
-        got = level.withColumn("up", F.floor(F.col("bucket") / FAN)).groupBy("up").applyInPandas(several, "bucket bigint, part int, up bigint, up_part int, total bigint")
-        maps.append(got := cut(got))
-        level = got.select(F.col("up").alias("bucket"), F.col("up_part").alias("part"), "total").distinct()
-        buckets = -(-buckets // FAN)
-    if not maps:
-        return placed.select("g", F.col("part").alias("shard"))
-    down = maps[-1].select("bucket", "part", F.col("up_part").alias("shard"))
-    for m in reversed(maps[:-1]):
-        down = m.select("bucket", "part", "up", "up_part").join(down.select(F.col("bucket").alias("up"), F.col("part").alias("up_part"), "shard"), ["up", "up_part"]).select("bucket", "part", "shard")
-    return placed.join(down, ["bucket", "part"]).select("g", "shard")
+        _, parts = difference(np.concatenate([share[None, :], alone(pdf.bytes, shards)]))
+        shard = np.empty(shards, np.int64)
+        shard[parts[0]] = np.arange(shards)  # the place of the vector of the largest groups that a part has
+        return pd.DataFrame({"g": pdf.g, "shard": shard[parts[1:, -1]].astype(np.int32)})
+
+    last = first[-1]
+    rest = groups.filter((F.col("bytes") < last["bytes"]) | ((F.col("bytes") == last["bytes"]) & (F.col("g") > F.lit(last["g"]))))
+    dealt = rest.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket")
+    return out.unionByName(dealt.applyInPandas(fill, f"g {kind}, shard int"))
 
 
 def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
