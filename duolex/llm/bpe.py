@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, table, tidied
 
-#: UTF-8 bytes of text that are indexed together, and words kept in a worker.
-BLOCK_BYTES, KEPT_WORDS = 2 << 20, 600_000
+#: UTF-8 bytes of text that are indexed together, and words kept in a worker, in two generations of half as many.
+BLOCK_BYTES, KEPT_WORDS = 1 << 20, 300_000
 #: White space as the vocabulary's own pattern library has it.
 WHITE_POINTS = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 WHITE = "".join(map(chr, WHITE_POINTS))
@@ -66,6 +66,7 @@ class WordBpe:
         self.letter = np.array([self.vocab.get(c, -1) for c in byte_letters()], np.int64)
         self.last = np.array([self.vocab.get(c + self.suffix, -1) for c in byte_letters()], np.int64)
         self.done: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text after normalisation; an added token that stands in the text is its id."""
@@ -150,10 +151,13 @@ class WordBpe:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        if len(self.done) > KEPT_WORDS:
-            self.done.clear()
+        if len(self.done) > KEPT_WORDS // 2:  # words that come again move to the new generation
+            self.past, self.done = self.done, {}
         split = [self.split(t) for t in texts]
-        self.learn({w for w in set(chain.from_iterable(split)) if w.__class__ is str and w not in self.done})
+        new = {w for w in set(chain.from_iterable(split)) if w.__class__ is str and w not in self.done}
+        again = {w: self.past[w] for w in new if w in self.past}
+        self.done.update(again)
+        self.learn(new - again.keys())
         get = self.done.__getitem__
         return [b"".join([w.to_bytes(4, "little") if w.__class__ is int else get(w) for w in ws]) if any(w.__class__ is int for w in ws) else b"".join(map(get, ws)) for ws in split]
 
@@ -206,7 +210,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     source = docs.select(*keep) if text in keep else docs.select(*keep, text)
     b_text = source.columns.index(text)
     schema = ", ".join([*[f"`{n}` {t}" for n, t in docs.select(*keep).dtypes], f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

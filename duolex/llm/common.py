@@ -38,8 +38,8 @@ def cut_lean(df: DataFrame, rows: int = 1000) -> DataFrame:
         conf.set(name, usual)
 
 
-def cut_dealt(df: DataFrame, partitions: int, key: str) -> DataFrame:
-    """df dealt to partitions by the key and kept like `cut`, in a way that later groupings by the key see.
+def cut_dealt(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """df dealt to partitions by the keys and kept like `cut`, in a way that later groupings by the key see.
 
     Adaptive execution hides the partitioning of what is kept, so it is off for the write.
     """
@@ -47,7 +47,7 @@ def cut_dealt(df: DataFrame, partitions: int, key: str) -> DataFrame:
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(partitions, key))
+        return cut(df.repartition(partitions, *keys))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -78,6 +78,25 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def tidied(run):  # noqa: ANN001, ANN201
+    """run, a function over batches, after which its worker gives unused memory back: workers outlive their tasks."""
+
+    def around(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return around
+
+
 #: Rows of a sorted table that are worked on at once.
 CHUNK = 1 << 19
 
