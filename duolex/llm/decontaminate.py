@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import memo
-from .common import body, few, row_tag, table
+from .common import body, few, fresh, row_tag, table, tidied
 
 #: Bytes of item texts in a block; words of a seed; scores of equal words, of unequal ones and of a gap.
 ITEM_BYTES, SEED, EQUAL, UNEQUAL, GAP = 2 << 20, 3, 2, -1, -1
 #: Share of a perfect score, and equal words at least, of a link.
 SHARE, LEAST_WORDS = 0.4, 8
+#: Rows of an alignment between two that are kept.
+KEPT = 256
 #: ASCII letters to lower case; everything else in ASCII but digits separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -42,34 +44,56 @@ def align(item: tuple, text: tuple) -> tuple[int, int, int, int]:
     """(score, equal words, begin, end) of the best local alignment of two word sequences; begin and end are places in text.
 
     The recurrence runs over the words of text; along the item it is a running maximum. Of equal scores the first end wins.
+    Every KEPT-th row is kept; on the way back the rows between two of them are worked out again, so memory is that of a few
+    hundred rows however long both are.
     """
     number: dict = {}
     a = np.array([number.setdefault(w, len(number)) for w in item])
     b = [number.get(w, -1) for w in text]
     n = len(a)
-    slope = -GAP * np.arange(n + 1)
-    h = np.zeros((len(b) + 1, n + 1), np.int64)
-    for i, w in enumerate(b):
-        row = np.zeros(n + 1, np.int64)
-        row[1:] = np.maximum(np.maximum(h[i, :-1] + np.where(a == w, EQUAL, UNEQUAL), h[i, 1:] + GAP), 0)
-        h[i + 1] = np.maximum.accumulate(row + slope) - slope
-    i, j = divmod(int(h.argmax()), n + 1)
-    score, end, equal = int(h[i, j]), i, 0
-    while h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (EQUAL if a[j - 1] == b[i - 1] else UNEQUAL):
+    slope = (-GAP * np.arange(n + 1)).astype(np.int32)
+
+    def after(above: np.ndarray, w: int) -> np.ndarray:
+        row = np.zeros(n + 1, np.int32)
+        row[1:] = np.maximum(np.maximum(above[:-1] + np.where(a == w, EQUAL, UNEQUAL), above[1:] + GAP), 0)
+        return np.maximum.accumulate(row + slope) - slope
+
+    row = np.zeros(n + 1, np.int32)
+    kept, score, i, j = [row], 0, 0, 0
+    for k, w in enumerate(b, 1):
+        row = after(row, w)
+        if (top := int(row.max())) > score:
+            score, i, j = top, k, int(row.argmax())
+        if k % KEPT == 0:
+            kept.append(row)
+    end, equal, rows, first = i, 0, [kept[0]], 0
+    while True:
+        if i and not first <= i - 1 < i < first + len(rows):
+            first = (i - 1) // KEPT * KEPT
+            rows = [kept[first // KEPT]]
+            for w in b[first : min(first + KEPT, len(b))]:
+                rows.append(after(rows[-1], w))
+        here = rows[i - first]
+        if here[j] <= 0:
+            return score, int(equal), i, end
+        above = rows[i - 1 - first]
+        if here[j] == above[j - 1] + (EQUAL if a[j - 1] == b[i - 1] else UNEQUAL):
             i, j, equal = i - 1, j - 1, equal + (a[j - 1] == b[i - 1])
-        elif h[i, j] == h[i - 1, j] + GAP:
+        elif here[j] == above[j] + GAP:
             i -= 1
         else:
             j -= 1
-    return score, int(equal), i, end
 
 
-@memo(20_000)
+@memo(2_000)
+def _remembered(item: tuple, text: tuple) -> tuple[int, int, int, int]:
+    return align(item, text)
+
+
 def _aligned(item: tuple, text: tuple) -> tuple[int, int, int, int]:
     if len(item) == len(text) and item == text:
         return EQUAL * len(item), len(item), 0, len(text)
-    return align(item, text)
+    return _remembered(item, text) if len(text) <= 500 else align(item, text)
 
 
 def windows(hits: list[tuple[int, int]], size: int, n_words: int) -> list[tuple[int, int]]:
@@ -157,15 +181,16 @@ def _linked(rows: DataFrame, block: list, seeds: dict, share: float, least: int,
             types = (batch.schema.field(0).type, None, pa.float64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if t is not None else pa.array(c, pa.int64() if not c else None) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "score", "identity", "begin", "end"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs, with all its columns, without the rows that are linked to an item. Each row is judged by its own text, whatever its doc_id."""
-    marked = docs.withColumn("__k", row_tag("doc_id", "text"))
-    own = marked.select(F.col("__k").alias("doc_id"), "text")
-    bad = few(links(own, items).select(F.col("doc_id").alias("__k")).distinct())
-    return marked.join(bad, "__k", "left_anti").select(*docs.columns)
+    tag = fresh(docs, "row_tag")
+    marked = docs.withColumn(tag, row_tag("doc_id", "text"))
+    own = marked.select(F.col(tag).alias("doc_id"), "text")
+    bad = few(links(own, items).select(F.col("doc_id").alias(tag)).distinct())
+    return marked.join(bad, tag, "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

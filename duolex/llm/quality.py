@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, few, row_tag, table
+from .common import SPACES, cut, few, fresh, row_tag, table
 
 #: Statistics that conditions may test, as expressions over the columns of `statistics`.
 TESTS = {
@@ -177,10 +177,10 @@ def judge(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that `judge` rejects, in the columns of docs. Each row is judged by its own text, whatever its doc_id."""
-    marked = docs.withColumn("__k", row_tag("doc_id", "text"))
-    bad = judge(marked, labels, "__k").filter("not kept").select("__k").distinct()
-    bad = few(bad)  # texts stay where they are unless very many rows go
-    return marked.join(bad, "__k", "left_anti").select(*docs.columns)
+    tag = fresh(docs, "row_tag")
+    marked = docs.withColumn(tag, row_tag("doc_id", "text"))
+    bad = few(judge(marked, labels, tag).filter("not kept").select(tag).distinct())  # texts stay where they are unless very many rows go
+    return marked.join(bad, tag, "left_anti").select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
