@@ -5,15 +5,17 @@ Each byte is eight binary decisions; each of the 255 decision nodes has a contex
 holds counts of zeros and ones and the Krichevsky-Trofimov estimate of both, and the weighted probability of a context mixes
 its own estimate with the product of its children's, each with weight one half. That mixture makes a stop weight for every
 context: the posterior that the tree ends there. The probability of a bit mixes the estimates along the path of its context
-by these weights; a path ends where a context wasn't seen in training.
+by these weights; a context that wasn't seen in training is a fresh node, which gives every bit one half.
 
 How it is spread: successive texts of a task make blocks of about BLOCK bytes. A block sends its distinct (context, byte) grams and words
 with their training counts, packed, to buckets by the last two bytes of context (words: by hash). A bucket holds the distinct
 grams of some contexts of two bytes; it builds their trees from depth 2 down and sends up what depth 1 and 0 need: sums for at
 most 256 * 255 nodes, the only thing that the driver sees. A bucket then answers each block with the log probabilities of
 just the grams and words that the block asked for, and the block scores its texts. Nothing that grows with the corpus is
-broadcast or collected. The number of blocks and buckets grows with the bytes; a bucket's memory is 16 bytes for each of its
-distinct grams, of which those of one context of two bytes stay together.
+broadcast or collected. The number of blocks and buckets grows with the bytes. A context that all blocks have doesn't bring all
+their rows to one task: beyond MERGED blocks a bucket's rows are split by block, each part is summed on its own, the bucket
+learns from the sums, and every part gets what it has learned. A bucket's memory is that of its distinct grams (16 bytes
+each), of which those of one context of two bytes stay together.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, crc_fold, cut_dealt, pack_sorted, squeeze, table, unpack_sorted, unsqueeze
+from .common import body, crc_fold, cut, cut_dealt, pack_sorted, squeeze, table, unpack_sorted, unsqueeze
 
+#: Blocks whose rows for a bucket meet in a task; grams in a row of what a bucket has learned.
+MERGED, LEARNED = 512, 1 << 22
 #: UTF-8 bytes of a block, positions worked on at once, grams of a bucket (on average, at most), bytes of context.
 BLOCK, SLICE, BUCKET, DEPTH = 16 << 20, 1 << 20, 1 << 17, 6
 END = b"\n"
@@ -143,10 +147,22 @@ def unpacked(b: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(unsqueeze(b, np.uint8).tobytes()).read_next_batch()
 
 
+#: Log gamma of i + 1/2 and of i + 1 for small i.
+HALVES, WHOLES = (np.array([math.lgamma(i + x) for i in range(1024)]) for x in (0.5, 1.0))
+
+
+def log_gamma(n: np.ndarray, small: np.ndarray, add: float) -> np.ndarray:
+    """Log gamma of n + add: from the table of small n, or by Stirling's series, which is exact to a double's precision beyond it."""
+    out = small[np.minimum(n, len(small) - 1)]
+    large = np.flatnonzero(n >= len(small))
+    x = n[large] + add
+    out[large] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    return out
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    return lg(n0 + 0.5) + lg(n1 + 0.5) - lg(n0 + n1 + 1.0) - math.log(math.pi) if len(n0) else np.empty(0)
+    return log_gamma(n0, HALVES, 0.5) + log_gamma(n1, HALVES, 0.5) - log_gamma(n0 + n1, WHOLES, 1.0) - math.log(math.pi)
 
 
 def nodes_of(grams: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,24 +206,24 @@ def tree(grams: np.ndarray, count: np.ndarray, depth: int, top: int) -> list[Lev
 
 
 def log10_probability(grams: np.ndarray, levels: list[Level], depth: int) -> np.ndarray:
-    """log10 of the probability of each gram's byte after its context; levels: from the root down, depth 0 first."""
+    """log10 of the probability of each gram's byte after its context; levels: from the root down, depth 0 first.
+
+    What a context passes down to one that training didn't see meets a fresh node there, whose estimate is a half at all depths.
+    """
     total = np.zeros(len(grams))
     byte = grams & np.uint64(255)
     for j in range(8):
         node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
-        one, left, last, alive = np.zeros(len(grams)), np.ones(len(grams)), np.full(len(grams), 0.5), np.ones(len(grams), bool)
-        stop = np.zeros(len(grams))
+        one, left, alive = np.zeros(len(grams)), np.ones(len(grams)), np.ones(len(grams), bool)
         for d, level in enumerate(levels):
-            key = (grams >> np.uint64(8 * (depth - d) + 8)) << np.uint64(8) | node
             if not len(level.keys):
                 break
+            key = (grams >> np.uint64(8 * (depth - d) + 8)) << np.uint64(8) | node
             i = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-            seen = alive & (level.keys[i] == key)
-            # what the depth above holds back is passed on where this depth was seen
-            one += np.where(seen, left * stop * last, 0)
-            left = np.where(seen, left * (1 - stop), left)
-            last, stop, alive = np.where(seen, level.one[i], last), np.where(seen, level.stop[i], stop), seen
-        one += left * last
+            alive &= level.keys[i] == key
+            one += np.where(alive, left * level.stop[i] * level.one[i], 0)
+            left = np.where(alive, left * (1 - level.stop[i]), left)
+        one += left / 2
         total += np.log10(np.where((byte >> np.uint64(7 - j)) & np.uint64(1) == 1, one, 1 - one))
     return total
 
@@ -264,7 +280,11 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
 
     # dealt once: the rows of buckets by bucket, texts by block. Both passes over the buckets and the scoring find them in place.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // (256 << 20)))
-    everything = cut_dealt(rows.mapInArrow(ask, "bucket bigint, kind int, block bigint, keys binary, counts binary"), parts, "bucket")
+    # where there are many blocks, a bucket's rows are split by block (part), so that a common context is no single task
+    split = max(1, -(-size // (block * MERGED)))
+    by = ["bucket", "part"] if split > 1 else ["bucket"]
+    made = rows.mapInArrow(ask, "bucket bigint, kind int, block bigint, keys binary, counts binary").withColumn("part", F.pmod("block", F.lit(split)))
+    everything = cut_dealt(made, parts, *by)
     asked = everything.filter("kind < 2")
 
     def all_grams(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -281,6 +301,16 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
                 out[w] = out.get(w, 0) + c
         return out
 
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a part of a bucket as one."""
+        if pdf.kind.iloc[0]:
+            c = all_words(pdf)
+            keys, counts = squeeze(np.frombuffer(b" ".join(c), np.uint8)), squeeze(np.fromiter(c.values(), np.int64, len(c)))
+        else:
+            u, n = all_grams(pdf)
+            keys, counts = pack_sorted(u), squeeze(n)
+        return pdf.iloc[:1].assign(keys=[keys], counts=[counts])
+
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.kind.iloc[0]:
             c = all_words(pdf).values()
@@ -291,26 +321,53 @@ def score(docs: DataFrame, train, depth: int = DEPTH, block: int = BLOCK) -> Dat
         return pd.DataFrame({"k": k.astype(np.int64), "n0": n0, "n1": n1, "child": child.astype(float)})
 
     # at most 256 * 255 rows, whatever the corpus
-    tops = asked.groupBy("bucket").applyInPandas(sums, "k bigint, n0 bigint, n1 bigint, child double").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("child").alias("child")).toPandas()
+    merged = cut(asked.groupBy(*by).applyInPandas(merge, asked.schema)) if split > 1 else asked
+    tops = merged.groupBy("bucket").applyInPandas(sums, "k bigint, n0 bigint, n1 bigint, child double").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("child").alias("child")).toPandas()
     words, tops = tops[tops.k < 0], tops[tops.k >= 0].sort_values("k")
     n_train, v_train = (int(words.n0.iloc[0]), int(words.n1.iloc[0])) if len(words) else (0, 0)
     one = Level(tops.k.to_numpy().astype(np.uint64), tops.n0.to_numpy(), tops.n1.to_numpy(), child=tops.child.to_numpy(float))
     root = Level(*summed(one.keys & np.uint64(255), one.n0, one.n1), below=one) if len(one.keys) else one
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def known_to(pdf: pd.DataFrame):  # noqa: ANN202
+        """A bucket's answers: asked keys to squeezed counts of words, or log probabilities of grams."""
         if pdf.kind.iloc[0]:
             c = all_words(pdf)
-            for name, keys in zip(pdf.block, pdf["keys"], strict=True):
-                out.append((name, 1, keys, squeeze(np.array([c[w] for w in unsqueeze(keys, np.uint8).tobytes().split(b" ")], np.int64))))
-        else:
-            u, n = all_grams(pdf)
-            p = log10_probability(u, [root, one, *reversed(tree(u, n, depth, 2))], depth).astype(np.float32)
-            for name, keys in zip(pdf.block, pdf["keys"], strict=True):
-                out.append((name, 0, keys, squeeze(p[np.searchsorted(u, unpack_sorted(keys))])))
-        return pd.DataFrame(out, columns=["bucket", "kind", "keys", "given"])
+            return lambda keys: squeeze(np.array([c[w] for w in unsqueeze(keys, np.uint8).tobytes().split(b" ")], np.int64))
+        u, n = all_grams(pdf)
+        p = log10_probability(u, [root, one, *reversed(tree(u, n, depth, 2))], depth).astype(np.float32)
+        return lambda keys: squeeze(p[np.searchsorted(u, unpack_sorted(keys))])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = known_to(pdf)
+        return pd.DataFrame({"bucket": pdf.block, "kind": pdf.kind, "keys": pdf["keys"], "given": [of(k) for k in pdf["keys"]]})
+
+    def learned(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What a bucket has learned, as rows of at most LEARNED grams, or all its words."""
+        if pdf.kind.iloc[0]:
+            return merge(pdf)[["bucket", "kind", "keys", "counts"]]
+        u, n = all_grams(pdf)
+        p = log10_probability(u, [root, one, *reversed(tree(u, n, depth, 2))], depth).astype(np.float32)
+        rows = [(pdf.bucket.iloc[0], 0, pack_sorted(u[i : i + LEARNED]), squeeze(p[i : i + LEARNED])) for i in range(0, len(u), LEARNED)]
+        return pd.DataFrame(rows, columns=["bucket", "kind", "keys", "counts"])
 
-    answers = asked.groupBy("bucket").applyInPandas(answer, "bucket bigint, kind int, keys binary, given binary")
+    def reply(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"bucket": [], "kind": [], "keys": [], "given": []})
+        if pdf.kind.iloc[0]:
+            of = known_to(known)
+        else:
+            some = sorted(((unpack_sorted(k), unsqueeze(g, np.float32)) for k, g in zip(known["keys"], known.counts, strict=True)), key=lambda x: x[0][0])
+            u, p = np.concatenate([k for k, _ in some]), np.concatenate([g for _, g in some])
+            of = lambda keys: squeeze(p[np.searchsorted(u, unpack_sorted(keys))])
+        return pd.DataFrame({"bucket": pdf.block, "kind": pdf.kind, "keys": pdf["keys"], "given": [of(k) for k in pdf["keys"]]})
+
+    given = "bucket bigint, kind int, keys binary, given binary"
+    if split > 1:  # each part of a bucket gets what the whole bucket has learned
+        known = merged.groupBy("bucket").applyInPandas(learned, "bucket bigint, kind int, keys binary, counts binary")
+        known = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(split - 1)).cast("array<bigint>")))
+        answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInPandas(reply, given)
+    else:
+        answers = asked.groupBy("bucket").applyInPandas(answer, given)
 
     def scored(key, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         grams = [(unpack_sorted(k), unsqueeze(g, np.float32)) for kind, k, g in zip(got.kind, got["keys"], got.given, strict=True) if not kind]
