@@ -27,6 +27,16 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
+def parts_of(rows: int, each: int = 100_000) -> int:
+    """Partitions for a table of counted rows: a small one makes few files at every exchange, a large one stays spread."""
+    return max(1, -(-rows // each))
+
+
+def slim(kept: DataFrame) -> DataFrame:
+    """A table that is kept already, in as many partitions as its rows call for."""
+    return kept.coalesce(parts_of(kept.count()))
+
+
 def cut_lean(df: DataFrame, rows: int = 1000) -> DataFrame:
     """df kept like `cut`, its Python functions fed with batches of `rows` rows, where rows are long or many are made of one."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,32 +5,27 @@ A fingerprint of 64 bits is cut into m segments, m the least with bits <= 2m - 1
 position blanked (64 keys for a fingerprint), so segments at distance one or none share a key. Rows with equal keys meet in
 one sorted run; each pair is verified on the whole fingerprint, and taken up under one of the keys that it shares. Runs of up to
 SMALL rows give all their verified pairs. Longer runs, as large families of near copies make, give a spanning forest of the
-verified links instead: it has the same components and at most one edge a row. Nothing is capped or dropped.
+verified links instead: it has the same components and at most a few edges a row. Runs of over LONG rows are cut once more, by
+pieces of the other bits of which a linked pair has one in common. Nothing is capped or dropped.
 
-`deduplicate` links by the Jaccard similarity of shingle sets and finds its candidates by a prefix filter, which is exact.
+`neardup` uses these links as the candidates of its Jaccard links.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, cut, cut_lean, few, row_tag, table
+from .common import body, cut, cut_lean, sorted_runs, table, tidied
 from .graph import components
 
-SMALL = 16
-#: Texts looked at for frequent shingles; how many of these come last in a prefix; rounds of comparison with one of a run.
-SAMPLE, FREQUENT, STARS = 10_000, 100_000, 3
-#: Columns of the parities.
-MAP = ("b0", "b1", "b2", "b3")
-#: Rows of the sorted key table that are worked on at once.
-CHUNK = 1 << 19
+#: Rows of a run that are paired directly, and rows from which a run is cut once more.
+SMALL, LONG = 16, 2048
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -46,16 +41,6 @@ def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
     return np.array([digest(joined[s:e], seed) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    """Other 64 independent bits of each hash; salt 0 leaves it as it is."""
-    if not salt:
-        return h
-    h = h + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def simhash(h: np.ndarray) -> int:
     """Bit i is set if it is set in over half of the hashes; no hash: zero. Worked in blocks, so long texts need no more memory."""
     count = np.zeros(64, np.int64)
@@ -69,19 +54,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = 4, prints: int = 1, key: str = "doc_id", tag: str | None = None) -> DataFrame:
-    """(key, tag, prints array<bigint>) of every text of column `text`; null and blank texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """(doc_id, fp bigint) of every text of column `text`; null and blank texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(1):
-                h = shingle_hashes(t.as_py(), words)
-                out.append([signed(simhash(mixed(h, s))) for s in range(prints)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.int64()))], names=["key", "tag", "prints"])
+            out = [signed(simhash(shingle_hashes(t.as_py(), words))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
 
-    cols = F.col(key).cast("bigint").alias("key"), body("text").alias("t"), (F.col(tag) if tag else F.lit(None).cast("string")).alias("tag")
-    return docs.select(*cols).mapInArrow(run, "key bigint, tag string, prints array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body("text").alias("t")).mapInArrow(tidied(run), "doc_id bigint, fp bigint")
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -137,8 +118,32 @@ def spanning(f: np.ndarray, bits: int, position: int) -> tuple[np.ndarray, np.nd
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def linked(keys: np.ndarray, f: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    """Verified links (n, 2) of ids within runs of equal keys (sorted), each where it is at home."""
+def forest(f: np.ndarray, bits: int, position: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (from, to) of edges with the components of all links among f, which share the key of the position.
+
+    Of bits + 1 pieces of the bits outside the key's segment, a linked pair has one in common; in each piece only rows with
+    the same value are compared.
+    """
+    if len(f) <= LONG:
+        return spanning(f, bits, position)
+    shift, width = next((s, w) for s, w in segments(bits) if s <= position < s + w)
+    rest = [i for i in range(64) if not shift <= i < shift + width]
+    a, b = [], []
+    for k in range(bits + 1):
+        mask = np.uint64(sum(1 << i for i in rest[k :: bits + 1]))
+        part = f & mask
+        order = np.argsort(part, kind="stable")
+        edges = np.flatnonzero(np.diff(part[order])) + 1
+        for group in np.split(order, edges):
+            if len(group) > 1:
+                x, y = spanning(f[group], bits, position)
+                a.append(group[x])
+                b.append(group[y])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def linked(keys: np.ndarray, f: np.ndarray, ids: np.ndarray, bits: int, trees: int = 1) -> np.ndarray:
+    """Verified links (n, 2) of ids within runs of equal keys (sorted), each where it is at home; of long runs `trees` forests."""
     found = []
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
@@ -151,41 +156,27 @@ def linked(keys: np.ndarray, f: np.ndarray, ids: np.ndarray, bits: int) -> np.nd
         i = i[home(f[i] ^ f[i + o], bits) == (keys[i] >> np.uint64(32)) & np.uint64(0xFF)]
         found.append(np.stack((ids[i], ids[i + o]), 1))
     for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        order = s + np.argsort(ids[s : s + n])
-        position = int(keys[s]) >> 32 & 0xFF
-        a, b = spanning(f[order], bits, position)
-        found.append(np.stack((ids[order[a]], ids[order[b]]), 1))
+        for turn in range(trees):
+            order = s + np.argsort(ids[s : s + n] if not turn else ids[s : s + n] * np.int64(0x9E3779B97F4A7C15 * turn % (1 << 63) | 1))
+            a, b = forest(f[order], bits, int(keys[s]) >> 32 & 0xFF)
+            found.append(np.stack((ids[order[a]], ids[order[b]]), 1))
     both = np.concatenate(found) if found else np.empty((0, 2), np.int64)
     return np.unique(np.sort(both, 1), axis=0) if len(both) else both
 
 
-def links(prints: DataFrame, bits: int, n_prints: int = 1) -> DataFrame:
-    """(id, prints) to distinct links (a, b), a < b, of ids at most `bits` bits apart in one of their prints (a forest in long runs)."""
-    each = prints.select("id", F.posexplode("prints").alias("n", "f")) if n_prints > 1 else prints.select("id", F.lit(0).alias("n"), F.col("prints")[0].alias("f"))
-    rows = each.select("id", "f", "n", F.explode(variants(F.col("f"), bits)).alias("k")).select(F.col("k").bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 40)).alias("k"), "f", "id")
-    dealt = rows.repartition("k").sortWithinPartitions("k")
+def links(prints: DataFrame, bits: int, trees: int = 1) -> DataFrame:
+    """(id, fp) to distinct links (a, b), a < b, of ids whose fingerprints are at most `bits` bits apart.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            m = np.concatenate(held) if held else np.empty((0, 3), np.int64)
-            end = len(m) if last or not len(m) else int(np.searchsorted(m[:, 0], m[-1, 0]))
-            held, size = [m[end:]], len(m) - end
-            if end:
-                got = linked(m[:end, 0].view(np.uint64), m[:end, 1].view(np.uint64), m[:end, 2], bits)
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+    Long runs give a spanning forest, or several in other orders, for callers that put a link to a further test.
+    """
+    rows = prints.select(F.explode(variants(F.col("fp"), bits)).alias("k"), "fp", "id")
 
-        for b in batches:
-            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1))
-            size += len(held[-1])
-            if size >= CHUNK:
-                yield from flush(False)
-        yield from flush(True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m in sorted_runs(batches):
+            got = linked(m[:, 0].view(np.uint64), m[:, 1].view(np.uint64), m[:, 2], bits, trees)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
@@ -196,9 +187,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     made; rows with a null doc_id keep their component and never name it unless all its ids are null. An empty table gives
     an empty one. Other columns are ignored, whatever they are called.
     """
-    prints = cut_lean(fingerprints(docs, words).select(F.col("key").alias("doc_id"), F.col("prints")[0].alias("fp")))
+    prints = cut_lean(fingerprints(docs, words))
     per = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = cut(links(per.select(F.col("fp").alias("id"), F.array("fp").alias("prints")), bits))
+    edges = cut(links(per.select(F.col("fp").alias("id"), "fp"), bits))
     root = components(edges)
     placed = per.join(root, per.fp == root.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -206,155 +197,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that repeat among about SAMPLE texts, ascending, and their ranks from the rarest. They only set an order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, n = np.unique(np.concatenate([np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(0)] or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
-
-    texts = docs.select(body("text").alias("t"))
-    part = texts.filter(F.pmod(F.xxhash64("t"), F.lit(max(1, docs.count() // SAMPLE))) == 0).distinct()
-    got = part.mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "g").limit(FREQUENT).collect()
-    g = np.array([r.g for r in got], np.int64).view(np.uint64)
-    order = np.argsort(g)
-    return g[order], len(g) - np.arange(len(g))[order]
-
-
-def signatures(docs: DataFrame, words: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, text, __k) to (key, tag, node, n, b0 to b3, prefix), a row for each row.
-
-    node: 64-bit hash of the set of shingles; n: its size; b0 to b3: the parities of how many shingles fall on each of 256
-    places; prefix: the shingles of which two sets of similarity `least` or more share one, rare ones first.
-    """
-    common, rank = frequent
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, sizes, maps, prefixes = [], [], [], []
-            for t in b.column(1):
-                s = np.unique(shingle_hashes(t.as_py(), words))
-                nodes.append(signed(xxhash.xxh64_intdigest(s.tobytes(), 7)))
-                sizes.append(len(s))
-                parity = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                maps.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    often = common[at] == s
-                    s = np.concatenate((s[~often], s[often][np.argsort(rank[at[often]])]))
-                prefixes.append(s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1].view(np.int64))
-            m = np.array(maps, np.int64).reshape(-1, 4)
-            cols = [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(m[:, i]) for i in range(4)], pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "tag", "node", "n", *MAP, "prefix"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("key"), body("text").alias("t"), F.col("__k").alias("tag"))
-    return rows.mapInArrow(run, "key bigint, tag string, node bigint, n bigint, " + "".join(f"{c} bigint, " for c in MAP) + "prefix array<bigint>")
-
-
-def may_be_alike(x, y, least: float):
-    """False only for sets whose sizes or parities rule the similarity out: parities differ at most where shingles do."""
-    apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in MAP[1:]), F.bit_count(x(MAP[0]).bitwiseXOR(y(MAP[0]))))
-    fit = F.least(x("n"), y("n")) >= least * F.greatest(x("n"), y("n")) - 1e-6
-    return fit & (apart <= (x("n") + y("n")) * ((1 - least) / (1 + least)) + 1e-6)
-
-
-def jaccard_links(sets: DataFrame, edges: DataFrame, least: float) -> DataFrame:
-    """The edges (a, b) whose sets of shingles, of (id, s), have a Jaccard similarity of `least` or more."""
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    return cut_lean(edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
-
-
-def shingle_sets(marked: DataFrame, of: DataFrame, words: int) -> DataFrame:
-    """(id, s) of the nodes in `of` (node, tag, again): the ascending hashes of their shingles. again: rows with the tag repeat."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "s"])
-
-    rows = marked.select("__k", body("text").alias("t")).join(few(of.select(F.col("tag").alias("__k"), "node", "again")), "__k")
-    made = lambda d: d.select("node", "t").mapInArrow(sets, "id bigint, s binary")
-    return cut_lean(made(rows.filter("not again")).unionByName(made(rows.filter("again")).groupBy("id").agg(F.first("s").alias("s"))))
-
-
-def similar(marked: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
-    """first (node, tag, again, n, b0 to b3, prefix) to (node, root) of the components of all pairs of similarity `least` or more.
-
-    Every such pair shares a shingle of both prefixes. Runs of up to SMALL sets with a shingle give all their pairs. In longer
-    ones sets are first held against one of the run, STARS times, so that most of a family is one component by links that
-    are verified; then every pair that is still in two components is looked at.
-    """
-    rows = first.select("node", F.explode("prefix").alias("k"))
-    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("k"))).filter("size > 1")
-    runs = cut(rows).join(first.select("node", "n", *MAP), "node")
-    runs = cut(runs)
-    fields = ["node", "n", *MAP]
-    other = lambda d, *more: d.select("k", *[F.col(c).alias(f"_{c}") for c in [*fields, *more]])
-    here, there = F.col, lambda c: F.col(f"_{c}")
-    fit = may_be_alike(here, there, least)
-    pair = F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")
-    small, big = runs.filter(F.col("size") <= SMALL), runs.filter(F.col("size") > SMALL)
-    pairs = cut(small.join(other(small), "k").filter(F.col("node") < F.col("_node")).filter(fit).select(*pair).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(big.select("node")).distinct()
-    sets = shingle_sets(marked, first.select("node", "tag", "again").join(ends, "node", "left_semi"), words)
-    found = jaccard_links(sets, pairs, least)
-    root = components(found)
-    for i in range(STARS + 1):
-        now = big.join(few(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        star = now.groupBy("k").agg(F.min_by(F.struct(*fields, "root"), F.xxhash64("node", F.lit(i))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        star = star.filter("lo < hi").select("k", *[F.col(f"p.{c}").alias(f"_{c}") for c in [*fields, "root"]])
-        now = cut(now.join(star, "k"))  # runs in one component are decided
-        if now.isEmpty():
-            break
-        now = now.filter("root <> _root") if i < STARS else now
-        if i < STARS:
-            pairs = now.filter(fit)
-        else:
-            rest = now.filter("root <> _root").select("k", *fields, "root", F.col("_root").alias("main"))
-            pairs = rest.join(other(now, "root"), "k").filter("root <> _root and (_root = main or node < _node)").filter(fit)
-        more = jaccard_links(sets, cut(pairs.select(*pair).distinct()), least)
-        found = found.unionByName(more)
-        root = components(found)
-    return root
-
-
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one row of each group of near duplicates; the row with the smallest doc_id stays.
-
-    Equal texts are one group. Different texts are linked if the Jaccard similarity of their sets of `words`-word shingles
-    is `similarity` or more; no such pair is left out. Texts without a word are one group, like any equal shingle sets. Of
-    rows that are equal in doc_id and text one stays. Rows with a null doc_id are compared like all others and stay only
-    where no row of their group has an id, one for each group. Where different texts share a doc_id each is judged alone.
-    """
-    names = docs.columns
-    marked = docs.withColumn("__k", row_tag("doc_id", "text"))
-    light = cut_lean(signatures(marked, words, similarity, frequent_shingles(docs, words)))
-    twice = few(light.groupBy("tag").agg(F.count("*").alias("n")).filter("n > 1").select("tag", F.lit(True).alias("again")))
-    first = light.groupBy("node").agg(F.min("tag").alias("tag"), *[F.first(c).alias(c) for c in ("n", *MAP, "prefix")])
-    first = cut(first.join(twice, "tag", "left").withColumn("again", F.coalesce("again", F.lit(False))))
-    root = similar(marked, first, words, similarity)
-    placed = light.select("key", "tag", "node").join(few(root), "node", "left")
-    stay = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tag")).alias("s")).select("s.tag")
-    # texts stay where they are unless very much goes: what is sent are the tags of rows that go or that repeat
-    counts = light.groupBy("tag").agg(F.count("*").alias("n"))
-    drop = counts.join(stay, "tag", "left_anti").select(F.col("tag").alias("__k"))
-    again = few(counts.filter("n > 1").join(stay, "tag", "left_semi").select(F.col("tag").alias("__k")))
-    kept = marked.join(few(drop), "__k", "left_anti")
-    single = kept.join(again, "__k", "left_anti")
-    return single.unionByName(kept.join(again, "__k", "left_semi").dropDuplicates(["__k"])).select(*names)
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 

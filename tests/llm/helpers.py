@@ -1,6 +1,6 @@
 """Small inputs that try every operator: nulls, blanks, repeats, a long text, columns whose names clash."""
 
-CLASHING = ("key", "tag", "h", "id", "ids", "decoded", "n", "kinds", "x", "w", "l", "t", "bucket", "kept", "rule", "fp", "a", "b", "g", "size", "shard", "item_id", "score", "k", "prints", "words", "row", "digest", "toxic", "quality", "block", "n_words", "run", "i", "v")
+CLASHING = ("key", "tag", "h", "id", "ids", "decoded", "n", "kinds", "x", "w", "l", "t", "bucket", "kept", "rule", "fp", "a", "b", "g", "size", "shard", "item_id", "score", "k", "prints", "words", "row", "digest", "toxic", "quality", "block", "n_words", "run", "i", "v", "__k", "__pii", "row_tag", "pseudonyms", "node", "par")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 TEXTS = [
     (1, "the quick brown fox jumps over the lazy dog and runs away from here today"),

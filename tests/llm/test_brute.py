@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from duolex.llm import bpe, common, ctw, decontaminate, pii, quality, sharding, simhash, token_counts, toxicity
+from duolex.llm import bpe, common, ctw, decontaminate, neardup, pii, quality, sharding, simhash, token_counts, toxicity
 
 from .helpers import plain
 
@@ -53,7 +53,7 @@ def test_simhash_query(spark, texts):
 
     rows = simhash.op5_simhash(spark, SF).collect()
     assert len(rows) == len(texts)
-    for r in rows[:60]:
+    for r in rows:
         w = texts[r.doc_id].encode().lower().split()
         grams = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
         h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
@@ -74,7 +74,7 @@ def test_links_find_all(spark, monkeypatch):
                 x ^= 1 << b
             f.append(x)
     f = sorted(set(f))
-    d = spark.createDataFrame([(i, [simhash.signed(x)]) for i, x in enumerate(f)], "id long, prints array<bigint>")
+    d = spark.createDataFrame([(i, simhash.signed(x)) for i, x in enumerate(f)], "id long, fp long")
     s = Sets()
     for r in simhash.links(d, 4).collect():
         assert (f[r.a] ^ f[r.b]).bit_count() <= 4
@@ -94,11 +94,11 @@ def test_deduplicate(spark):
                 w[rnd.randrange(len(w))] = rnd.choice(vocab)
             rows.append((len(rows), " ".join(w)))
             family[len(rows) - 1] = k
-    kept = [r.doc_id for r in simhash.deduplicate(plain(spark, rows)).collect()]
+    kept = [r.doc_id for r in neardup.deduplicate(plain(spark, rows)).collect()]
     assert {family[i] for i in kept} == set(range(40))
     assert len(kept) <= 42  # a copy with four words of 300 replaced has a similarity of about 0.9
     apart = [(i, " ".join(rnd.choices(vocab, k=200))) for i in range(200)]
-    assert simhash.deduplicate(plain(spark, apart)).count() == 200
+    assert neardup.deduplicate(plain(spark, apart)).count() == 200
 
 
 def ctw_brute(texts, train, depth):
@@ -136,18 +136,20 @@ def ctw_brute(texts, train, depth):
 
     def p(c, n, b, d=0):
         k = (c[depth - d :], n)
-        if k not in count:
-            return None
+        if k not in count:  # a fresh node
+            return 0.5
         z, o = count[k]
         own = ((o if b else z) + 0.5) / (z + o + 1)
-        below = p(c, n, b, d + 1) if d < depth else None
-        return own if below is None else stop[k] * own + (1 - stop[k]) * below
+        return own if d == depth else stop[k] * own + (1 - stop[k]) * p(c, n, b, d + 1)
 
-    return lambda t: sum(math.log10(p(c, n, b) or 0.5) for c, n, b in bits(t))
+    return lambda t: sum(math.log10(p(c, n, b)) for c, n, b in bits(t))
 
 
-@pytest.mark.parametrize("depth", [4, 6])
-def test_ctw(spark, texts, depth):
+@pytest.mark.parametrize("depth,merged", [(4, 512), (6, 512), (4, 1)])
+def test_ctw(spark, texts, depth, merged, monkeypatch):
+    """merged: 1 splits the rows of a bucket by block."""
+    monkeypatch.setattr(ctw, "MERGED", merged)
+    monkeypatch.setattr(ctw, "LEARNED", 1000)
     some = {i: t for i, t in list(texts.items())[:25]}
     some[1001], some[1002] = "", None
     train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
@@ -181,7 +183,6 @@ def test_ctw_is_a_distribution(spark):
 
 def test_sharding(spark, texts, monkeypatch):
     monkeypatch.setattr(sharding, "GROUPS", 20)
-    monkeypatch.setattr(sharding, "FAN", 3)
     monkeypatch.setattr(sharding, "RUN", 30)
     rows = sharding.op3_sharding(spark, SF).collect()
     of, slots, size = {}, defaultdict(list), Counter()
@@ -384,7 +385,7 @@ def test_label_model():
 def test_deduplicate_without_broadcast(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs = docs.unionByName(docs.filter("doc_id % 9 = 0"))  # some rows repeat
-    usual = sorted(r.doc_id for r in simhash.deduplicate(docs).collect())
+    usual = sorted(r.doc_id for r in neardup.deduplicate(docs).collect())
     monkeypatch.setattr(common, "FEW", 0)
-    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == usual
+    assert sorted(r.doc_id for r in neardup.deduplicate(docs).collect()) == usual
     assert len(usual) == len(set(usual))

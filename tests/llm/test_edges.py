@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from duolex.llm import bpe, ctw, decontaminate, licenses, pii, quality, sharding, simhash, token_counts, toxicity
+from duolex.llm import bpe, ctw, decontaminate, licenses, neardup, pii, quality, sharding, simhash, token_counts, toxicity
 
 from .helpers import TEXTS, messy
 
@@ -45,7 +45,7 @@ def test_empty_tables(spark):
         assert df.collect() == [], name
     assert decontaminate.links(messy(spark).limit(0), items(spark)).collect() == []
     assert decontaminate.links(messy(spark), items(spark).limit(0)).collect() == []
-    assert simhash.deduplicate(messy(spark).limit(0)).collect() == []
+    assert neardup.deduplicate(messy(spark).limit(0)).collect() == []
 
 
 def test_no_labels(spark):
@@ -58,9 +58,9 @@ def test_no_labels(spark):
 
 def test_columns_stay(spark):
     docs = messy(spark)
-    for df in (simhash.deduplicate(docs), decontaminate.clean(docs, items(spark)), quality.keep_good(docs, labels(spark, "quality")), pii.pseudonymize(docs, "k")):
+    for df in (neardup.deduplicate(docs), decontaminate.clean(docs, items(spark)), quality.keep_good(docs, labels(spark, "quality")), pii.pseudonymize(docs, "k")):
         assert df.columns == docs.columns
-    kept = simhash.deduplicate(docs).collect()
+    kept = neardup.deduplicate(docs).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 3, 6, 7, 8, 9, 10]  # 2 repeats 1; 4 and 5 have no words, like 3
     assert sum(r.doc_id is None for r in kept) == 1
     assert sorted(r.doc_id for r in decontaminate.clean(docs, items(spark)).collect() if r.doc_id) == list(range(3, 11))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from duolex.llm import decontaminate, quality, simhash
+from duolex.llm import decontaminate, neardup, quality
 
 from .helpers import plain
 
@@ -32,6 +32,6 @@ def test_rules(spark, key):
 def test_near_copies(spark, key):
     near = lambda t: " ".join([*t.split()[:-1], "end"])
     rows = [(1, CLEAN[0]), (key, near(CLEAN[0])), (key, CLEAN[1]), (9, CLEAN[2]), (key, near(CLEAN[2]))]
-    got = {(r.doc_id, r.text) for r in simhash.deduplicate(plain(spark, rows)).collect()}
+    got = {(r.doc_id, r.text) for r in neardup.deduplicate(plain(spark, rows)).collect()}
     third = (9, CLEAN[2]) if key is None else (5, near(CLEAN[2]))
     assert got == {(1, CLEAN[0]), (key, CLEAN[1]), third}

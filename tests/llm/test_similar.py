@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from duolex.llm import simhash
+from duolex.llm import neardup
 
 from .helpers import plain
 
@@ -54,7 +54,7 @@ def test_no_pair_is_missed(spark):
         texts += [" ".join(base), edited(rnd, base, max(1, len(base) * rnd.choice((14, 18, 20, 22, 24)) // 1000))]
     want = stays(texts)
     assert 300 < len(want) < 600
-    assert sorted(r.doc_id for r in simhash.deduplicate(plain(spark, list(enumerate(texts)))).collect()) == want
+    assert sorted(r.doc_id for r in neardup.deduplicate(plain(spark, list(enumerate(texts)))).collect()) == want
 
 
 def test_large_family_around_the_limit(spark):
@@ -64,4 +64,4 @@ def test_large_family_around_the_limit(spark):
     texts = [edited(rnd, base, rnd.choice((2, 3, 3, 4))) for _ in range(400)]
     want = stays(texts)
     assert 1 < len(want) < 300
-    assert sorted(r.doc_id for r in simhash.deduplicate(plain(spark, list(enumerate(texts)))).collect()) == want
+    assert sorted(r.doc_id for r in neardup.deduplicate(plain(spark, list(enumerate(texts)))).collect()) == want
