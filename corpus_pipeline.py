@@ -2,7 +2,7 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that the stage before it kept.
 All but the last return the columns of `documents`. `run` applies them, writing each result as Parquet to the cluster's
-shared folder and reading it again.
+shared folder and reading it again; a stage's input is removed once its result is written.
 """
 
 from __future__ import annotations
@@ -12,35 +12,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duolex.llm import bpe, decontaminate, pii, quality, simhash
+from duolex.llm import bpe, decontaminate, neardup, pii, quality
 from duolex.llm.common import shared_folder, table
-
-#: Key of the pseudonyms; a deployment sets its own in the session.
-KEY_SETTING, TEST_KEY = "duolex.pii.key", "a key for tests"
+from duolex.session import remove
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base nor the learned decision list rejects."""
+    """Documents that neither the base nor the learned decision list rejects, each row judged by its own text.
+
+    Null and blank texts go; rows that repeat are judged alike; without labels only the base rejects; an empty table stays empty.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies (five-word shingles, similarity 0.8), the one of the smallest doc_id."""
-    return simhash.deduplicate(docs, words=5, similarity=0.8)
+    """One document of each group of exact and near copies (five-word shingles, similarity 0.8), the one of the smallest doc_id.
+
+    SimHash links and an exact rest, see `duolex.llm.neardup`, which also says what becomes of nulls, blanks and repeated rows.
+    """
+    return neardup.deduplicate(docs, words=5, similarity=0.8)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy, edited or not, of a benchmark item."""
+    """Documents that hold no copy, edited or not, of a benchmark item. Null and blank texts, which hold none, stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal numbers, dates, addresses and secrets replaced by pseudonyms; n_chars follows the text."""
-    return pii.pseudonymize(docs, spark.conf.get(KEY_SETTING, TEST_KEY)).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("bigint")))
+    """All documents, with personal numbers, dates, addresses and secrets replaced by pseudonyms; n_chars follows the text.
+
+    The key is that of the setting `duolex.pii.key`, or a random one for the session. Null texts and null n_chars stay null.
+    """
+    return pii.pseudonymize(docs, pii.session_key(spark)).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("bigint")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, text, ids, n_tokens and decoded text of every document."""
+    """All columns of documents, and ids, n_tokens and decoded text of every document, in place of columns of these names.
+
+    Null and blank texts have no ids; rows that repeat are encoded each.
+    """
     got = bpe.encode(docs, bpe.vocabulary(), decoded="decoded")
     return got.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
@@ -56,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
     return docs
