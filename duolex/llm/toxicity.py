@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, table
+from .common import crc_fold, cut, few, table, tidied
 
 # Common insults and threats, lower-case, by kind.
 LEXICONS = {
@@ -34,9 +34,9 @@ OBSCURED = re.compile(r"[^\W\d_]+[013457@$!*]+[^\W\d_]+")
 WORD = re.compile(r"[^\W\d_]+")
 VOTERS = (*LEXICONS, "induced_several", "induced_three", "two_kinds", "you_are", "obscured", "shouting", "nothing", "long_nothing")
 COUNTS = ("n_listed", "n_distinct_listed", "n_induced", "n_distinct_induced", "listed_share", "induced_share", "evidence")
-#: Labelled rows that the induced lexicon and the classifier are fitted on, at most; chosen by a hash of the id.
+#: Labelled rows that the classifier is fitted on, at most; chosen by a hash of the id.
 SAMPLE = 20_000
-#: An induced word or stem occurs in this share of the distinct toxic texts of the sample, and this many times as often as in clean ones.
+#: An induced word or stem occurs in this share of the distinct toxic texts, and this many times as often as in clean ones.
 INDUCED_SHARE, INDUCED_LIFT, STEMS = 0.01, 30.0, (4, 5, 6, 7)
 
 
@@ -74,25 +74,35 @@ def features(docs: DataFrame, induced: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<float>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, x array<float>")
 
 
-def induce(sampled: DataFrame) -> dict[str, float]:
-    """Words, and stems (a beginning of STEMS letters, written with a star), of sampled (text, toxic) that mark toxic texts.
+def induce(docs: DataFrame, known: DataFrame) -> dict[str, float]:
+    """Words, and stems (a beginning of STEMS letters, written with a star), that mark toxic texts among all labelled rows.
 
-    The value is the log of how many times as often they occur in toxic texts as in others. Equal texts count once.
+    docs (doc_id, text), known (doc_id, toxic). The value is the log of how many times as often a unit occurs in toxic texts
+    as in others. Equal texts count once. Texts stay where they are: units of toxic texts are counted first, and in the other
+    texts only those that enough toxic ones have.
     """
-    texts = sampled.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))
-    stems = [F.transform(words, _stem(k)) for k in STEMS]
-    units = texts.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("w")).filter("w is not null")
-    n = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    if not n[0] or not n[1]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    labelled = docs.select("doc_id", text.alias("text")).join(few(known), "doc_id")
+    same = labelled.select("doc_id", F.xxhash64("text").alias("h"), "toxic").groupBy("h", "doc_id").agg(F.count("*").alias("n"), F.max("toxic").alias("toxic"))
+    one = same.groupBy("h").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("r"), F.max("toxic").alias("toxic"))
+    one = cut(one.select("h", "r.doc_id", (1 / F.col("r.n")).alias("part"), "toxic"))
+    total = one.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    if not total[0] or not total[1]:
         return {}
-    count = units.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("q"))
-    lift = (F.col("p") / n[0]) / ((F.col("q") + 0.5) / (n[1] + 1))
-    good = count.filter((F.col("p") >= max(5, INDUCED_SHARE * n[0])) & (F.length("w") > 2) & (lift >= INDUCED_LIFT))
-    return {r[0]: float(r[1]) for r in good.select("w", F.log(lift)).collect()}
+
+    def units(toxic: int) -> DataFrame:
+        own = docs.select("doc_id", text.alias("text")).join(few(one.filter(F.col("toxic") == toxic).select("doc_id", "h", "part")), "doc_id").filter(F.xxhash64("text") == F.col("h"))
+        words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))
+        return own.select("part", F.explode(F.array_distinct(F.concat(words, *[F.transform(words, _stem(k)) for k in STEMS]))).alias("w")).filter("w is not null and length(w) > 2")
+
+    often = cut(units(1).groupBy("w").agg(F.round(F.sum("part"), 6).alias("p")).filter(F.col("p") >= max(5, INDUCED_SHARE * total[0])))
+    clean = units(0).join(few(often.select("w")), "w", "left_semi").groupBy("w").agg(F.round(F.sum("part"), 6).alias("q"))
+    count = often.join(clean, "w", "left").na.fill(0.0, ["q"])
+    lift = (F.col("p") / total[0]) / ((F.col("q") + 0.5) / (total[1] + 1))
+    return {r[0]: float(r[1]) for r in count.filter(lift >= INDUCED_LIFT).select("w", F.log(lift)).collect()}
 
 
 def _stem(k: int):  # noqa: ANN202
@@ -162,7 +172,7 @@ def score(docs: DataFrame, labels: DataFrame, train, sample: int = SAMPLE) -> Da
     known = labels.filter("toxic in (0, 1)").filter(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # at most `sample` rows, whatever the input
     some = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    induced = induce(cut(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")))
+    induced = induce(docs, known)
     made = cut(features(docs, induced))
     nv = len(VOTERS)
     learned = made.filter(train).join(known, "doc_id", "left")
