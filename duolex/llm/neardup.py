@@ -11,7 +11,7 @@ Two sources of candidates, each verified on the shingles themselves:
 
 Before a pair is verified, sizes and parities of both sets (three bits or more for each shingle) rule out nearly all that aren't
 similar. In a long run, as large families of copies make, rows propose their nearest partners first; most of a family is then
-one component, and what is left to look at is little. No run gives all its pairs.
+one component, and what is left to look at is little. Only runs of up to SMALL sets give all pairs that sizes allow.
 Verification works the shingles out again from packed texts, which are smaller than the hashes of their shingles, and only of
 texts that have a candidate left.
 """
