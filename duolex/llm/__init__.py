@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "ctw", "sharding", "pii", "simhash", "decontaminate", "quality", "bpe", "token_counts", "toxicity")
+MODULES = ("licenses", "ctw", "sharding", "pii", "simhash", "decontaminate", "quality", "bpe", "token_counts", "toxicity", "periods", "piece_bpe", "infill")
 
 
 def registered(what: str) -> dict:
