@@ -108,7 +108,9 @@ def weights(rows: DataFrame, by: str) -> DataFrame:
 
 
 def with_weights(rows: DataFrame, by: str) -> DataFrame:
-    return rows.join(weights(rows, by).select(by, "weight"), by)
+    """rows with the weight of their group; rows without a group are one group."""
+    w = weights(rows, by).select(F.col(by).alias("_g"), "weight")
+    return rows.join(w, rows[by].eqNullSafe(w["_g"])).drop("_g")
 
 
 def quotes(pairs: DataFrame, source: str, id_: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import audio_format
 from ..functions.text import base_name, sha1_path
+from ..session import cut, remove
 
 
 def reconcile(stored: DataFrame, incoming: DataFrame, source, key: str = "id", by: str = "source") -> DataFrame:  # noqa: ANN001
@@ -23,9 +24,17 @@ def replaced(stored: DataFrame, incoming: DataFrame, source, by: str = "source")
     return stored.filter(F.col(by) != source).unionByName(ok)
 
 
-def save_source(incoming: DataFrame, path: str, by: str = "source") -> None:
-    """Overwrites just the partitions of the sources that come in; one commit."""
-    incoming.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def save_source(incoming: DataFrame, path: str, source, by: str = "source") -> None:  # noqa: ANN001
+    """The rows of one source in a plain folder laid out by source become the incoming ones; none empties it.
+
+    One task commit for the source's folder, no more: `operators.versions` has transactions, with keys checked as well.
+    """
+    spark = incoming.sparkSession
+    own = incoming.withColumn("_e", F.assert_true(F.coalesce(F.col(by) == source, F.lit(False)), "a row of another source")).filter(F.col("_e").isNull()).drop("_e")
+    if (own := cut(own)).isEmpty():  # nothing comes in, so no partition would be overwritten
+        remove(spark, f"{path}/{by}={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(source))}")
+    else:
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def export_quotes(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import search_queries, table_queries  # noqa: F401
+from . import language_queries, search_queries, table_queries  # noqa: F401
 from .functions import ids, spans
 from .functions import text as T
 from .operators import corpus, rules, store

@@ -23,9 +23,25 @@ def pick_files(listing: DataFrame, include: list[str], path: str = "path") -> Da
     return listing.filter(yes & ~no)
 
 
+def relative_file(spark: SparkSession, path: str) -> Column:
+    """The path of a read file below the folder that was asked for (up to the first wildcard); a single file's own name."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(re.split(r"[*?\[{]", path)[0])
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = store.makeQualified(at).toUri().getPath()
+    if re.search(r"[*?\[{]", path):
+        root = root if re.split(r"[*?\[{]", path)[0].endswith("/") else root.rpartition("/")[0]
+    elif store.exists(at) and store.getFileStatus(at).isFile():
+        root = root.rpartition("/")[0]
+    whole = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:(//[^/]*)?", "")
+    return F.substring(whole, F.lit(len(root.rstrip("/")) + 2), F.length(whole))
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files in order: file, line_ordinal, line. A file is read whole, so its order doesn't depend on splits."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
+    """Lines of text files in order: file (below the folder, so files of one name stay apart), line_ordinal, line.
+
+    A file is read whole, so its order doesn't depend on splits.
+    """
+    whole = spark.read.text(path, wholetext=True).withColumn("file", relative_file(spark, path))
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_ordinal", "line"))
 
 

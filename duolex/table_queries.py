@@ -241,13 +241,14 @@ def fl_audio_exists(spark, sf_dir):  # noqa: ANN001, ANN201
     return s.join(got, s.s_name == got.path).select("s_suppkey", "found")
 
 
-@query("SELECT o_orderkey AS id, 'F' AS source FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+@query("SELECT o_orderkey AS id, 'F' AS source FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
 def sk_save_source(spark, sf_dir):  # noqa: ANN001, ANN201
-    """A stored table by source, of which one source is written anew."""
+    """A stored table by source, of which one source is written anew and one comes without rows."""
     path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), "o_orderpriority")
     o.drop("o_orderpriority").write.partitionBy("source").parquet(path)
-    store.save_source(o.filter("source = 'F' and o_orderpriority <> '5-LOW'").drop("o_orderpriority"), path)
+    store.save_source(o.filter("source = 'F' and o_orderpriority <> '5-LOW'").drop("o_orderpriority"), path, "F")
+    store.save_source(o.limit(0).drop("o_orderpriority"), path, "P")
     return spark.read.parquet(path).select("id", "source")
 
 

@@ -199,18 +199,22 @@ def test_ids(spark):
 @pytest.mark.parametrize("c,en", [
     ("7th anniversary 2020", "7th Anniversary"), ("Docking (Minor)", "Docking (Minor Damage)"), ("Supply 3", "Supply"), ("returning from sortie/NightBattle", "Returning From Sortie / Night Battle"),
     ("Spring Mini-Event 2018", "Spring 2018"), ("Special", "Special Attack"), ("Yura Special Attack", "Special Attack"), ("Idle", "Secretary Idle"), ("Intro", "Introduction"), ("Supply (Kai 2)", "Supply (Kai 2)"),
+    ("Minor Damage2", "Minor Damage"),
 ])
-def test_context(c, en):
+def test_context(spark, c, en):
     """Spellings by the rules; a translation puts the table's tokens in place of the English ones."""
-    assert context.normalize(c, "Yura") == en
-    got = context.translate(c, "Yura")[1]
+    d = spark.createDataFrame([(c, "Yura")], "c string, n string")
+    got = d.select(context.translated(F.col("c"), F.col("n")).alias("t")).first().t
+    assert got.english == en
     for token in sorted(context.TRANSLATIONS, key=len, reverse=True):
         en = en.replace(token, context.TRANSLATIONS[token])
-    assert got.replace(" ", "") == en.replace(" ", "")
+    assert got.japanese.replace(" ", "") == en.replace(" ", "")
 
 
-def test_unknown_context():
-    assert context.translate("Nothing of that kind / Supply") == ("Nothing of That Kind / Supply",) * 2
+def test_unknown_context(spark):
+    d = spark.createDataFrame([("Nothing of that kind / Supply", None), (None, None)], "c string, n string")
+    got = [tuple(r.t) for r in d.select(context.translated(F.col("c"), F.col("n")).alias("t")).collect()]
+    assert got == [("Nothing of That Kind / Supply",) * 2, (None, None)]
 
 
 def test_scn_errors(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from duolex.operators import corpus, rules, store
+from duolex.operators import corpus, rules, store, versions
 from duolex.plans import align
 from duolex.plans.index import MARKER, build_index, read_index
 from duolex.plans.search import search
@@ -74,9 +74,55 @@ def test_audio_import(spark):
 
 def test_save_source(spark, tmp_path):
     p = str(tmp_path / "store")
-    spark.createDataFrame([(1, "A"), (2, "B")], "id int, source string").write.partitionBy("source").parquet(p)
-    store.save_source(spark.createDataFrame([(3, "A")], "id int, source string"), p)
-    assert sorted(r.id for r in spark.read.parquet(p).collect()) == [2, 3]
+    spark.createDataFrame([(1, "A"), (2, "B"), (4, "C/d")], "id int, source string").write.partitionBy("source").parquet(p)
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, source string")
+    store.save_source(rows((3, "A")), p, "A")
+    assert sorted(r.id for r in spark.read.parquet(p).collect()) == [2, 3, 4]
+    with pytest.raises(Exception, match="another source"):
+        store.save_source(rows((5, "B"), (6, "A")), p, "B")
+    store.save_source(rows(), p, "A")
+    store.save_source(rows(), p, "C/d")
+    assert sorted(r.id for r in spark.read.parquet(p).collect()) == [2]
+
+
+def test_versions(spark, tmp_path):
+    p = str(tmp_path / "versions")
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, source string, text string")
+    ids = lambda n=None: sorted((r.id, r.text) for r in versions.read(spark, p, n).collect())
+    assert versions.create(rows((1, "A", "a"), (2, "A", "b"), (3, "B", "c")), p) == 1
+    assert versions.replace_source(rows((2, "A", "new"), (4, "A", "d")), p, "A") == 2
+    assert ids() == [(2, "new"), (3, "c"), (4, "d")] and ids(1) == [(1, "a"), (2, "b"), (3, "c")]
+    assert versions.replace_source(rows(), p, "A") == 3  # a source that comes without rows leaves none
+    assert ids() == [(3, "c")]
+    before = sorted(x.name for x in (tmp_path / "versions" / "data").iterdir())
+    for bad, why in ((rows((5, "B", "x"), (6, "A", "y")), "another source"), (rows((5, "B", "x"), (5, "B", "y")), "twice"), (rows((None, "B", "x")), "without a key"), (rows((5, None, "x")), "another source")):
+        with pytest.raises(Exception, match=why):
+            versions.replace_source(bad, p, "B")
+        assert versions.version(spark, p) == 3 and ids() == [(3, "c")]  # a failed write leaves the table as it was
+    assert sorted(x.name for x in (tmp_path / "versions" / "data").iterdir()) == before
+    with pytest.raises(versions.Conflict):  # somebody else wrote since version 2
+        versions.replace_source(rows((9, "B", "z")), p, "B", expected=2)
+    assert ids() == [(3, "c")]
+    assert versions.compact(spark, p) == 4 and ids() == [(3, "c")]
+    assert versions.replace_source(rows((7, "C", "e")), p, "C", expected=4) == 5
+    assert versions.vacuum(spark, p) and ids() == [(3, "c"), (7, "e")]
+    with pytest.raises(versions.Conflict):
+        versions.create(rows(), p)
+
+
+def test_files_of_one_name(spark, tmp_path):
+    for folder, text in (("x 1", "a\nb"), ("y", "c\nd")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s.ks").write_text(text)
+    got = sorted((r.file, r.line_ordinal, r.line) for r in readers.text_lines(spark, f"{tmp_path}/*/*.ks").collect())
+    assert got == [("x 1/s.ks", 0, "a"), ("x 1/s.ks", 1, "b"), ("y/s.ks", 0, "c"), ("y/s.ks", 1, "d")]
+    assert {r.file for r in readers.text_lines(spark, str(tmp_path / "y")).collect()} == {"s.ks"}
+    assert {r.file for r in readers.text_lines(spark, str(tmp_path / "y" / "s.ks")).collect()} == {"s.ks"}
+
+
+def test_weights_of_a_null_group(spark):
+    d = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id int, g string")
+    assert {r.id: r.weight for r in corpus.with_weights(d, "g").collect()} == {1: 1.5, 2: 0.75, 3: 0.75}
 
 
 def quotes(spark):
