@@ -262,7 +262,11 @@ def register(name: str, analyzer: Callable[[str], list[Token]]) -> None:
 
 def analyzed(text: Column, name: str) -> Column:
     """array<struct<term, pos, start, end>> of a text; null has no tokens."""
-    run = ANALYZERS[name]
+    return tokens_by(text, ANALYZERS[name])
+
+
+def tokens_by(text: Column, run: Callable[[str], list[Token]]) -> Column:
+    """The same by an analyzer that has no name."""
 
     @F.pandas_udf(TOKENS)
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .functions import context
 from .operators import corpus, versions
+from .plans import lexicon, segment
 from .registry import query
-from .session import shared_folder, table
+from .session import cut, shared_folder, table
 from .sources import readers
 
 # --- store -----------------------------------------------------------------------------------------------------------------
@@ -67,3 +68,48 @@ def sf_titled(spark, sf_dir):  # noqa: ANN001, ANN201
     """Contexts with words run together, put apart and in title case."""
     c = F.concat(F.replace(F.lower("p_name"), F.lit("blue"), F.lit("blueOf")), "p_size", F.lit("X of THE "), "p_type", F.lit(" (a"), "p_partkey", F.lit(")"))
     return table(spark, sf_dir, "part").select("p_partkey", context.titled(c).alias("title"))
+
+
+# --- models learned from the corpus ------------------------------------------------------------------------------------------
+
+#: A Japanese letter for each Latin one, of three scripts. Texts lose their spaces, so that words have to be found.
+_LATIN, _KANA = "abcdefghijklmnopqrstuvwxyz", "あカ祥てえフ鳳はいジ瑞らまなおパク鏡すとうヴわキやザ"
+
+
+def japanese_texts(spark, sf_dir):  # noqa: ANN001, ANN201
+    """(id, ja): whole conversations in Japanese letters, without the spaces between words."""
+    ja = F.translate(F.lower(F.coalesce("text", F.lit(""))), f"{_LATIN} ", _KANA)
+    return table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), ja.alias("ja"))
+
+
+@query()
+def ft_ja_tokens(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Words of all texts in Japanese letters, by a model trained on them: number, distinct, longest, and whether spans ascend."""
+    docs = japanese_texts(spark, sf_dir)
+    model = segment.train(docs, "ja", longest=5, rounds=2)
+    t = segment.words_of(F.col("ja"), model)
+    rows = docs.select("id", t.alias("t"), "ja")
+    ascending = F.aggregate("t", F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")), lambda a, x: F.struct(x["end"].alias("at"), (a["ok"] & (x["start"] >= a["at"]) & (x["end"] > x["start"])).alias("ok")))["ok"]
+    same = F.forall("t", lambda x: x["term"] == F.substring(F.col("ja"), x["start"] + 1, x["end"] - x["start"]))
+    terms = F.transform("t", lambda x: x["term"])
+    return rows.select("id", F.size("t").alias("words"), F.size(F.array_distinct(terms)).alias("distinct_words"), F.coalesce(F.array_max(F.transform(terms, F.length)), F.lit(0)).alias("longest"), (ascending & same).alias("good"))
+
+
+@query()
+def al_trained(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Sentences of benchmark items aligned with their words in Japanese letters, in reverse order, by a lexicon trained on them.
+
+    right: alignments that take a word to its own translation, words: those to be aligned.
+    """
+    pieces = F.filter(F.split("text", r"[^A-Za-z ]+"), lambda x: F.trim(x) != "")
+    s = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(pieces).alias("n", "en"))
+    words = F.filter(F.split(F.lower("en"), " +"), lambda w: w != "")
+    hira = F.transform(F.reverse(words), lambda w: F.translate(w, _LATIN, "あかさたなはまやらわいきしちにひみりうくすつぬふむゆ"))
+    pairs = cut(s.select(F.concat_ws("-", "item_id", "n").alias("id"), "en", F.array_join(hira, "・").alias("ja"), F.size(words).alias("words")))
+    got = lexicon.aligned(pairs.select("id", "en", "ja"), simplify=False)
+    both = pairs.join(got, "id")
+    en = lambda a: F.lower(F.substring(F.col("en"), a["from_start"] + 1, a["from_end"] - a["from_start"]))
+    ja = lambda a: F.substring(F.col("ja"), a["to_start"] + 1, a["to_end"] - a["to_start"])
+    own = F.filter("alignment_data", lambda a: F.translate(en(a), _LATIN, "あかさたなはまやらわいきしちにひみりうくすつぬふむゆ") == ja(a))
+    covered = F.size(F.array_distinct(F.transform(own, lambda a: a["from_start"])))
+    return both.select("id", "words", F.size("alignment_data").alias("alignments"), F.size(own).alias("right"), covered.alias("words_right"))

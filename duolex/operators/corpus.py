@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,21 +115,29 @@ def with_weights(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(w, rows[by].eqNullSafe(w["_g"])).drop("_g")
 
 
-def quotes(pairs: DataFrame, source: str, id_: Column) -> DataFrame:
-    """The fact table from numbered, formatted pairs with alignment_data."""
+def script_runs(text: Column) -> Column:
+    """Number of runs of one script: the count of Japanese words where no trained model is at hand."""
+    return F.regexp_count(text, F.lit(r"[一-龠]+|[ぁ-ゔ]+|[ァ-ヴー]+|[\p{L}\p{N}]+"))
+
+
+def quotes(pairs: DataFrame, source: str, id_: Column, japanese_words: Callable[[Column], Column] = script_runs) -> DataFrame:
+    """The fact table from numbered, formatted pairs with alignment_data. japanese_words counts the words of a Japanese text."""
     side = lambda s, text, words: F.struct(F.coalesce(f"{s}.speaker", F.lit("")).alias("speaker_name"), F.coalesce(f"{s}.context", F.lit("")).alias("context"), F.col(text).alias("text"), words.cast("int").alias("word_count"), F.coalesce(f"{s}.notes", F.lit("")).alias("notes"), F.col(f"{s}.audio_path").alias("audio_file"))
     return pairs.select(
         id_.alias("id"),
         F.lit(source).alias("source"),
         side("en", "en_text", T.word_count(F.col("en_text"))).alias("english"),
-        side("ja", "ja_text", F.size(F.expr("regexp_extract_all(ja_text, '[一-龠]+|[ぁ-ゔ]+|[ァ-ヴー]+|[\\\\p{L}\\\\p{N}]+', 0)"))).alias("japanese"),
+        side("ja", "ja_text", japanese_words(F.col("ja_text"))).alias("japanese"),
         "alignment_data",
         F.current_timestamp().alias("date_imported"),
     )
 
 
-def import_corpus(lines: DataFrame, source: str, source_id: int, align=None) -> DataFrame:  # noqa: ANN001
-    """The whole import, lazy but for the numbering, which keeps its rows once: distinct, pair, check, validate, number, format, deduplicate, align, build."""
+def import_corpus(lines: DataFrame, source: str, source_id: int, align=None, japanese_words=None) -> DataFrame:  # noqa: ANN001
+    """The whole import, lazy but for the numbering, which keeps its rows once: distinct, pair, check, validate, number, format, deduplicate, align, build.
+
+    align adds alignment_data; japanese_words(pairs) gives a counter of Japanese words, such as one trained on the import's texts.
+    """
     from ..functions.ids import pack_index
     from ..functions.spans import ALIGNMENTS
 
@@ -135,4 +145,4 @@ def import_corpus(lines: DataFrame, source: str, source_id: int, align=None) ->
     flat = formatted(numbered(good)).withColumns({"speaker": F.col("en.speaker"), "weight": F.coalesce("en.weight", F.lit(0))})
     one = deduplicated(flat)
     aligned = align(one) if align else one.withColumn("alignment_data", F.array().cast(ALIGNMENTS))
-    return quotes(aligned, source, pack_index(F.lit(source_id), F.col("index")))
+    return quotes(aligned, source, pack_index(F.lit(source_id), F.col("index")), japanese_words(one) if japanese_words else script_runs)

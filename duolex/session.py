@@ -51,6 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions(df: DataFrame, each: int = 20_000) -> int:
+    """Partitions for work that is heavy for each row of a counted table: the session's number, more for many rows.
+
+    A number that is asked for is kept, where adaptive execution would put small rows together in one task.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // each))
+
+
 def memo(most: int = 100_000):  # noqa: ANN201
     """Results kept by arguments, up to a number. Unlike the library's cache it travels to executors by value."""
 
