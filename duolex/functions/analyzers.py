@@ -6,6 +6,7 @@ script runs and a small table of endings: there is no dictionary to look words u
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
@@ -93,6 +94,10 @@ VOWELS = type("Vowels", (dict,), {"__missing__": lambda self, c: "v" if chr(c) i
 CJK = "|".join((_class(HIRAGANA), _class(KATAKANA), _class(HAN), "ー"))
 
 
+#: What the pattern of words below is for ASCII.
+ASCII_WORDS = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_]|['.:](?=[A-Za-z])|[.,](?=[0-9]))*")
+
+
 @memo(1)
 def _word_patterns():  # noqa: ANN202
     re = _regex()
@@ -108,6 +113,8 @@ def default_tokens(text: str, strict_compat: bool = False) -> list[Token]:
     """NFKC, words, folding, katakana as hiragana, fleet names in parts, CJK letters as overlapping pairs (alone: as they are)."""
     clean, at = normalized(text)
     every, words = _word_patterns()
+    if clean.isascii():
+        return [(part, i, m.start(), m.end()) for i, m in enumerate(ASCII_WORDS.finditer(clean)) for part in _parts(m[0], strict_compat)]
     if not every.search(clean):
         return [(part, i, at[m.start()], at[m.end()]) for i, m in enumerate(words.finditer(clean)) for part in _parts(m[0], strict_compat)]
     out: list[Token] = []
@@ -228,6 +235,10 @@ def english_conjugation_tokens(text: str) -> list[Token]:
     return [(t, pos, start, end) for term, pos, start, end in default_tokens(text) if (t := _stemmed(term)) is not None]
 
 
+#: Analyzers that only put another term, or none, in place of each term of another analyzer.
+DERIVED: dict[str, tuple[str, Callable[[str], str | None]]] = {"english_conjugations": ("default", _stemmed)}
+
+
 def japanese_conjugation_tokens(text: str) -> list[Token]:
     """Base forms of runs of two letters or more, in hiragana where written in katakana. Approximate."""
     re = _regex()
@@ -258,6 +269,7 @@ ANALYZERS: dict[str, Callable[[str], list[Token]]] = {
 def register(name: str, analyzer: Callable[[str], list[Token]]) -> None:
     """Use another analyzer under a name, such as one with a dictionary."""
     ANALYZERS[name] = analyzer
+    DERIVED.pop(name, None)
 
 
 def analyzed(text: Column, name: str) -> Column:

@@ -106,7 +106,7 @@ def al_trained(spark, sf_dir):  # noqa: ANN001, ANN201
     words = F.filter(F.split(F.lower("en"), " +"), lambda w: w != "")
     hira = F.transform(F.reverse(words), lambda w: F.translate(w, _LATIN, "あかさたなはまやらわいきしちにひみりうくすつぬふむゆ"))
     pairs = cut(s.select(F.concat_ws("-", "item_id", "n").alias("id"), "en", F.array_join(hira, "・").alias("ja"), F.size(words).alias("words")))
-    got = lexicon.aligned(pairs.select("id", "en", "ja"), simplify=False)
+    got = lexicon.aligned(pairs.select("id", "en", "ja"), simplify=False, simple=3, jumping=2)
     both = pairs.join(got, "id")
     en = lambda a: F.lower(F.substring(F.col("en"), a["from_start"] + 1, a["from_end"] - a["from_start"]))
     ja = lambda a: F.substring(F.col("ja"), a["to_start"] + 1, a["to_end"] - a["to_start"])

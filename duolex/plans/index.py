@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.corpus import with_weights
-from ..session import cut, shared_folder
+from ..session import partitions as session_partitions
+from ..session import remove, shared_folder
 
 #: Fields of the index: (name, language, analyzer).
 FIELDS = (
@@ -42,40 +43,52 @@ def guard_marker(quotes: DataFrame, marker: str = MARKER) -> Column:
 def postings_of(docs: DataFrame, fields=FIELDS) -> DataFrame:
     """docs (id, english.text, japanese.text) to a row for each field, term and document, with tf and positions.
 
-    A document's tokens are grouped where they are made, so nothing is shuffled. A row without a term stands for each document
-    that has a token in a field, with their number as tf: counting these rows sizes the field.
+    A text is tokenized once for all fields that go by the same tokens; fields that put other terms in their place look each
+    distinct term of a batch up once. A document's tokens are grouped where they are made, so nothing is shuffled. A row
+    without a term stands for each document that has a token in a field, with their number as tf: counting these rows sizes
+    the field.
     """
-    from ..functions.analyzers import ANALYZERS
+    from ..functions.analyzers import ANALYZERS, DERIVED
 
     languages = list(dict.fromkeys(language for _, language, _ in fields))
-    runs = [(field, languages.index(language), ANALYZERS[analyzer]) for field, language, analyzer in fields]
+    plan: dict = {}  # (language, analyzer) to the fields that go by its tokens, each with what it puts in a term's place
+    for name, language, analyzer in fields:
+        base, change = DERIVED.get(analyzer, (analyzer, None))
+        plan.setdefault((languages.index(language), base), []).append((name, change))
+    runs = [(i, ANALYZERS[base], goes) for (i, base), goes in plan.items()]
     place = pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
-    def grouped(field: str, ids: pa.Array, texts: list[str], analyzer) -> pa.RecordBatch:  # noqa: ANN001
-        tokens = [analyzer(t) if t else [] for t in texts]
-        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        of, flat = np.repeat(np.arange(len(tokens)), n), [t for doc in tokens for t in doc]
-        words = pa.array([t[0] for t in flat], pa.string()).dictionary_encode()
-        spots = np.array([t[1:] for t in flat], np.int32).reshape(-1, 3)
-        code = words.indices.to_numpy(zero_copy_only=False)
+    def grouped(field: str, ids: pa.Array, docs_: int, of: np.ndarray, code: np.ndarray, spots: np.ndarray, dictionary: pa.Array) -> pa.RecordBatch:
         order = np.lexsort((code, of))
         of, code, spots = of[order], code[order], spots[order]
         first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
-        ends = np.append(first, len(of))
+        ends, n = np.append(first, len(of)), np.bincount(of, minlength=docs_)
         some = np.flatnonzero(n)
-        terms = pa.concat_arrays([words.dictionary.take(pa.array(code[first])), pa.nulls(len(some), pa.string())])
-        at = pa.StructArray.from_arrays([pa.array(spots[:, i]) for i in range(3)], fields=list(place))
+        terms = pa.concat_arrays([dictionary.take(pa.array(code[first])), pa.nulls(len(some), pa.string())])
+        at = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(spots[:, i])) for i in range(3)], fields=list(place))
+        tf = np.concatenate((np.diff(ends), n[some]))
         ends = np.concatenate((ends, np.full(len(some), len(of)))).astype(np.int32)
-        tf = np.concatenate((np.diff(np.append(first, len(of))), n[some]))
         return pa.RecordBatch.from_arrays([pa.array([field] * len(terms)), terms, ids.take(pa.array(np.concatenate((of[first], some)))), pa.array(tf), pa.ListArray.from_arrays(pa.array(ends), at)], names=["field", "term", "id", "tf", "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                texts = [b.column(i + 1).to_pylist() for i in range(len(languages))]
-                for field, i, analyzer in runs:
-                    yield grouped(field, b.column(0), texts[i], analyzer)
+                texts = [b.column(k + 1).to_pylist() for k in range(len(languages))]
+                for language, analyzer, goes in runs:
+                    tokens = [analyzer(t) if t else [] for t in texts[language]]
+                    of = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens)))
+                    number: dict[str, int] = {}
+                    code = np.array([number.setdefault(t[0], len(number)) for doc in tokens for t in doc], np.int64)
+                    spots = np.array([t[1:] for doc in tokens for t in doc], np.int32).reshape(-1, 3)
+                    for field, change in goes:
+                        if change is None:
+                            yield grouped(field, b.column(0), len(tokens), of, code, spots, pa.array(list(number), pa.string()))
+                            continue
+                        others: dict[str, int] = {}
+                        to = np.array([-1 if (t := change(x)) is None else others.setdefault(t, len(others)) for x in number], np.int64)
+                        new = to[code] if len(code) else code
+                        yield grouped(field, b.column(0), len(tokens), of[new >= 0], new[new >= 0], spots[new >= 0], pa.array(list(others), pa.string()))
 
     kind = dict(docs.dtypes)["id"]
     return docs.select("id", *[F.col(f"{x}.text").alias(x) for x in languages]).mapInArrow(run, f"field string, term string, id {kind}, tf bigint, positions array<struct<pos:int,start:int,end:int>>")
@@ -91,13 +104,17 @@ def build_index(quotes: DataFrame, fields=FIELDS, path: str | None = None, parti
     path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     docs = with_weights(quotes, "source").withColumn("_ok", guard_marker(quotes)).filter(F.col("_ok").isNull()).drop("_ok")
     docs.write.mode("overwrite").parquet(f"{path}/docs")
-    made = cut(postings_of(spark.read.parquet(f"{path}/docs"), fields))
+    stored = spark.read.parquet(f"{path}/docs")
+    dealt = stored.select("id", "english.text", F.col("japanese.text").alias("ja")).select("id", F.struct("text").alias("english"), F.struct(F.col("ja").alias("text")).alias("japanese"))
+    postings_of(dealt.repartition(partitions or session_partitions(stored)), fields).write.mode("overwrite").parquet(f"{path}/made")
+    made = spark.read.parquet(f"{path}/made")  # written, so texts are tokenized once
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["field", "term", "id"]
     made.filter("term is not null").repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
     made.filter("term is null").groupBy("field").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
     postings = spark.read.schema(made.schema).parquet(f"{path}/postings")
     postings.groupBy("field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/stats")
+    remove(spark, f"{path}/made")
     return read_index(spark, path)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -166,8 +167,9 @@ def aligned(pairs: DataFrame, simplify: bool = True, en_tokens: Column | None =
     rows = cut(pairs.select("id", "en", "ja", en.alias("s"), ja.alias("t")))
     there = rows.select("id", terms(F.col("s")).alias("source"), terms(F.col("t")).alias("target"))
     back = rows.select("id", terms(F.col("t")).alias("source"), terms(F.col("s")).alias("target"))
-    one = linked(there, train(there, simple, jumping)).select("id", "i", "j")
-    two = linked(back, train(back, simple, jumping)).select("id", F.col("j").alias("i"), F.col("i").alias("j"))
+    with ThreadPoolExecutor(2) as both:  # the rounds of one direction fill the gaps of the other
+        one, two = both.map(lambda d: linked(d, train(d, simple, jumping)), (there, back))
+    one, two = one.select("id", "i", "j"), two.select("id", F.col("j").alias("i"), F.col("i").alias("j"))
     links = one.unionByName(two).groupBy("id").agg(F.collect_set(F.struct("i", "j")).alias("l"))
     place = lambda x: F.struct(F.col("s")[x["i"]]["start"].alias("from_start"), F.col("s")[x["i"]]["end"].alias("from_end"), F.col("t")[x["j"]]["start"].alias("to_start"), F.col("t")[x["j"]]["end"].alias("to_end"))
     got = rows.join(links, "id", "left").withColumn("a", F.coalesce(F.array_sort(F.transform("l", place)), F.array().cast(spans.ALIGNMENTS)))
