@@ -61,7 +61,7 @@ def tf_sql(tf: str) -> str:
     return f"({tf} / ({tf} + {search.K1}))"
 
 
-def bm25_sql(terms=TERMS, phrase=None, stem=None) -> str:  # noqa: ANN001
+def bm25_sql(terms=TERMS, phrase=None, stem=None, tokens: str = _TOKENS) -> str:  # noqa: ANN001
     """Rows r (doc_id, source, lang, score of the terms, got, p: score of the phrase, ptf, c: score of the stem, ctf)."""
     counts = [f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(terms)]
     dfs = [f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(len(terms))]
@@ -73,16 +73,16 @@ def bm25_sql(terms=TERMS, phrase=None, stem=None) -> str:  # noqa: ANN001
     got = " + ".join(f"(t{i} > 0)::INT" for i in range(len(terms)))
     both = " + ".join(idf_sql(f"d{terms.index(t)}") for t in phrase) if phrase else "0"
     return (
-        f"WITH tok AS ({_TOKENS}), k AS (SELECT doc_id, source, lang, len(w) AS len, {', '.join(counts)} FROM tok), "
+        f"WITH tok AS ({tokens}), k AS (SELECT doc_id, source, lang, len(w) AS len, {', '.join(counts)} FROM tok), "
         f"s AS (SELECT count(*) FILTER (len > 0) AS n, count(*) FILTER (rest > 0) AS cn, count(*) FILTER (ctf > 0) AS cd, {', '.join(dfs)} FROM k), "
         f"r AS (SELECT doc_id, source, lang, {score} AS score, {got} AS got, ({both}) * {tf_sql('ptf')} AS p, ptf, {idf_sql('cd', 'cn')} * {tf_sql('ctf')} AS c, ctf FROM k, s)"
     )
 
 
-def search_sql(terms: tuple[str, ...], mention: str | None = None, stem: str | None = None) -> str:
+def search_sql(terms: tuple[str, ...], mention: str | None = None, stem: str | None = None, tokens: str = _TOKENS) -> str:
     need = search.required(len(terms), search.SHARE)
     return (
-        bm25_sql(terms, terms, stem) + ", wt AS (SELECT source, sum(count(*)) OVER () / (count(*) * count(*) OVER ()) AS weight FROM documents GROUP BY source), "
+        bm25_sql(terms, terms, stem, tokens) + ", wt AS (SELECT source, sum(count(*)) OVER () / (count(*) * count(*) OVER ()) AS weight FROM tok GROUP BY source), "
         f"f AS (SELECT doc_id, CASE WHEN got >= {need} THEN score ELSE 0 END + CASE WHEN ptf > 0 THEN p ELSE 0 END + CASE WHEN ctf > 0 THEN c ELSE 0 END AS total, pow({_U}, 1 / weight) AS key "
         f"FROM r JOIN wt USING (source) WHERE (got >= {need} OR ptf > 0 OR ctf > 0)" + (f" AND lang = '{mention}'" if mention else "") + ") "
         f"SELECT doc_id, round(total, 6) AS score, round(key, 9) AS key FROM f ORDER BY round(total, 6) DESC, key DESC, doc_id LIMIT {search.PAGE}"
@@ -238,3 +238,85 @@ def ft_query_checks(spark, sf_dir):  # noqa: ANN001, ANN201
 
     q = rows.select(F.expr("repeat(s, cast(id % 8 as int))").alias("q"))
     return q.select(F.length("q").cast("bigint").alias("n"), verdict("q").alias("verdict")).groupBy("n", "verdict").agg(F.count("*").alias("queries"))
+
+
+# --- two languages -----------------------------------------------------------------------------------------------------
+
+#: Conversations and their texts in Japanese letters, in quotation marks; word k of one is word k of the other.
+_ABC = "abcdefghijklmnopqrstuvwxyzáàâäãåæçéèêëíìîïñóòôöõœßúùûüýÿ"
+_JAPANESE = "あカ祥てえフ鳳はいジ瑞らまなおパク鏡すとうヴわキやザかさたのふへほみむめもゆよりるれろんアイウエオサシスセソタチツ"[: len(_ABC)]
+BILINGUAL = tuple((f"{lang}.text{kind}", lang, analyzer) for lang, kind, analyzer in (("english", "", "default"), ("english", ".conjugations", "english_conjugations"), ("japanese", "", "default"), ("japanese", ".conjugations", "japanese_conjugations"), ("japanese", ".kanji", "kanji")))
+
+
+def bilingual_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index over all conversations in two languages, all five fields; built once in a session for a folder."""
+    at = spark.sparkContext.applicationId, f"{sf_dir} in two languages"
+    if at not in _INDEXES:
+        c = table(spark, sf_dir, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+        ja = F.concat(F.lit("「"), F.translate(F.lower("t"), _ABC, _JAPANESE), F.lit("」"))
+        side = lambda text: F.struct(F.col("role").alias("speaker_name"), F.lit("").alias("context"), text.alias("text"), F.lit(0).alias("word_count"), F.lit("").alias("notes"), F.lit(None).cast("string").alias("audio_file"))
+        words = analyzers.analyzed(F.col("t"), "english_words")
+        links = F.transform(words, lambda w: F.struct(w["start"].alias("from_start"), w["end"].alias("from_end"), (w["start"] + 1).alias("to_start"), (w["end"] + 1).alias("to_end")))
+        quotes = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("source"), side(F.col("t")).alias("english"), side(ja).alias("japanese"), links.alias("alignment_data"))
+        _INDEXES[at] = build_index(quotes, fields=BILINGUAL)
+    return _INDEXES[at]
+
+
+def fields_of(index: Index, *fields: str) -> Index:
+    return Index(index.docs, *[t.filter(F.col("field").isin(*fields)) for t in (index.postings, index.stats, index.sizes)])
+
+
+_CONV = f"SELECT conv_id * 100 + turn AS doc_id, role AS source, role AS lang, coalesce(text, '') AS en, '「' || translate(lower(coalesce(text, '')), '{_ABC}', '{_JAPANESE}') || '」' AS ja FROM conversations"
+_KATA_IN = "".join(dict.fromkeys(c for c in _JAPANESE if "ァ" <= c <= "ヶ"))
+_HIRA_OUT = "".join(chr(ord(c) - 96) for c in _KATA_IN)
+_PAIRS = f"SELECT doc_id, source, lang, list_transform(flatten(list_transform(regexp_extract_all(ja, '[{_HIRA}{_KATA}{_HAN}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)), lambda x: translate(x, '{_KATA_IN}', '{_HIRA_OUT}')) AS w FROM ({_CONV})"
+_KANJI = f"SELECT doc_id, source, lang, regexp_extract_all(ja, '[{_HAN}]') AS w FROM ({_CONV})"
+_ENGLISH = _TOKENS.replace("coalesce(text, '')", "en").replace("FROM documents", f"FROM ({_CONV})")
+#: Words and a part of a word in Japanese letters, and the letters that stand together in them, katakana as hiragana.
+JA_WORD, KANJI = "とはえなすい", "鏡"
+JA_PAIRS = tuple(JA_WORD.translate({ord(c): chr(ord(c) - 96) for c in _KATA_IN})[i : i + 2] for i in range(len(JA_WORD) - 1))
+
+
+@query(
+    "SELECT field, count(DISTINCT term) AS terms, count(*) AS postings, sum(tf)::BIGINT AS tokens, count(DISTINCT doc_id) AS docs FROM (SELECT field, doc_id, term, count(*) AS tf FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS field, doc_id, unnest(w) AS term FROM ({t})" for f, t in (("english.text", _ENGLISH), ("japanese.text", _PAIRS), ("japanese.text.kanji", _KANJI)))
+    + ") GROUP BY ALL) GROUP BY field"
+)
+def ft_index_ja(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What an index of two languages holds: words, pairs of Japanese letters, single kanji."""
+    index = fields_of(bilingual_index(spark, sf_dir), "english.text", "japanese.text", "japanese.text.kanji")
+    counts = index.postings.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    terms = index.stats.groupBy("field").agg(F.count("*").alias("terms"))
+    return counts.join(terms, "field").join(index.sizes.withColumnRenamed("n", "docs"), "field").select("field", "terms", "postings", "tokens", "docs")
+
+
+@query(search_sql(JA_PAIRS, tokens=_PAIRS))
+def ft_search_ja(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A search in Japanese: the phrase of its letter pairs, or three quarters of them."""
+    return page(search.search(fields_of(bilingual_index(spark, sf_dir), "japanese.text"), JA_WORD))
+
+
+@query(search_sql((KANJI,), mention="user", tokens=_KANJI).replace("CASE WHEN ptf > 0 THEN p ELSE 0 END", "0").replace(" OR ptf > 0", ""))
+def ft_kanji_search(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A search for a single kanji, in the field of kanji."""
+    return page(search.search(bilingual_index(spark, sf_dir), f"{KANJI} @user"))
+
+
+_MARKED = r"regexp_replace(en, '(?i)\b(of|the)\b([\s-]+(of|the)\b)*', '{M}\0{M}', 'g')".replace("{M}", chr(0xE000))
+
+
+def _highlights_sql() -> str:
+    found = search_sql(("of", "the"), tokens=_ENGLISH)
+    parts = f"SELECT doc_id, string_split({_MARKED}, chr(57344)) AS p FROM ({_CONV})"
+    span = lambda by: f"list_transform(range(2, len(p), 2), lambda i: (list_sum(list_transform(p[1:i - 1], lambda x: length(x))) + {by})::BIGINT || '-' || (list_sum(list_transform(p[1:i], lambda x: length(x))) + {by})::BIGINT)"
+    alone = f"SELECT doc_id, '@' AS search, '' AS english_highlights, '' AS japanese_highlights FROM (SELECT doc_id, source FROM ({_CONV}) WHERE lang = 'system') JOIN (SELECT role AS source, sum(count(*)) OVER () / (count(*) * count(*) OVER ()) AS weight FROM conversations GROUP BY role) USING (source) ORDER BY pow({_U}, 1 / weight) DESC, doc_id LIMIT {search.PAGE}"
+    return f"SELECT * FROM (SELECT doc_id, 'of the' AS search, array_to_string({span(0)}, ' ') AS english_highlights, array_to_string({span(1)}, ' ') AS japanese_highlights FROM ({found}) JOIN ({parts}) USING (doc_id)) UNION ALL SELECT * FROM ({alone})"
+
+
+@query(_highlights_sql())
+def ft_highlights(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Highlights of a page in both languages: those of the match, and where the alignment takes them; a speaker alone has none."""
+    index = fields_of(bilingual_index(spark, sf_dir), "english.text")
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ").alias(c)
+    pages = [search.search(index, q).select(F.col("id").alias("doc_id"), F.lit(q.split("system")[0]).alias("search"), shown("english_highlights"), shown("japanese_highlights")) for q in (QUERY, "@system")]
+    return pages[0].unionByName(pages[1])
