@@ -1,28 +1,30 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Test items are a stated query set, taken in blocks of at most ITEM_BYTES so that a block can go to all executors. For a block,
-every n-gram of an item is a seed, however frequent it is, so a copy of any part of an item, however much that part leaked, has
-seeds. One pass looks the seeds up in every document (a hash join with the small side in memory; texts don't move), gathers
-the hits of an item by place, and aligns the item with the words around them, unless the words that both have, counted
-without their order, can't reach the score. An alignment that scores `share` of a perfect one or more is a link,
-so copies with replaced, added or dropped words are found and chance n-grams aren't.
+"""Benchmark decontamination: rare n-gram seeds joined to documents, then Smith-Waterman alignment.
+
+Documents' n-grams are joined with those of the items, by equality of hashes; what joins is counted, so each gram of an item has
+its frequency in the corpus. Of every STRETCH grams of an item that occur, the RAREST ones (all that are as rare as the last)
+are its seeds: stop phrases go, yet any part of an item, however much that part leaked, keeps seeds. The places of seeds in a
+document, gathered by document and item, are joined to the texts, and the item is aligned with the words around them, unless
+the words that both have, counted without their order, can't reach the score. An alignment that scores `share` of a perfect
+one or more is a link, so copies with replaced, added or dropped words are found and chance n-grams aren't. Documents are read
+twice, however many items there are: for their grams, and those that hold seeds for their words.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import memo
-from .common import body, few, fresh, row_tag, table, tidied
+from .common import cut, few, fresh, row_tag, table, tidied
 
-#: Bytes of item texts in a block; words of a seed; scores of equal words, of unequal ones and of a gap.
-ITEM_BYTES, SEED, EQUAL, UNEQUAL, GAP = 2 << 20, 3, 2, -1, -1
+#: Words of a seed; neighbouring grams of an item of which the rarest ones are seeds; scores of equal words, of unequal ones and of a gap.
+SEED, STRETCH, RAREST, EQUAL, UNEQUAL, GAP = 3, 6, 4, 2, -1, -1
 #: Share of a perfect score, and equal words at least, of a link.
 SHARE, LEAST_WORDS = 0.4, 8
 #: Rows of an alignment between two that are kept.
@@ -35,11 +37,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def grams_of(words: list[bytes], n: int = SEED) -> Iterator[tuple[bytes, ...]]:
-    """The n-grams in order; a text of fewer words is one gram."""
-    return zip(*[words[i:] for i in range(n)], strict=False) if len(words) >= n else iter([tuple(words)] if words else [])
-
-
 def align(item: tuple, text: tuple) -> tuple[int, int, int, int]:
     """(score, equal words, begin, end) of the best local alignment of two word sequences; begin and end are places in text.
 
@@ -96,12 +93,11 @@ def _aligned(item: tuple, text: tuple) -> tuple[int, int, int, int]:
     return _remembered(item, text) if len(text) <= 500 else align(item, text)
 
 
-def windows(hits: list[tuple[int, int]], size: int, n_words: int) -> list[tuple[int, int]]:
-    """Stretches of a text around hits (place in text, place in item) of an item of `size` words, merged where they meet."""
+def windows(hits: list[tuple[int, int, int]], size: int, n_words: int) -> list[tuple[int, int]]:
+    """Stretches of a text around hits (place in the text, first and last place in an item of `size` words), merged where they meet."""
     slack = size // 2 + 2
     out: list[list[int]] = []
-    for at, k in sorted(hits):
-        a, b = max(0, at - k - slack), min(n_words, at - k + size + slack)
+    for a, b in sorted((max(0, at - high - slack), min(n_words, at - low + size + slack)) for at, low, high in hits):
         if out and a <= out[-1][1] and b - out[-1][0] <= 4 * size + 64:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -115,16 +111,27 @@ def shared(item: Counter, text: list[bytes]) -> int:
     return sum(min(n, item[w]) for w, n in there.items())
 
 
-def blocks_of(items: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """The items (item_id, words), a block after the other; null and blank items are left out."""
-    rows = items.select("item_id", body("text").alias("t"))
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-total // ITEM_BYTES) * 2 if total > ITEM_BYTES else 1)
-    for i in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "t"), F.lit(n)) == i) if n > 1 else rows
-        got = [(r[0], words_of(bytes(r[1]))) for r in part.orderBy("item_id", "t").collect()]
-        if got := [(i, w) for i, w in got if w]:
-            yield got
+def words_column(text: Column) -> Column:
+    """`words_of` for a column."""
+    low = F.translate(text, "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))
+    return F.filter(F.split(low, r"[\x00-/:-@\[-`{-\x7F]+"), lambda w: w != "")
+
+
+def exploded_grams(rows: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
+    """rows (keys, words) to (keys, at, gram): the hash of every run of each of the sizes, and where it begins."""
+    parts = []
+    for n in sizes:
+        every = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.lit(n), *[F.element_at("words", i + k) for k in range(n)]))  # noqa: B023
+        parts.append(rows.filter(F.size("words") >= n).select(*keys, F.posexplode(every).alias("at", "gram")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def seeds_of(grams: DataFrame, hits: DataFrame) -> DataFrame:
+    """(gram, item, low, high): the rarest grams of each stretch of an item that occur at all, and their first and last place in it."""
+    seen = grams.join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    rank = F.rank().over(Window.partitionBy("item", F.floor(F.col("at") / STRETCH)).orderBy("n"))
+    kept = seen.withColumn("r", rank).filter(F.col("r") <= RAREST)
+    return kept.groupBy("gram", "item").agg(F.min("at").alias("low"), F.max("at").alias("high"))
 
 
 def links(docs: DataFrame, items: DataFrame, share: float = SHARE, least: int = LEAST_WORDS) -> DataFrame:
@@ -135,53 +142,47 @@ def links(docs: DataFrame, items: DataFrame, share: float = SHARE, least: int =
     ASCII-lower-cased and split at all other ASCII than letters and digits. Null and blank documents and items have no
     link. Rows that repeat give one link. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", body("text").alias("t"))
-    kind, item_kind = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, identity double, begin bigint, end bigint"
-    found: DataFrame | None = None
-    for block in blocks_of(items):
-        seeds: dict[tuple, list[tuple[int, int]]] = {}
-        for k, (_, w) in enumerate(block):
-            for p, g in enumerate(grams_of(w)):
-                seeds.setdefault(g, []).append((k, p))
-        part = _linked(rows, block, seeds, share, least, schema)
-        found = part if found is None else found.unionByName(part)
-    return (found if found is not None else spark.createDataFrame([], schema)).distinct()
-
-
-def _linked(rows: DataFrame, block: list, seeds: dict, share: float, least: int, schema: str) -> DataFrame:
-    lengths = {len(g) for g in seeds}
-    counts = [Counter(w) for _, w in block]
-
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, score double, identity double, begin bigint, end bigint"
+    clean_text = F.coalesce(F.col("text"), F.lit(""))
+    known = cut(items.select("item_id", words_column(clean_text).alias("words")).filter(F.size("words") > 0).distinct().withColumn("item", F.monotonically_increasing_id()))
+    sizes = sorted(r[0] for r in known.select(F.least(F.size("words"), F.lit(SEED))).distinct().collect())  # three at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], schema)
+    short = F.size("words") < SEED
+    grams = cut(reduce(DataFrame.unionByName, [exploded_grams(known.filter(F.size("words") == n if n < SEED else ~short), [n], "item") for n in sizes]))
+    rows = docs.select("doc_id", clean_text.alias("t")).withColumn("tag", row_tag("doc_id", "t"))
+    every = exploded_grams(rows.select("tag", words_column(F.col("t")).alias("words")), sizes, "tag")
+    hits = cut(every.join(few(grams.select("gram").distinct()), "gram"))
+    places = hits.join(few(seeds_of(grams, hits)), "gram").distinct()
+    pairs = places.groupBy("tag", "item").agg(F.collect_list(F.struct("at", "low", "high")).alias("hits"))
+    asked = cut(pairs.join(known, "item").groupBy("tag").agg(F.collect_list(F.struct("item_id", "words", "hits")).alias("asked")))
+    # texts without seeds go before any move, where the tags of the others may be broadcast
+    found = rows.join(few(asked.select("tag")), "tag", "left_semi").join(asked, "tag").select("doc_id", F.col("t").cast("binary").alias("t"), "asked")
+    return found.mapInArrow(tidied(_aligner(share, least)), schema).distinct()
+
+
+def _aligner(share: float, least: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, t, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 w = words_of(t.as_py())
-                hits: dict[int, list[tuple[int, int]]] = {}
-                for n in lengths:
-                    if len(w) >= n:
-                        for at, g in enumerate(grams_of(w, n)):
-                            if g in seeds:
-                                for k, p in seeds[g]:
-                                    hits.setdefault(k, []).append((at, p))
-                for k, own in hits.items():
-                    item_id, item = block[k]
-                    best, top = None, EQUAL * len(item)
-                    for a, b in windows(own, len(item), len(w)):
-                        if EQUAL * shared(counts[k], w[a:b]) < share * top:
+                for ask in asked.as_py():
+                    item = [x.encode() for x in ask["words"]]
+                    count, best, top = Counter(item), None, EQUAL * len(item)
+                    for a, b in windows([(h["at"], h["low"], h["high"]) for h in ask["hits"]], len(item), len(w)):
+                        if EQUAL * shared(count, w[a:b]) < share * top:
                             continue
                         score, equal, i, j = _aligned(tuple(item), tuple(w[a:b]))
                         if best is None or score > best[0]:
                             best = (score, equal, a + i, a + j)
                     if best is not None and best[0] >= share * top and best[1] >= min(least, len(item)):
-                        out.append((doc, item_id, best[0] / top, best[1] / len(item), best[2], best[3]))
+                        out.append((doc, ask["item_id"], best[0] / top, best[1] / len(item), best[2], best[3]))
             cols = list(zip(*out, strict=True)) or [()] * 6
             types = (batch.schema.field(0).type, None, pa.float64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if t is not None else pa.array(c, pa.int64() if not c else None) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "score", "identity", "begin", "end"])
 
-    return rows.mapInArrow(tidied(run), schema)
+    return run
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

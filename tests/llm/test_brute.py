@@ -285,14 +285,32 @@ def test_leaks(spark, texts):
     assert len({(k, k) for k in items} & got) >= 0.95 * len(items) and all(d < 1000 for d, _ in got)
 
 
-def test_blocks_of_items(spark, monkeypatch, texts):
+def test_same_links_by_exchange(spark, monkeypatch):
+    """Where nothing is small enough to be broadcast, the joins go by exchange and give the same."""
     table = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     whole = sorted(map(tuple, decontaminate.links(docs, table).collect()))
-    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 3000)
+    monkeypatch.setattr(common, "FEW", 0)
     assert sorted(map(tuple, decontaminate.links(docs, table).collect())) == whole
 
 
+def test_recall_of_edited_items(spark, texts):
+    """Items with words replaced at random, between words of the corpus: nine of ten are found up to 30 % replaced, none elsewhere."""
+    items = dict(zip(*(c.to_pylist() for c in pq.read_table(f"{SF.replace('sf0.001', 'sf0.01')}/benchmark.parquet", columns=["item_id", "text"]).columns), strict=True))
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    vocab, rnd, rows = sorted({x for t in texts.values() for x in t.split()}), random.Random(12), []
+    around = lambda w: " ".join([*rnd.choices(vocab, k=60), *w, *rnd.choices(vocab, k=60)])
+    for share in (15, 20, 25, 30, 35, 40):
+        for again in range(5):
+            rows += [(share * 10**6 + again * 10**5 + k, around([rnd.choice(vocab) if rnd.random() < share / 100 else y for y in x.split()])) for k, x in items.items()]
+    rows += [(i, around(rnd.choices(vocab, k=40))) for i in range(300)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.links(plain(spark, rows), table).collect()}
+    recall = {share: sum((share * 10**6 + again * 10**5 + k, k) in got for again in range(5) for k in items) / (5 * len(items)) for share in (15, 20, 25, 30, 35, 40)}
+    print("recall by per cent of words replaced:", recall)
+    assert all(recall[s] >= 0.9 for s in (15, 20, 25, 30))
+    assert all(d >= 10**6 and d % 10**5 == k for d, k in got)
+
+
 def test_quality_query(spark, texts):
     labels = dict(zip(*(c.to_pylist() for c in pq.read_table(f"{SF}/labels.parquet", columns=["doc_id", "quality"]).columns), strict=True))
     right = total = 0
