@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import context
-from .operators import corpus, versions
+from .operators import corpus, rules, store, versions
 from .plans import lexicon, segment
 from .registry import query
 from .session import cut, shared_folder, table
@@ -113,3 +113,51 @@ def al_trained(spark, sf_dir):  # noqa: ANN001, ANN201
     own = F.filter("alignment_data", lambda a: F.translate(en(a), _LATIN, "あかさたなはまやらわいきしちにひみりうくすつぬふむゆ") == ja(a))
     covered = F.size(F.array_distinct(F.transform(own, lambda a: a["from_start"])))
     return both.select("id", "words", F.size("alignment_data").alias("alignments"), F.size(own).alias("right"), covered.alias("words_right"))
+
+
+# --- chains and picks ----------------------------------------------------------------------------------------------------------
+
+_LISTED = (
+    "n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN -o_custkey - 1 WHEN o_orderkey % 4 = 1 THEN o_orderkey - 1 END AS p, CASE WHEN o_orderkey % 6 = 2 THEN o_orderpriority END AS v FROM orders), "
+    "e AS (SELECT -o_custkey - 1 AS k, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS p FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey), a AS (SELECT * FROM n UNION ALL SELECT k, p, NULL FROM e)"
+)
+
+
+@query(f"WITH RECURSIVE {_LISTED}, w AS (SELECT k AS s, k, p, v, 0 AS i FROM a UNION ALL SELECT s, a.k, a.p, a.v, i + 1 FROM w JOIN a ON a.k = w.p WHERE w.v IS NULL AND i < 64) SELECT s AS npc, max(v) AS voice FROM w GROUP BY s")
+def rc_levelled_chain(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The first value along chains of templates, some of which are levelled lists that stand for their lowest entry; some end in cycles."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    parent = F.when(k % 4 == 0, -F.col("o_custkey") - 1).when(k % 4 == 1, k - 1)
+    nodes = o.select(k.alias("npc"), parent.alias("template"), F.when(k % 6 == 2, F.col("o_orderpriority")).alias("voice"))
+    entries = o.select((-F.col("o_custkey") - 1).alias("npc"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("level"), k.alias("item"))
+    return rules.follow_chain(rules.levelled_nodes(nodes, entries, "npc", "template", ["voice"]), "npc", "template", ["voice"])
+
+
+@query("WITH RECURSIVE a AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey // 2 END AS t, CASE WHEN p_name LIKE 'red%' THEN 'player' WHEN p_partkey % 5 = 0 THEN p_type END AS d FROM part), w AS (SELECT k AS s, k, t, d, 0 AS i FROM a UNION ALL SELECT s, a.k, a.t, a.d, i + 1 FROM w JOIN a ON a.k = w.t WHERE w.d IS NULL AND w.t <> w.k AND i < 64) SELECT s AS id, max(d) AS display FROM w GROUP BY s")
+def rc_display_name(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Display names of objects, else of their templates; an object whose name has the player's prefix is the player."""
+    k = F.col("p_partkey")
+    objects = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 9 != 0, F.floor(k / 2)).alias("template"), F.col("p_name").alias("name"), F.when(k % 5 == 0, F.col("p_type")).alias("display"))
+    return rules.display_names(objects, "red", "player")
+
+
+@query("SELECT l_orderkey, arg_min(l_partkey, (l_quantity, l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY l_orderkey")
+def ag_lowest_entry(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The entry of the lowest level of each list, of equal ones the first."""
+    return rules.lowest_entry(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_partkey", "l_linenumber")
+
+
+@query("SELECT topic, arg_min(npc, (('0x' || substr(md5('42|' || topic || '|' || npc), 1, 13))::BIGINT, npc)) AS npc FROM (SELECT DISTINCT l_orderkey AS topic, l_suppkey AS npc FROM lineitem) GROUP BY topic")
+def rc_seeded_pick(spark, sf_dir):  # noqa: ANN001, ANN201
+    """One of the distinct picks of each group, by a seeded hash."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("topic"), F.col("l_suppkey").alias("npc"))
+    return rules.seeded_pick(rows, "topic", "npc")
+
+
+@query("SELECT 'http://x/' || o_custkey || '#' || (o_orderkey % 3) AS uri, max(CASE WHEN o_orderstatus <> 'P' THEN 'n' || o_custkey || '-' || (o_orderkey % 3) END) OVER (PARTITION BY o_custkey, o_orderkey % 3) AS object_name, o_orderkey AS id FROM orders")
+def sk_cached_download(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Wanted addresses with the name of what is cached under each, fragment included; null is to be fetched."""
+    o = table(spark, sf_dir, "orders")
+    uri, name = F.concat(F.lit("http://x/"), "o_custkey", F.lit("#"), F.col("o_orderkey") % 3), F.concat(F.lit("n"), "o_custkey", F.lit("-"), F.col("o_orderkey") % 3)
+    cache = o.filter("o_orderstatus <> 'P'").select(uri.alias("original_uri"), name.alias("object_name")).distinct()
+    return store.cached_or_missing(o.select(uri.alias("uri"), F.col("o_orderkey").alias("id")), cache)

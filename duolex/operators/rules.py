@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,43 @@ from ..plans.search import uniform
 from ..session import cut
 
 
-def follow_chain(nodes: DataFrame, key: str, parent: str, values: list[str], depth: int = 32) -> DataFrame:
+def follow_chain(nodes: DataFrame, key: str, parent: str, values: list[str], depth: int | None = None) -> DataFrame:
     """Each node with the first non-null of each value along its chain of parents, itself first.
 
-    A chain is followed for `depth` nodes at least: for the next power of two, as each join doubles the length that is known,
-    so a chain of 32 takes five joins. Nodes that come again add nothing.
+    Pointers jump: a round joins the nodes that still lack a value with what their pointer's node knows and where that points,
+    so what is known of a chain doubles, and a chain of n nodes takes log2(n) joins. The rows of a round are kept, so a plan
+    has one join. A chain is followed to its end, or for `depth` nodes at least. Nodes that come again, as in a cycle, add nothing;
+    a chain can't be longer than there are nodes, which ends the rounds of a cycle. A parent that is no node ends a chain.
     """
-    nodes = nodes.select(key, parent, *values)
-    cur = nodes
-    for _ in range(max(1, (depth - 1).bit_length())):
+    nodes = nodes.select(key, F.when(F.col(parent) != F.col(key), F.col(parent)).alias(parent), *values)
+    lacks = reduce(Column.__or__, [F.col(v).isNull() for v in values]) & F.col(parent).isNotNull()
+    cur = cut(nodes)
+    rounds = max(1, ((depth or cur.count()) - 1).bit_length())
+    for _ in range(rounds):
         up = cur.select(F.col(key).alias("_k"), F.col(parent).alias("_p"), *[F.col(v).alias(f"_{v}") for v in values])
-        cur = cur.join(up, (cur[parent] == up["_k"]) & (cur[parent] != cur[key]), "left").select(key, F.when(F.col("_p") != F.col(key), F.col("_p")).alias(parent), *[F.coalesce(v, f"_{v}").alias(v) for v in values])
+        jumped = cur.filter(lacks).join(up, F.col(parent) == F.col("_k"), "left").select(key, F.col("_p").alias(parent), *[F.coalesce(v, f"_{v}").alias(v) for v in values])
+        cur = cut(jumped.unionByName(cur.filter(~lacks)))
+        if cur.filter(lacks).isEmpty():
+            break
     return cur.select(key, *values)
 
 
+def levelled_nodes(nodes: DataFrame, entries: DataFrame, key: str, parent: str, values: list[str], level: str = "level", item: str = "item", order: str | None = None) -> DataFrame:
+    """nodes together with the levelled lists of entries (key, level, item), each a node without values whose parent is its lowest entry.
+
+    A chain that leads to a list goes on with the entry of the lowest level, of equal ones the first; entries without a level
+    don't count.
+    """
+    lists = lowest_entry(entries.filter(F.col(level).isNotNull()), key, level, item, order).withColumnRenamed(item, parent)
+    return nodes.select(key, parent, *values).unionByName(lists.select(key, parent, *[F.lit(None).cast(dict(nodes.dtypes)[v]).alias(v) for v in values]))
+
+
+def display_names(objects: DataFrame, prefix: str, player, key: str = "id", template: str = "template", name: str = "name", display: str = "display") -> DataFrame:  # noqa: ANN001
+    """(key, display) of game objects: the player's text for one whose name has the prefix, else its own, else its template's."""
+    own = F.when(F.coalesce(F.col(name).startswith(prefix), F.lit(False)), F.lit(player)).otherwise(F.col(display))
+    return follow_chain(objects.select(key, template, own.alias(display)), key, template, [display])
+
+
 def chain_end(links: DataFrame, key: str, to: str, depth: int = 32) -> DataFrame:
     """(key, end): where the links from each key lead; a cycle ends at its last new node, a longer chain after `depth` links.
 
@@ -41,9 +66,9 @@ def chain_end(links: DataFrame, key: str, to: str, depth: int = 32) -> DataFrame
     return done.unionByName(walk.select("_s", "_at")).select(F.col("_s").alias(key), F.col("_at").alias("end"))
 
 
-def lowest_entry(entries: DataFrame, list_key: str, level: str, item: str) -> DataFrame:
-    """The lowest-level entry of each levelled list; of equal levels the first in order of the item."""
-    return entries.groupBy(list_key).agg(F.min_by(item, F.struct(level, item)).alias(item))
+def lowest_entry(entries: DataFrame, list_key: str, level: str, item: str, order: str | None = None) -> DataFrame:
+    """The lowest-level entry of each levelled list; of equal levels the first in an order, that of the item unless given."""
+    return entries.groupBy(list_key).agg(F.min_by(item, F.struct(level, *([order] if order else []), item)).alias(item))
 
 
 def negated(op: Column, value: Column) -> Column:
@@ -110,15 +135,25 @@ def valid_speakers(npcs: DataFrame, responses: DataFrame, voices: DataFrame) ->
 
 
 def winning(records: DataFrame, key: str = "form_key", priority: str = "priority") -> DataFrame:
-    """The record of the highest priority (lowest number) of each key, with the union of the children of all its overrides."""
+    """The record of the highest priority (lowest number) of each key, with the union of the children of all its overrides.
+
+    Children are told apart as rows before any are gathered, so a key's row holds each child once, however many overrides repeat it.
+    """
     rest = [c for c in records.columns if c not in (key, priority, "children")]
-    return records.groupBy(key).agg(F.min_by(F.struct(*rest), priority).alias("_r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("children")))).alias("children")).select(key, "_r.*", "children")
+    best = records.groupBy(key).agg(F.min_by(F.struct(F.lit(0).alias("_"), *rest), priority).alias("_r")).select(key, *[f"_r.{c}" for c in rest])
+    one = winning_children(records, key).groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list("child")).alias("children"))
+    return best.join(one, best[key].eqNullSafe(one["_k"]), "left").drop("_k").withColumn("children", F.coalesce("children", F.array()))
+
+
+def winning_children(records: DataFrame, key: str = "form_key") -> DataFrame:
+    """(key, child): the distinct children of all overrides of a key, a row each."""
+    return records.select(key, F.explode("children").alias("child")).distinct()
 
 
 def current_infos(infos: DataFrame, order: DataFrame) -> DataFrame:
     """infos (info, plugin, topic_plugin) not older than their topic: order (plugin, ord) is the load order."""
     a, b = order.select(F.col("plugin"), F.col("ord").alias("_a")), order.select(F.col("plugin").alias("topic_plugin"), F.col("ord").alias("_b"))
-    return infos.join(F.broadcast(a), "plugin").join(F.broadcast(b), "topic_plugin").filter("_a >= _b").select(*infos.columns)
+    return infos.join(a, "plugin").join(b, "topic_plugin").filter("_a >= _b").select(*infos.columns)
 
 
 def seeded_pick(rows: DataFrame, by: str, pick: str, seed: str = "42") -> DataFrame:
@@ -174,7 +209,7 @@ def scene_speakers(topics: DataFrame, actions: DataFrame, aliases: DataFrame) ->
     return topics.join(one, "topic").join(aliases, ["scene", "alias"]).select("topic", "npc")
 
 
-def resolve_aliases(aliases: DataFrame, external: DataFrame, depth: int = 16) -> DataFrame:
+def resolve_aliases(aliases: DataFrame, external: DataFrame, depth: int | None = None) -> DataFrame:
     """(quest, alias) to npc by the first strategy that gives any: created, forced, unique, conditions (columns of arrays), then
     the alias of another quest (external: quest, alias, to_quest, to_alias). A cycle gives none."""
     arrays = [F.when(F.size(c) > 0, F.col(c)) for c in ("created", "forced", "unique", "conditions")]

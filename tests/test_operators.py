@@ -120,6 +120,30 @@ def test_files_of_one_name(spark, tmp_path):
     assert {r.file for r in readers.text_lines(spark, str(tmp_path / "y" / "s.ks")).collect()} == {"s.ks"}
 
 
+def test_chains(spark):
+    """Chains of every length to 40, cycles, parents that are no nodes, levelled lists; the plan of a round has one join."""
+    n = "id int, up int, v string, w string"
+    rows = [(i, i + 1 if i < 40 else None, "end" if i == 40 else None, f"w{i}" if i % 7 == 0 else None) for i in range(41)]
+    rows += [(50, 51, None, None), (51, 52, None, "c"), (52, 50, None, None), (60, 60, None, None), (61, 999, None, "x"), (70, -1, None, None), (71, None, "list", None)]
+    d = spark.createDataFrame(rows, n)
+    entries = spark.createDataFrame([(-1, 5, 0, 40), (-1, 1, 2, 71), (-1, 1, 1, 10), (-1, None, 0, 50)], "id int, level int, ord int, item int")
+    all_nodes = rules.levelled_nodes(d, entries, "id", "up", ["v", "w"], order="ord")
+    got = {r.id: (r.v, r.w) for r in rules.follow_chain(all_nodes, "id", "up", ["v", "w"]).collect()}
+    for i in range(41):
+        first = next((f"w{j}" for j in range(i, 41) if j % 7 == 0), None)
+        assert got[i] == ("end", first)
+    assert [got[k] for k in (50, 51, 52, 60, 61)] == [(None, "c"), (None, "c"), (None, "c"), (None, None), (None, "x")]
+    assert got[-1] == got[70] == got[10]  # the first of the lowest entries goes on
+    objects = spark.createDataFrame([(1, None, "Tav_1", "own"), (2, 1, None, None), (3, None, "x", "three"), (4, 3, None, None)], "id int, template int, name string, display string")
+    assert {r.id: r.display for r in rules.display_names(objects, "Tav", "you").collect()} == {1: "you", 2: "you", 3: "three", 4: "three"}
+
+
+def test_winning_children_once(spark):
+    r = spark.createDataFrame([("k", 2, "late", ["a", "b"]), ("k", 1, "early", ["b", "c"]), ("k", 3, "x", None), ("m", 1, "y", []), (None, 1, "z", ["q"])], "form_key string, priority int, name string, children array<string>")
+    got = {x.form_key: (x.name, x.children) for x in rules.winning(r).collect()}
+    assert got == {"k": ("early", ["a", "b", "c"]), "m": ("y", []), None: ("z", ["q"])}
+
+
 def test_weights_of_a_null_group(spark):
     d = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id int, g string")
     assert {r.id: r.weight for r in corpus.with_weights(d, "g").collect()} == {1: 1.5, 2: 0.75, 3: 0.75}
