@@ -94,19 +94,18 @@ def postings_of(docs: DataFrame, fields=FIELDS) -> DataFrame:
     return docs.select("id", *[F.col(f"{x}.text").alias(x) for x in languages]).mapInArrow(run, f"field string, term string, id {kind}, tf bigint, positions array<struct<pos:int,start:int,end:int>>")
 
 
-def build_index(quotes: DataFrame, fields=FIELDS, path: str | None = None, partitions: int | None = None) -> Index:
-    """quotes to docs (with weights by source), postings (field, term, id, tf, positions), stats (df) and sizes (N by field), as tables.
+def checked_quotes(quotes: DataFrame) -> DataFrame:
+    """quotes, failing where a text holds the highlight marker."""
+    return quotes.withColumn("_ok", guard_marker(quotes)).filter(F.col("_ok").isNull()).drop("_ok")
 
-    They are written under path (one of its own in the shared folder unless given). Postings are ranged by field, term and
-    id, so a query reads few row groups, and a term that nearly all documents have is spread over several tasks.
-    """
-    spark = quotes.sparkSession
-    path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    docs = with_weights(quotes, "source").withColumn("_ok", guard_marker(quotes)).filter(F.col("_ok").isNull()).drop("_ok")
+
+def write_tables(docs: DataFrame, path: str, fields=FIELDS, partitions: int | None = None) -> None:
+    """Tables docs, postings (ranged by field, term and id), stats (df by field and term) and sizes (documents by field) under path."""
+    spark = docs.sparkSession
     docs.write.mode("overwrite").parquet(f"{path}/docs")
     stored = spark.read.parquet(f"{path}/docs")
-    dealt = stored.select("id", "english.text", F.col("japanese.text").alias("ja")).select("id", F.struct("text").alias("english"), F.struct(F.col("ja").alias("text")).alias("japanese"))
-    postings_of(dealt.repartition(partitions or session_partitions(stored)), fields).write.mode("overwrite").parquet(f"{path}/made")
+    texts = stored.select("id", F.struct("english.text").alias("english"), F.struct("japanese.text").alias("japanese"))
+    postings_of(texts.repartition(partitions or session_partitions(stored)), fields).write.mode("overwrite").parquet(f"{path}/made")
     made = spark.read.parquet(f"{path}/made")  # written, so texts are tokenized once
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["field", "term", "id"]
@@ -115,6 +114,18 @@ def build_index(quotes: DataFrame, fields=FIELDS, path: str | None = None, parti
     postings = spark.read.schema(made.schema).parquet(f"{path}/postings")
     postings.groupBy("field", "term").agg(F.count("*").alias("df")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/stats")
     remove(spark, f"{path}/made")
+
+
+def build_index(quotes: DataFrame, fields=FIELDS, path: str | None = None, partitions: int | None = None) -> Index:
+    """quotes to docs (with weights by source), postings (field, term, id, tf, positions), stats (df) and sizes (N by field), as tables.
+
+    They are written under path (one of its own in the shared folder unless given). Postings are ranged by field, term and
+    id, so a query reads few row groups, and a term that nearly all documents have is spread over several tasks.
+    `plans.growing` has an index that takes up, changes and drops documents.
+    """
+    spark = quotes.sparkSession
+    path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    write_tables(with_weights(checked_quotes(quotes), "source"), path, fields, partitions)
     return read_index(spark, path)
 
 

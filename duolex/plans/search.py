@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analyzers, spans
 from ..functions.text import HAN, HIRAGANA, KATAKANA, ranges
+from ..session import cut
 from .index import Index
 
 K1, PAGE, SHARE = 1.2, 39, 0.75
@@ -110,51 +111,69 @@ def _hits(index: Index, field: str, terms: list[str]) -> DataFrame:
     return p.join(F.broadcast(s), "term")
 
 
-def match(index: Index, field: str, terms: list[str], share: float) -> DataFrame:
-    """(id, score, positions) of documents with `share` of the distinct terms."""
+def match(index: Index, field: str, terms: list[str], share: float, places: bool = True) -> DataFrame:
+    """(id, score, positions) of documents with `share` of the distinct terms; without places no positions are read."""
     terms = list(dict.fromkeys(terms))
     hits = _hits(index, field, terms)
-    return hits.groupBy("id").agg(F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + K1)).alias("score"), F.count("*").alias("got"), F.flatten(F.collect_list("positions")).alias("positions")).filter(F.col("got") >= required(len(terms), share)).drop("got")
+    where = [F.flatten(F.collect_list("positions")).alias("positions")] if places else []
+    return hits.groupBy("id").agg(F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + K1)).alias("score"), F.count("*").alias("got"), *where).filter(F.col("got") >= required(len(terms), share)).drop("got")
 
 
-def phrase(index: Index, field: str, terms: list[tuple[str, int]]) -> DataFrame:
-    """(id, score, positions) of documents with the terms in order: a group by the place where the phrase would begin."""
+def phrase(index: Index, field: str, terms: list[tuple[str, int]], places: bool = True) -> DataFrame:
+    """(id, score, positions) of documents with the terms in order: a group by the place where the phrase would begin.
+
+    Without places only the number of a position is read and moved.
+    """
     order = [(t, p - terms[0][1]) for t, p in terms]
     hits = _hits(index, field, list({t for t, _ in order}))
     offsets = F.create_map(*[F.lit(x) for t in {t for t, _ in order} for x in (t, ",".join(str(p) for u, p in order if u == t))])
-    at = hits.select("id", "idf", "positions", F.explode(F.split(offsets[F.col("term")], ",")).alias("o")).select("id", "idf", F.col("o").cast("int").alias("o"), F.explode("positions").alias("p"))
+    spots = F.col("positions") if places else F.transform("positions", lambda p: F.struct(p["pos"].alias("pos")))
+    at = hits.select("id", "idf", spots.alias("positions"), F.explode(F.split(offsets[F.col("term")], ",")).alias("o")).select("id", "idf", F.col("o").cast("int").alias("o"), F.explode("positions").alias("p"))
     n = len({p for _, p in order})
-    begun = at.groupBy("id", (F.col("p.pos") - F.col("o")).alias("begin")).agg(F.count_distinct("o").alias("got"), F.sum("idf").alias("idf"), F.collect_list("p").alias("positions")).filter(F.col("got") == n)
-    return begun.groupBy("id").agg(F.max("idf").alias("idf"), F.count("*").alias("tf"), F.flatten(F.collect_list("positions")).alias("positions")).select("id", (F.col("idf") * F.col("tf") / (F.col("tf") + K1)).alias("score"), "positions")
+    kept = [F.collect_list("p").alias("positions")] if places else []
+    begun = at.groupBy("id", (F.col("p.pos") - F.col("o")).alias("begin")).agg(F.count_distinct("o").alias("got"), F.sum("idf").alias("idf"), *kept).filter(F.col("got") == n)
+    where = [F.flatten(F.collect_list("positions")).alias("positions")] if places else []
+    return begun.groupBy("id").agg(F.max("idf").alias("idf"), F.count("*").alias("tf"), *where).select("id", (F.col("idf") * F.col("tf") / (F.col("tf") + K1)).alias("score"), *(["positions"] if places else []))
+
+
+def scored(index: Index, q: Query, places: bool) -> DataFrame | None:
+    """Scores by clause of the documents that match one, (id, score, positions); None if the query has no terms."""
+    out = None
+    for kind, field, analyzer, share in clauses(q):
+        if tokens := analyzers.ANALYZERS[analyzer](q.text):
+            part = phrase(index, field, [t[:2] for t in tokens], places) if kind == "phrase" else match(index, field, [t[0] for t in tokens], share, places)
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def search(index: Index, query: str, culture: str = "en", seed: str = "42", limit: int = PAGE) -> DataFrame:
     """Rows (id, source, english, japanese, score, key, english_highlights, japanese_highlights), best first.
 
-    Documents are ranked by id, weight and speaker only; texts are read for the page.
+    Documents are ranked by id, weight and speaker only. Texts, and the places of the terms, are read for the page: the
+    clauses run again over the postings of its documents.
     """
     q = parse(query, culture)
     docs = index.docs.filter(F.lit(False)) if q.kind == "empty" else index.docs
     if q.mention:
         docs = docs.filter(F.col("english.speaker_name") == q.mention.replace("_", " "))
     other = "japanese" if q.language == "english" else "english"
-    scored = None
-    for kind, field, analyzer, share in clauses(q):
-        tokens = analyzers.ANALYZERS[analyzer](q.text)
-        if not tokens:
-            continue
-        part = phrase(index, field, [t[:2] for t in tokens]) if kind == "phrase" else match(index, field, [t[0] for t in tokens], share)
-        scored = part if scored is None else scored.unionByName(part)
     light = docs.select("id", "weight")
-    if scored is None:
-        found = (light if q.kind == "mention" else light.filter(F.lit(False))).withColumns({"score": F.lit(0.0), "hit": F.array().cast(spans.SPANS)})
+    ranked = scored(index, q, places=False)
+    if ranked is None:
+        found = (light if q.kind == "mention" else light.filter(F.lit(False))).withColumn("score", F.lit(0.0))
     else:
-        total = scored.groupBy("id").agg(F.sum("score").alias("score"), F.flatten(F.collect_list("positions")).alias("positions"))
-        found = light.join(total, "id").withColumn("hit", F.array_distinct(F.transform("positions", lambda p: spans.span(p["start"], p["end"])))).drop("positions")
+        found = light.join(ranked.groupBy("id").agg(F.sum("score").alias("score")), "id")
     best = F.desc(F.round("score", 6)), F.desc("key"), "id"
-    page = found.withColumn("key", random_key(seed, F.col("id"), F.col("weight"))).orderBy(*best).limit(limit).drop("weight")
+    page = cut(found.withColumn("key", random_key(seed, F.col("id"), F.col("weight"))).orderBy(*best).limit(limit).drop("weight"))
     top = index.docs.join(F.broadcast(page), "id")  # a page of rows
-    own = spans.merge(F.col("hit"), F.col(f"{q.language}.text"))
+    if ranked is None:
+        top = top.withColumn("hit", F.array().cast(spans.SPANS))
+    else:
+        own = Index(index.docs, index.postings.join(F.broadcast(page.select("id")), "id", "left_semi"), index.stats, index.sizes)
+        places = scored(own, q, places=True).groupBy("id").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+        hit = F.array_distinct(F.transform("positions", lambda p: spans.span(p["start"], p["end"])))
+        top = top.join(F.broadcast(places), "id").withColumn("hit", hit).drop("positions")
+    own_spans = spans.merge(F.col("hit"), F.col(f"{q.language}.text"))
     rest = spans.mapped(F.col("own"), F.col("alignment_data"), F.col(f"{other}.text"), q.language == "english")
-    top = top.withColumn("own", own).withColumn(f"{q.language}_highlights", F.col("own")).withColumn(f"{other}_highlights", rest)
+    top = top.withColumn("own", own_spans).withColumn(f"{q.language}_highlights", F.col("own")).withColumn(f"{other}_highlights", rest)
     return top.orderBy(*best).select("id", "source", "english", "japanese", "score", "key", "english_highlights", "japanese_highlights")

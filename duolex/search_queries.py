@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import analyzers, spans
 from .functions import text as T
 from .operators import store
-from .plans import search
+from .plans import growing, search
 from .plans.index import Index, build_index
 from .registry import query
 from .session import shared_folder, table
@@ -320,3 +320,36 @@ def ft_highlights(spark, sf_dir):  # noqa: ANN001, ANN201
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ").alias(c)
     pages = [search.search(index, q).select(F.col("id").alias("doc_id"), F.lit(q.split("system")[0]).alias("search"), shown("english_highlights"), shown("japanese_highlights")) for q in (QUERY, "@system")]
     return pages[0].unionByName(pages[1])
+
+
+_GROWN = _TOKENS.replace("FROM documents", "FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 7 = 3 THEN 'of the ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1)")
+
+
+def _grown(spark: SparkSession, sf_dir: str, compacted: bool) -> Index:
+    """An index that took documents up in two parts, then changed a seventh and dropped a fifth of them."""
+    path = f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}"
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    side = lambda text: F.struct(F.coalesce("lang", F.lit("")).alias("speaker_name"), F.lit("").alias("context"), text.alias("text"), F.lit(0).alias("word_count"), F.lit("").alias("notes"), F.lit(None).cast("string").alias("audio_file"))
+    quotes = lambda rows, text: rows.select(k.alias("id"), "source", side(text).alias("english"), side(F.lit("")).alias("japanese"), F.array().cast(spans.ALIGNMENTS).alias("alignment_data"))
+    text, only = F.coalesce("text", F.lit("")), ((BASE, "english", "default"),)
+    growing.put(quotes(d.filter(k % 2 == 0), text), path, only)
+    growing.put(quotes(d.filter(k % 2 == 1), text), path)
+    growing.put(quotes(d.filter(k % 7 == 3), F.concat(F.lit("of the "), text)), path)
+    growing.drop(d.filter(k % 5 == 1).select(k.alias("id")), path)
+    if compacted:
+        growing.compact(spark, path)
+    return growing.read(spark, path)
+
+
+@query(search_sql(tuple(QUERY.split()), tokens=_GROWN))
+def ft_growing_index(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A search of an index to which documents were added, of which some were changed and some dropped since."""
+    return page(search.search(_grown(spark, sf_dir, False), QUERY))
+
+
+@query(f"SELECT field, count(DISTINCT term) AS terms, count(*) AS postings, sum(tf)::BIGINT AS tokens, count(DISTINCT doc_id) AS docs FROM (SELECT '{BASE}' AS field, doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM ({_GROWN})) GROUP BY doc_id, term) GROUP BY field")
+def ft_compacted_index(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What such an index holds once its live documents are one segment."""
+    index = _grown(spark, sf_dir, True)
+    counts = index.postings.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    return counts.join(index.stats.groupBy("field").agg(F.count("*").alias("terms")), "field").join(index.sizes.withColumnRenamed("n", "docs"), "field").select("field", "terms", "postings", "tokens", "docs")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duolex.operators import corpus, rules, store, versions
-from duolex.plans import align
+from duolex.plans import align, growing
 from duolex.plans.index import MARKER, build_index, read_index
 from duolex.plans.search import search
 from duolex.sources import html, readers
@@ -159,6 +159,36 @@ def quotes(spark):
     return spark.createDataFrame(rows, f"id long, source string, english {t}, japanese {t}, alignment_data array<struct<from_start:int,from_end:int,to_start:int,to_end:int>>")
 
 
+def test_growing_index(spark, tmp_path):
+    """Documents added, changed and dropped: every table, and a search, are those of an index built anew."""
+    p, q = str(tmp_path / "growing"), quotes(spark)
+    changed = q.filter("id = 2").withColumn("source", F.lit("C")).withColumn("english", F.col("english").withField("text", F.lit("Reporting late, Tama")))
+    new = q.filter("id = 3").withColumn("id", F.lit(4).cast("long"))
+    growing.put(q.filter("id <> 3"), p)
+    growing.put(q.filter("id = 3"), p)
+    growing.put(changed.unionByName(new), p)
+    growing.drop(spark.createDataFrame([(3,), (99,)], "id long"), p)
+    whole = build_index(q.filter("id = 1").unionByName(changed).unionByName(new))
+    rows = lambda t, *c: sorted(map(str, t.select(*c).collect()))
+
+    def same():
+        got = growing.read(spark, p)
+        assert rows(got.docs, "id", "source", "weight", "english") == rows(whole.docs, "id", "source", "weight", "english")
+        assert rows(got.postings, "field", "term", "id", "tf", "positions") == rows(whole.postings, "field", "term", "id", "tf", "positions")
+        assert rows(got.stats, "field", "term", "df") == rows(whole.stats, "field", "term", "df")
+        assert rows(got.sizes, "field", "n") == rows(whole.sizes, "field", "n")
+        assert rows(search(got, "reporting"), "id", "score", "english_highlights") == rows(search(whole, "reporting"), "id", "score", "english_highlights")
+
+    same()
+    before = versions.version(spark, p)
+    assert growing.drop(spark.createDataFrame([(3,)], "id long"), p) == before  # nothing to drop
+    with pytest.raises(ValueError, match="twice"):
+        growing.put(new.unionByName(new), p)
+    assert versions.version(spark, p) == before
+    growing.compact(spark, p)
+    same()
+
+
 def test_search(spark, tmp_path):
     index = build_index(quotes(spark))
     got = search(index, "reporting for duty").collect()
