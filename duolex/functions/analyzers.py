@@ -1,7 +1,7 @@
 """Text analysis for the index: a text to tokens (term, pos, start, end), Arrow-batched.
 
 Plain functions take a string; `analyzed` lifts them to columns. The analyzer of Japanese inflection is an approximation by
-script runs and a small table of endings: there is no dictionary to look words up in. It can be replaced through `register`.
+rules of endings (`functions.inflection`): there is no dictionary to look words up in. It can be replaced through `register`.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ TOKENS = "array<struct<term:string,pos:int,start:int,end:int>>"
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 #: Combining marks of kana, which carry meaning and are kept when accents are folded.
 KANA_MARKS = chr(0x3099) + chr(0x309A)
-#: Endings that the approximate Japanese analyzer takes off a run that begins with kanji, longest first.
-ENDINGS = ("ませんでした", "させられる", "なかった", "られる", "ました", "ません", "させる", "ている", "てる", "ない", "ます", "れる", "れば", "った", "って", "んだ", "んで", "いた", "いて", "した", "して", "たい", "く", "い", "う", "る", "た", "て", "だ", "で")
 
 
 def _class(points) -> str:  # noqa: ANN001
@@ -240,20 +238,10 @@ DERIVED: dict[str, tuple[str, Callable[[str], str | None]]] = {"english_conjugat
 
 
 def japanese_conjugation_tokens(text: str) -> list[Token]:
-    """Base forms of runs of two letters or more, in hiragana where written in katakana. Approximate."""
-    re = _regex()
-    clean, at = normalized(text)
-    out = []
-    for i, m in enumerate(re.finditer(f"{_class(HAN)}+{_class(HIRAGANA)}*|(?:{_class(KATAKANA)}|ー)+|{_class(HIRAGANA)}+|[\\p{{L}}\\p{{N}}]+", clean)):
-        term = m[0]
-        if re.match(_class(HAN), term):
-            for e in ENDINGS:
-                if term.endswith(e) and len(term) > len(e):
-                    term = term.removesuffix(e)
-                    break
-        if len(m[0]) >= 2:
-            out.append((hiragana(term.lower()), i, at[m.start()], max(at[m.end()], at[m.start()] + 1)))
-    return out
+    """Stems of inflected words, see `functions.inflection`."""
+    from .inflection import analysed
+
+    return analysed(text)
 
 
 ANALYZERS: dict[str, Callable[[str], list[Token]]] = {

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .functions import context
+from .functions import analyzers, context
 from .operators import corpus, rules, store, versions
 from .plans import lexicon, segment
-from .registry import query
+from .registry import query, values
 from .session import cut, shared_folder, table
 from .sources import readers
 
@@ -161,3 +161,39 @@ def sk_cached_download(spark, sf_dir):  # noqa: ANN001, ANN201
     uri, name = F.concat(F.lit("http://x/"), "o_custkey", F.lit("#"), F.col("o_orderkey") % 3), F.concat(F.lit("n"), "o_custkey", F.lit("-"), F.col("o_orderkey") % 3)
     cache = o.filter("o_orderstatus <> 'P'").select(uri.alias("original_uri"), name.alias("object_name")).distinct()
     return store.cached_or_missing(o.select(uri.alias("uri"), F.col("o_orderkey").alias("id")), cache)
+
+
+# --- inflection ------------------------------------------------------------------------------------------------------------------
+
+
+def paradigms() -> list[tuple[str, str]]:
+    """(kanji, what follows): forms of godan verbs of all rows, ichidan verbs, adjectives and a noun with its verb."""
+    out: list[tuple[str, str]] = []
+    rows = {"書": "かきくけこいた", "泳": "がぎぐげごいだ", "話": "さしすせそした", "待": "たちつてとった", "死": "なにぬねのんだ", "呼": "ばびぶべぼんだ", "読": "まみむめもんだ", "走": "らりるれろった", "買": "わいうえおった"}
+    polite, desire = ("ます", "ました", "ません", "ませんでした", "ましょう"), ("たい", "たかった", "たくない", "たくなかった")
+    for kanji, (a, i, u, e, o, t, d) in rows.items():
+        te = t + ("て" if d == "た" else "で")
+        forms = [u, o + "う", e + "ば", e + "る", i + "ながら", t + d, t + d + "ら", te, te + "いる", te + "いなかった", te + "る"]
+        forms += [i + x for x in polite + desire] + [a + x for x in ("ない", "なかった", "なければ", "れる", "れた", "せる", "せられた", "せられませんでした", "せたくなかった")]
+        out += [(kanji, f) for f in forms]
+    for stem in ("見", "食べ", "起き"):
+        out += [(stem[0], stem[1:] + x) for x in ("る", "れば", "よう", "た", "て", "たら", "ている", "ていた", "ない", "なかった", "られる", "られない", "させる", "させられませんでした", *polite, *desire)]
+    out += [("高", x) for x in ("い", "く", "くて", "かった", "ければ", "くない", "くなかった")]
+    return out + [("勉強", x) for x in ("する", "します", "しました", "しない", "した", "している", "すれば", "される", "させられた", "したい")]
+
+
+_FORMS = [(i, stem, rest) for i, (stem, rest) in enumerate(paradigms())]
+_TENS = "concat(" + ", ".join(f"CASE WHEN d // {u} % 10 > 1 THEN substr('〇一二三四五六七八九', (d // {u} % 10 + 1)::INT, 1) ELSE '' END, CASE WHEN d // {u} % 10 > 0 THEN '{c}' ELSE '' END" for u, c in ((1000, "千"), (100, "百"), (10, "十"))) + ", CASE WHEN d % 10 > 0 THEN substr('〇一二三四五六七八九', (d % 10 + 1)::INT, 1) ELSE '' END)"
+
+
+@query("WITH " + values("f", "k, stem, rest", _FORMS) + f", t AS (SELECT c_custkey AS id, stem, stem || rest || '。一万' || {_TENS} AS s, length(stem || rest) AS n, d FROM (SELECT *, c_custkey % 10000 AS d FROM customer) JOIN f ON f.k = c_custkey % {len(_FORMS)}) SELECT id, stem AS term, 0 AS pos, 0 AS start, n::INT AS stop FROM t UNION ALL SELECT id, (10000 + d)::VARCHAR, 1, (n + 1)::INT, length(s)::INT FROM t")
+def ft_ja_inflections(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Every form of a word has the word's stem as its term; numbers in kanji are numbers in digits."""
+    k, d = F.col("c_custkey"), F.col("c_custkey") % 10000
+    at = (k % len(_FORMS) + 1).cast("int")
+    word = F.concat(F.element_at(F.array(*[F.lit(x[1]) for x in _FORMS]), at), F.element_at(F.array(*[F.lit(x[2]) for x in _FORMS]), at))
+    digit = lambda n: F.substring(F.lit("〇一二三四五六七八九"), (n + 1).cast("int"), F.lit(1))
+    places = [x for u, c in ((1000, "千"), (100, "百"), (10, "十")) for n in [F.floor(d / u) % 10] for x in (F.when(n > 1, digit(n)).otherwise(""), F.when(n > 0, c).otherwise(""))]
+    text = F.concat(word, F.lit("。一万"), *places, F.when(d % 10 > 0, digit(d % 10)).otherwise(""))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.explode(analyzers.analyzed(text, "japanese_conjugations")).alias("t"))
+    return rows.select("id", "t.term", "t.pos", "t.start", F.col("t.end").alias("stop"))

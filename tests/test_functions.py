@@ -223,3 +223,20 @@ def test_scn_errors(spark):
         bad.select(T.scn_plain(F.col("s"))).collect()
     ok = spark.createDataFrame([(r"50\% \\ \& [ruby]x",)], "s string").select(T.scn_plain(F.col("s"))).first()[0]
     assert ok == "50% \\ & x"
+
+
+def test_inflection():
+    """Forms of one word share a term, with the place of the whole form; particles go, numbers are digits."""
+    from duolex.functions import inflection
+    from duolex.language_queries import paradigms
+
+    for stem, rest in paradigms():
+        assert inflection.analysed(stem + rest) == [(stem, 0, 0, len(stem + rest))]
+    for forms in ("集まる 集まります 集まらない 集まった 集まっている", "起こす 起こした 起こします", "楽しい 楽しくて 楽しかった", "上がる 上がった"):
+        assert len({inflection.analysed(f)[0][0] for f in forms.split()}) == 1
+    terms = lambda t: [x[0] for x in inflection.analysed(t)]
+    assert terms("本を読んでいなかった") == ["読"] and terms("カメラを買わなければならない")[:2] == ["かめら", "買"]
+    assert terms("先生です") == ["先生"] and terms("１２，３４５と百万") == ["12345", "1000000"] and terms("二〇二四年") == ["2024"]
+    assert [inflection.number(n) for n in ("二十三", "三千五百", "一億二千万", "5万", "千", "3.14", "十")] == ["23", "3500", "120000000", "50000", "1000", "3.14", "10"]
+    assert terms("") == [] and terms("…!") == [] and inflection.analysed("Ⅻ読む")[-1][2:] == (1, 3)
+    assert len(inflection.analysed("読" + "あ" * 5000)) >= 1
