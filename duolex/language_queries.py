@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .functions import analyzers, context
+from .functions import analyzers, context, text
 from .operators import corpus, rules, store, versions
 from .plans import lexicon, segment
 from .registry import query, values
@@ -194,6 +194,32 @@ def ft_ja_inflections(spark, sf_dir):  # noqa: ANN001, ANN201
     word = F.concat(F.element_at(F.array(*[F.lit(x[1]) for x in _FORMS]), at), F.element_at(F.array(*[F.lit(x[2]) for x in _FORMS]), at))
     digit = lambda n: F.substring(F.lit("〇一二三四五六七八九"), (n + 1).cast("int"), F.lit(1))
     places = [x for u, c in ((1000, "千"), (100, "百"), (10, "十")) for n in [F.floor(d / u) % 10] for x in (F.when(n > 1, digit(n)).otherwise(""), F.when(n > 0, c).otherwise(""))]
-    text = F.concat(word, F.lit("。一万"), *places, F.when(d % 10 > 0, digit(d % 10)).otherwise(""))
-    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.explode(analyzers.analyzed(text, "japanese_conjugations")).alias("t"))
+    said = F.concat(word, F.lit("。一万"), *places, F.when(d % 10 > 0, digit(d % 10)).otherwise(""))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.explode(analyzers.analyzed(said, "japanese_conjugations")).alias("t"))
     return rows.select("id", "t.term", "t.pos", "t.start", F.col("t.end").alias("stop"))
+
+
+# --- the ranking experiment, ratios -------------------------------------------------------------------------------------------------
+
+#: Rankings, and the places up to which sources are counted.
+SEEDS = 1000
+CUTS = (10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 200, 300, 400, 500, 1000, 2000, 3000, 5000, 10000)
+
+
+@query(
+    "WITH w AS (SELECT source, sum(count(*)) OVER () / (count(*) * count(*) OVER ()) AS weight FROM documents GROUP BY source), "
+    f"k AS (SELECT seed, doc_id, source, pow((('0x' || substr(md5(seed || '|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0), 1 / weight) AS key FROM documents JOIN w USING (source), range({SEEDS}) s(seed)), "
+    "r AS (SELECT source, row_number() OVER (PARTITION BY seed ORDER BY key DESC, doc_id) AS r FROM k) "
+    f"SELECT source, cut::INT AS cut, count(*) AS hits FROM r JOIN (SELECT unnest([{', '.join(map(str, CUTS))}]) AS cut) ON r <= cut GROUP BY ALL"
+)
+def ag_ranking_experiment(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A thousand weighted random rankings at once: how often each source is among the first 10 to 10,000."""
+    d = corpus.with_weights(table(spark, sf_dir, "documents").select("doc_id", "source"), "source")
+    return corpus.ranking_experiment(d, SEEDS, CUTS, id_="doc_id")
+
+
+@query(f"SELECT p_partkey, round(len(regexp_extract_all(s, '{text.JAPANESE_LETTERS}')) / length(s), 6) AS ratio, len(regexp_extract_all(s, '{text.JAPANESE_LETTERS}')) > 0.5 * length(s) AS dropped FROM (SELECT p_partkey, p_brand || repeat('鳳あ', p_size) AS s FROM part)")
+def fl_japanese_ratio(spark, sf_dir):  # noqa: ANN001, ANN201
+    """English texts of which more than half is in Japanese letters are no English."""
+    ratio = text.japanese_ratio(F.concat("p_brand", F.expr("repeat('鳳あ', p_size)")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(ratio, 6).alias("ratio"), (ratio > 0.5).alias("dropped"))

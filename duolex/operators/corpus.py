@@ -146,3 +146,18 @@ def import_corpus(lines: DataFrame, source: str, source_id: int, align=None, jap
     one = deduplicated(flat)
     aligned = align(one) if align else one.withColumn("alignment_data", F.array().cast(ALIGNMENTS))
     return quotes(aligned, source, pack_index(F.lit(source_id), F.col("index")), japanese_words(one) if japanese_words else script_runs)
+
+
+def ranking_experiment(rows: DataFrame, seeds: int, cuts: tuple[int, ...], id_: str = "id", by: str = "source", weight: str = "weight") -> DataFrame:
+    """(by, cut, hits): how often rows of each group are among the first `cut` of a weighted random ranking, over all seeds together.
+
+    Seeds are the numbers from 0 on. All rankings are made in one pass: a task keeps the best of its rows for each seed, as a
+    ranking by rank does, so at most max(cuts) rows a seed and task are moved. Groups that never come have no row.
+    """
+    from ..plans.search import random_key
+
+    keyed = rows.select(id_, by, weight, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    keyed = keyed.withColumn("_key", random_key(F.col("seed").cast("string"), F.col(id_), F.col(weight)))
+    top = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("_key"), id_))).filter(F.col("_r") <= max(cuts))
+    counted = top.groupBy(by).agg(*[F.count_if(F.col("_r") <= c).alias(str(c)) for c in cuts])
+    return counted.unpivot(by, [str(c) for c in cuts], "cut", "hits").select(by, F.col("cut").cast("int").alias("cut"), "hits").filter("hits > 0")

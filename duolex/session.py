@@ -33,8 +33,16 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one under the warehouse where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
+    """The folder that all executors share, `spark.checkpoint.dir`.
+
+    Where the session names none it is one under the warehouse, as in tests, but on a local master only: on a cluster a path that
+    nobody chose may be a local disk.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", ""):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -230,10 +230,10 @@ def quotes_of(rows: DataFrame, key: str = "page_id", name: Column | None = None)
     scenario only are repeats. context and context_ja are the scenario in both languages; name is the speaker's.
     """
     from ..functions.context import kept_notes, translated
-    from ..functions.text import JAPANESE_LETTERS, format_english, format_japanese, is_missing
+    from ..functions.text import format_english, format_japanese, is_missing, japanese_ratio
 
     r = rows.withColumns({"english": format_english(F.col("english")), "japanese": format_japanese(F.col("japanese")), "notes": kept_notes(F.col("notes"))})
-    r = r.filter(~is_missing(F.col("english")) & ~is_missing(F.col("japanese"))).filter(F.regexp_count("english", F.lit(JAPANESE_LETTERS)) / F.length("english") <= 0.5)
+    r = r.filter(~is_missing(F.col("english")) & ~is_missing(F.col("japanese"))).filter(japanese_ratio(F.col("english")) <= 0.5)
     r = r.withColumn("_c", translated(F.col("scenario"), F.lit("") if name is None else name)).withColumns({"context": F.col("_c.english"), "context_ja": F.col("_c.japanese")}).drop("_c")
     first = Window.partitionBy(key, "context", "english", "japanese", "audio").orderBy("row")
     r = r.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
