@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import analyzers, context, text
-from .operators import corpus, rules, store, versions
+from .operators import corpus, intervals, rules, store, versions
 from .plans import lexicon, segment
 from .registry import query, values
 from .session import cut, shared_folder, table
@@ -223,3 +223,20 @@ def fl_japanese_ratio(spark, sf_dir):  # noqa: ANN001, ANN201
     """English texts of which more than half is in Japanese letters are no English."""
     ratio = text.japanese_ratio(F.concat("p_brand", F.expr("repeat('鳳あ', p_size)")))
     return table(spark, sf_dir, "part").select("p_partkey", F.round(ratio, 6).alias("ratio"), (ratio > 0.5).alias("dropped"))
+
+
+# --- intervals -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH l AS (SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE l_suppkey END AS k, floor(l_extendedprice)::BIGINT AS s, floor(l_extendedprice + l_quantity * CASE WHEN l_orderkey % 100 = 1 THEN 40 ELSE 1 END)::BIGINT AS e FROM lineitem), "
+    "o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS k, floor(o_totalprice)::BIGINT AS s, floor(o_totalprice)::BIGINT + o_orderkey % 40 AS e FROM orders) "
+    "SELECT o_orderkey, count(*) AS lines, min(l_orderkey) AS first_order FROM l JOIN o ON l.k = o.k AND l.e > o.s AND l.s < o.e GROUP BY o_orderkey"
+)
+def jn_intervals(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Orders and lines of one key whose ranges of prices overlap; a third of both sides has the same key."""
+    long = F.when(F.col("l_orderkey") % 100 == 1, 40).otherwise(1)
+    key = lambda k, other: F.when(F.col(k) % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col(other)).alias("k")
+    a = table(spark, sf_dir, "lineitem").select("l_orderkey", key("l_orderkey", "l_suppkey"), F.floor("l_extendedprice").alias("start"), F.floor(F.col("l_extendedprice") + F.col("l_quantity") * long).alias("end"))
+    b = table(spark, sf_dir, "orders").select("o_orderkey", key("o_orderkey", "o_custkey"), F.floor("o_totalprice").alias("start_r"), (F.floor("o_totalprice") + F.col("o_orderkey") % 40).alias("end_r"))
+    return intervals.overlapping(a, b, ["k"]).groupBy("o_orderkey").agg(F.count("*").alias("lines"), F.min("l_orderkey").alias("first_order"))

@@ -323,3 +323,27 @@ def test_small_text_functions(spark):
     got = d.select(T.speaker_or_placeholder(F.col("n"), F.col("l")).alias("n"), T.stage_trim(F.col("s")).alias("s"), T.blank_to_null(F.col("n")).alias("b")).collect()
     assert [tuple(r) for r in got] == [("Unknown", "x", None), ("Ann", "y", "Ann")]
     assert [r.t for r in d.orderBy(T.title_order(F.col("t"))).collect()] == ["A", "b"]
+
+
+def test_intervals_by_all_pairs(spark):
+    """Intervals of all lengths, empty ones, negative places, null keys and ends; one key has a third of the rows."""
+    import random
+
+    from duolex.operators import intervals
+
+    rnd = random.Random(5)
+
+    def made(n):
+        out = []
+        for i in range(n):
+            s = rnd.randrange(-200, 3000)
+            out.append((i, None if i % 50 == 7 else 0 if i % 3 == 0 else rnd.randrange(5), s, None if i % 60 == 11 else s + rnd.choice([0, 1, 2, 3, 8, 9, 50, 700, 5000])))
+        return [*out, out[3]]
+
+    a, b = made(200), made(150)
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] == y[1] and x[3] is not None and y[3] is not None and x[3] > y[2] and x[2] < y[3])
+    left = spark.createDataFrame(a, "i int, k int, start long, end long")
+    right = spark.createDataFrame(b, "j int, k int, start_r long, end_r long")
+    got = intervals.overlapping(left, right, ["k"])
+    assert sorted((r.i, r.j) for r in got.collect()) == want and set(got.columns) == {"i", "j", "k", "start", "end", "start_r", "end_r"}
+    assert intervals.overlapping(left.limit(0), right, ["k"]).collect() == []
