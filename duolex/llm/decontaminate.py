@@ -112,9 +112,8 @@ def shared(item: Counter, text: list[bytes]) -> int:
 
 
 def words_column(text: Column) -> Column:
-    """`words_of` for a column."""
-    low = F.translate(text, "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))
-    return F.filter(F.split(low, r"[\x00-/:-@\[-`{-\x7F]+"), lambda w: w != "")
+    """`words_of` for a column, but for letters beyond ASCII, which are put in lower case too: grams by it are a few more, not fewer."""
+    return F.array_remove(F.split(F.lower(text), r"[\x00-/:-@\[-`{-\x7F]+"), "")
 
 
 def exploded_grams(rows: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
@@ -144,7 +143,7 @@ def links(docs: DataFrame, items: DataFrame, share: float = SHARE, least: int =
     """
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, score double, identity double, begin bigint, end bigint"
     clean_text = F.coalesce(F.col("text"), F.lit(""))
-    known = cut(items.select("item_id", words_column(clean_text).alias("words")).filter(F.size("words") > 0).distinct().withColumn("item", F.monotonically_increasing_id()))
+    known = cut(items.select("item_id", clean_text.alias("own")).distinct().withColumn("words", words_column(F.col("own"))).filter(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()))
     sizes = sorted(r[0] for r in known.select(F.least(F.size("words"), F.lit(SEED))).distinct().collect())  # three at most
     if not sizes:
         return docs.sparkSession.createDataFrame([], schema)
@@ -155,7 +154,7 @@ def links(docs: DataFrame, items: DataFrame, share: float = SHARE, least: int =
     hits = cut(every.join(few(grams.select("gram").distinct()), "gram"))
     places = hits.join(few(seeds_of(grams, hits)), "gram").distinct()
     pairs = places.groupBy("tag", "item").agg(F.collect_list(F.struct("at", "low", "high")).alias("hits"))
-    asked = cut(pairs.join(known, "item").groupBy("tag").agg(F.collect_list(F.struct("item_id", "words", "hits")).alias("asked")))
+    asked = cut(pairs.join(known, "item").groupBy("tag").agg(F.collect_list(F.struct("item_id", "own", "hits")).alias("asked")))
     # texts without seeds go before any move, where the tags of the others may be broadcast
     found = rows.join(few(asked.select("tag")), "tag", "left_semi").join(asked, "tag").select("doc_id", F.col("t").cast("binary").alias("t"), "asked")
     return found.mapInArrow(tidied(_aligner(share, least)), schema).distinct()
@@ -168,7 +167,7 @@ def _aligner(share: float, least: int):  # noqa: ANN202
             for doc, t, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 w = words_of(t.as_py())
                 for ask in asked.as_py():
-                    item = [x.encode() for x in ask["words"]]
+                    item = words_of(ask["own"].encode())
                     count, best, top = Counter(item), None, EQUAL * len(item)
                     for a, b in windows([(h["at"], h["low"], h["high"]) for h in ask["hits"]], len(item), len(w)):
                         if EQUAL * shared(count, w[a:b]) < share * top:
