@@ -39,6 +39,8 @@ def _endings() -> str:
 
 
 INFLECTED = re.compile(_endings())
+#: Beginnings of the forms of する.
+NOUN_VERB = re.compile("し|す(?:る|れ)|さ(?:れ|せ)")
 #: Most kana of a stem; kana that a stem doesn't have right after kanji, as they are particles; what may follow one in が.
 #: Kana that a stem and its endings may have together, more than any chain of them comes to.
 LONGEST_CHAIN = 32
@@ -120,7 +122,10 @@ def base_tokens(text: str) -> list[tuple[str, int, int, int]]:
         elif m["k"]:
             o = m.start("o")
             keep, end = split_okurigana(m["o"])
-            add(text[m.start() : o + keep] if end else m["k"], m.start(), o + end)
+            if not keep and o - m.start() >= 2 and NOUN_VERB.match(m["o"]):  # a noun with the verb する, a word by itself
+                add(m["k"], m.start(), o)
+            else:
+                add(text[m.start() : o + keep] if end else m["k"], m.start(), o + end)
             if o + end < m.end():
                 kana(o + end, m.end())
         elif m["h"]:

@@ -186,9 +186,9 @@ _FORMS = [(i, stem, rest) for i, (stem, rest) in enumerate(paradigms())]
 _TENS = "concat(" + ", ".join(f"CASE WHEN d // {u} % 10 > 1 THEN substr('〇一二三四五六七八九', (d // {u} % 10 + 1)::INT, 1) ELSE '' END, CASE WHEN d // {u} % 10 > 0 THEN '{c}' ELSE '' END" for u, c in ((1000, "千"), (100, "百"), (10, "十"))) + ", CASE WHEN d % 10 > 0 THEN substr('〇一二三四五六七八九', (d % 10 + 1)::INT, 1) ELSE '' END)"
 
 
-@query("WITH " + values("f", "k, stem, rest", _FORMS) + f", t AS (SELECT c_custkey AS id, stem, stem || rest || '。一万' || {_TENS} AS s, length(stem || rest) AS n, d FROM (SELECT *, c_custkey % 10000 AS d FROM customer) JOIN f ON f.k = c_custkey % {len(_FORMS)}) SELECT id, stem AS term, 0 AS pos, 0 AS start, n::INT AS stop FROM t UNION ALL SELECT id, (10000 + d)::VARCHAR, 1, (n + 1)::INT, length(s)::INT FROM t")
+@query("WITH " + values("f", "k, stem, rest", _FORMS) + f", t AS (SELECT c_custkey AS id, stem, stem || rest || '。一万' || {_TENS} AS s, length(stem || rest) AS n, d FROM (SELECT *, c_custkey % 10000 AS d FROM customer) JOIN f ON f.k = c_custkey % {len(_FORMS)}) SELECT id, stem AS term, 0 AS pos, 0 AS start, CASE WHEN length(stem) > 1 THEN length(stem) ELSE n END::INT AS stop FROM t UNION ALL SELECT id, (10000 + d)::VARCHAR, 1, (n + 1)::INT, length(s)::INT FROM t")
 def ft_ja_inflections(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Every form of a word has the word's stem as its term; numbers in kanji are numbers in digits."""
+    """Every form of a word has the word's stem as its term, and its place, but that a noun's verb is left out; numbers in kanji are digits."""
     k, d = F.col("c_custkey"), F.col("c_custkey") % 10000
     at = (k % len(_FORMS) + 1).cast("int")
     word = F.concat(F.element_at(F.array(*[F.lit(x[1]) for x in _FORMS]), at), F.element_at(F.array(*[F.lit(x[2]) for x in _FORMS]), at))

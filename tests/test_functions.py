@@ -231,7 +231,8 @@ def test_inflection():
     from duolex.language_queries import paradigms
 
     for stem, rest in paradigms():
-        assert inflection.analysed(stem + rest) == [(stem, 0, 0, len(stem + rest))]
+        end = len(stem) if len(stem) > 1 else len(stem + rest)  # the verb of a noun isn't part of it
+        assert inflection.analysed(stem + rest) == [(stem, 0, 0, end)]
     for forms in ("集まる 集まります 集まらない 集まった 集まっている", "起こす 起こした 起こします", "楽しい 楽しくて 楽しかった", "上がる 上がった"):
         assert len({inflection.analysed(f)[0][0] for f in forms.split()}) == 1
     terms = lambda t: [x[0] for x in inflection.analysed(t)]
