@@ -30,3 +30,16 @@ def test_first_word(spark, tmp_path):
     texts = ["foo the.Bar the", "in the:x", "of theé and the end", "see the's", "Thé the thè", "THE end", "x-the the", "the_a the", "thén the", "then the", "the™ x", "a the½ the", "ſo the", "no", "", None, "the the"]
     got = same(spark, tmp_path, "ft_highlight_offsets", "documents", [(i, "s", "en", t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, text string")
     assert len(got) > 8
+
+
+def test_members_of_a_condition(spark, tmp_path):
+    """Every supplier whose key has a condition's remainder is a candidate, however many there are."""
+    spark.createDataFrame([(k,) for k in (5, 6, 45, 85, 125, 165)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    line = [(1, 1, 5, 1, 1.0, "A", "O"), (2, 1, 5, 1, 1.0, "A", "O"), (2, 2, 6, 2, 1.0, "A", "O")]
+    spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, QUERIES["rc_producer_filter"](spark, str(tmp_path)).collect()))
+    duck = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(duck.execute(f"select topic, npc from ({ORACLES['rc_producer_filter']})").fetchall())
+    assert [x for x in got if x[0] == 1] == [(1, 5), (1, 45), (1, 85), (1, 125), (1, 165)]
