@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import versions
 from ..session import cut, remove
-from .index import FIELDS, Index, checked_quotes, postings_of, write_tables
+from .index import FIELDS, Index, checked_quotes, postings_of, stored_table, write_tables
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -32,7 +32,7 @@ def _state(spark: SparkSession, path: str) -> tuple[int, dict]:
 def live(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A table of all segments, without the rows of documents that are gone from a segment."""
     _, m = _state(spark, path)
-    every = _union([spark.read.parquet(f"{path}/{s}/{table}").withColumn("_s", F.lit(i)) for i, s in enumerate(m["segments"])])
+    every = _union([stored_table(spark, f"{path}/{s}", table).withColumn("_s", F.lit(i)) for i, s in enumerate(m["segments"])])
     if not m["gone"]:
         return every.drop("_s")
     gone = _union([spark.read.parquet(f"{path}/{g}/ids") for g in m["gone"]]).groupBy("id").agg(F.max("below").alias("below"))

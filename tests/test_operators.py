@@ -204,6 +204,30 @@ def test_search(spark, tmp_path):
     assert [r.id for r in search(again, "reporting for duty").collect()] == [r.id for r in got]
 
 
+def test_postings_stay_with_their_documents(spark, tmp_path):
+    """A document's postings of a field are in one file, whatever their terms: they were sorted where they were made."""
+    path = str(tmp_path / "ix")
+    index = build_index(quotes(spark), path=path, partitions=3)
+    at = index.postings.withColumn("f", F.input_file_name()).groupBy("field", "id").agg(F.count_distinct("f").alias("n"), F.count("*").alias("terms"))
+    assert at.filter("n > 1").isEmpty() and at.agg(F.max("terms")).first()[0] > 1
+    assert index.postings.filter("term is null").isEmpty() and index.stats.filter("term is null").isEmpty()
+
+
+def test_phrase_counts(spark):
+    """In a row, as by the places; the phrase with a word twice too."""
+    from duolex.plans.search import phrase, phrase_counts
+
+    texts = ["a b a b", "b a", "a a a", "a b", "x a b a"]
+    q = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id long, source string, t string")
+    side = lambda t: F.struct(F.lit("").alias("speaker_name"), F.lit("").alias("context"), t.alias("text"), F.lit(0).alias("word_count"), F.lit("").alias("notes"), F.lit(None).cast("string").alias("audio_file"))
+    index = build_index(q.select("id", "source", side(F.col("t")).alias("english"), side(F.lit("")).alias("japanese"), F.array().cast("array<struct<from_start:int,from_end:int,to_start:int,to_end:int>>").alias("alignment_data")), fields=(("english.text", "english", "default"),))
+    for terms, want in (("a b", {0: 2, 3: 1, 4: 1}), ("a a", {2: 2}), ("a b a", {0: 1, 4: 1})):
+        words = [(t, i) for i, t in enumerate(terms.split())]
+        assert {r.id: r.tf for r in phrase_counts(index, "english.text", words).collect()} == want
+        scores = lambda d: {r.id: round(r.score, 9) for r in d.collect()}
+        assert scores(phrase(index, "english.text", words, places=False)) == scores(phrase(index, "english.text", words))
+
+
 def test_marker_guard(spark):
     bad = quotes(spark).withColumn("english", F.col("english").withField("text", F.lit("a" + MARKER)))
     with pytest.raises(Exception, match="marker"):
