@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import overlap
+from ..session import partitions
 
 #: Levels of bins: a bin of level n is 2 ** n wide. The last takes whatever is longer, in as many bins as it covers.
 LEVELS = 40
+#: Levels between two that a side keeps, and rows of both sides for a task.
+STEP, EACH = 5, 250_000
 
 
 def level(start: Column, end: Column) -> Column:
@@ -16,6 +19,32 @@ def level(start: Column, end: Column) -> Column:
     return F.least(F.ceil(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))), F.lit(LEVELS)).cast("int")
 
 
+def kept_levels(rows: DataFrame) -> list[int]:
+    """The levels that a side's intervals are dealt by: few, so that the other side is there few times.
+
+    From the level that most rows have or lie below upwards, one in `STEP`, and the highest one used. A bin is then wider than an
+    interval at most 2 ** STEP times, or as wide as that of a usual one.
+    """
+    n = {r["_own"]: r["n"] for r in rows.groupBy("_own").agg(F.count("*").alias("n")).collect() if r["_own"] is not None}  # LEVELS + 1 at most
+    if not n:
+        return []
+    used, most, below = sorted(n), sum(n.values()), 0
+    for usual in used:
+        below += n[usual]
+        if 2 * below >= most:
+            break
+    out = [usual]
+    for x in used:
+        if x >= out[-1] + STEP or x == used[-1] > out[-1]:
+            out.append(x)
+    return out
+
+
+def _at_least(levels: list[int], own: Column) -> Column:
+    """The lowest of the levels that isn't below an interval's own."""
+    return F.array_min(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= own))
+
+
 def _binned(rows: DataFrame, start: str, end: str, levels: Column) -> DataFrame:
     """rows once for each bin of each of the levels that the interval lies in."""
     at = rows.withColumn("_level", F.explode(levels))
@@ -28,20 +57,29 @@ def overlapping(left: DataFrame, right: DataFrame, on: list[str], start: str = "
     """Pairs of rows of equal keys whose intervals [start, end) of whole numbers overlap; each pair once.
 
     left and right have the key columns and, on the right, start and end named with the suffix `_r`; other columns must differ.
-    The longer interval of a pair is dealt by its own level, the shorter one by all levels from its own to the highest of the
-    other side, so a row is there at most twice a level however long the longest is. The join is on key, level and bin: a key
-    that very many rows share is spread over its bins. Of a pair's bins the one of the later start counts. Null keys and
-    null ends join nothing; an empty interval overlaps those that hold its place within.
+    Each side keeps a few levels (`kept_levels`) and deals its intervals by the lowest of them that is as wide. The longer interval of a
+    pair stays on that level, the shorter one is dealt by the other side's levels from its own up, so a row is there at most
+    twice a kept level of the other side. The join is on key, level and bin: a key that very many rows share is spread over
+    its bins, and tasks follow the number of rows. Of a pair's bins the one of the later start counts. Null keys and null ends
+    join nothing; an empty interval overlaps those that hold its place within.
     """
     start_r, end_r = f"{start}_r", f"{end}_r"
-    l = left.withColumn("_own", level(F.col(start), F.col(end)))  # noqa: E741
-    r = right.withColumn("_own_r", level(F.col(start_r), F.col(end_r)))
-    used = sorted({x[0] for side, own in ((l, "_own"), (r, "_own_r")) for x in side.select(own).distinct().collect() if x[0] is not None})  # LEVELS + 1 at most
-    every = F.array(*[F.lit(x) for x in used]).cast("array<int>")
+    l = left.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_own", level(F.col(start), F.col(end)))  # noqa: E741
+    r = right.filter(F.col(start_r).isNotNull() & F.col(end_r).isNotNull()).withColumn("_own", level(F.col(start_r), F.col(end_r)))
+    of_l, of_r = kept_levels(l), kept_levels(r)
+    if not of_l or not of_r:
+        return left.join(right, on).limit(0)
+    l, r = l.withColumn("_own", _at_least(of_l, F.col("_own"))), r.withColumn("_own_r", _at_least(of_r, F.col("_own"))).drop("_own")
+    every = lambda levels: F.array(*[F.lit(x) for x in levels]).cast("array<int>")
     keys = [*on, "_level", "_bin"]
-    # the right one is as long or longer: it stays on its own level, the left one goes up to it; then the other way round
-    up = _binned(l, start, end, F.filter(every, lambda x: x >= F.col("_own"))).join(_binned(r, start_r, end_r, F.array("_own_r")), keys)
-    down = _binned(l, start, end, F.array("_own")).join(_binned(r, start_r, end_r, F.filter(every, lambda x: x > F.col("_own_r"))), keys).filter("_own > _own_r")
+    n = partitions(left, EACH, left.count() + right.count())
+    met = lambda a, b: a.repartition(n, *keys).join(b.repartition(n, *keys), keys)
+    # the right one's level is as high or higher: it stays there, the left one goes up to it; then the other way round
+    up = met(_binned(l, start, end, F.filter(every(of_r), lambda x: x >= F.col("_own"))), _binned(r, start_r, end_r, F.array("_own_r"))).drop("_own", "_own_r")
+    both = up
+    if of_l[-1] > of_r[0]:
+        low = l.filter(F.col("_own") > of_r[0])  # others are as low as any of the right ones
+        both = up.unionByName(met(_binned(low, start, end, F.array("_own")), _binned(r, start_r, end_r, F.filter(every(of_l), lambda x: x > F.col("_own_r")))).drop("_own", "_own_r"))
     later = F.floor(F.greatest(start, start_r) / F.expr("shiftleft(1L, _level)"))
-    both = up.unionByName(down).filter((later == F.col("_bin")) & overlap(F.col(start), F.col(end), F.col(start_r), F.col(end_r)))
-    return both.drop("_level", "_bin", "_own", "_own_r")
+    both = both.filter((later == F.col("_bin")) & overlap(F.col(start), F.col(end), F.col(start_r), F.col(end_r)))
+    return both.drop("_level", "_bin")
