@@ -304,6 +304,38 @@ def test_html():
     assert html.table_links(page) == [{"number": 12, "href": "/s", "name": "Ship", "other_name": "船"}]
 
 
+def test_long_pages():
+    """A page of very many rows: time and memory follow its length, rows within rows and after others stay in order."""
+    import time
+    import tracemalloc
+
+    pair = '<tr><td rowspan="2"><b>E {}</b></td><td>en</td></tr><tr><td>ja</td></tr>'
+    took = []
+    for n in (1000, 8000):
+        page = '<div class="mw-parser-output"><table>' + "".join(pair.format(i) for i in range(n)) + "</table></div>"
+        t = time.process_time()
+        assert [r["scenario"] for r in html.quote_rows(page)] == [f"E {i}" for i in range(n)]
+        took.append(time.process_time() - t)
+    assert took[1] < 30 * took[0]  # 8 times the rows; 64 times the time if each row looked through all
+    page = "<table>" + "".join(f'<tr><td>{i}</td><td><a href="/n{i}">C</a> c</td></tr>' for i in range(20_000)) + "</table>"
+    tracemalloc.start()
+    assert len(html.table_links(page)) == 20_000
+    assert tracemalloc.get_traced_memory()[1] < 24e6  # 37 MB as a whole tree
+    tracemalloc.stop()
+    inner = '<div class="mw-parser-output"><table>' + pair.format(2) + "</table></div>"
+    page = '<div class="mw-parser-output"><table>' + pair.format(1) + f"<tr><td>{inner}</td></tr>" + pair.format(3) + "</table></div>"
+    assert [r["scenario"] for r in html.quote_rows(page)] == ["E 1", "E 2", "E 3"]
+
+
+def test_kept_levels(spark):
+    """A side of many lengths keeps few levels, and its highest."""
+    from duolex.operators import intervals
+
+    d = spark.range(1000).selectExpr("cast(log2(id + 1) as int) as _own")
+    got = intervals.kept_levels(d)
+    assert len(got) <= 2 and got[-1] == 9 and intervals.kept_levels(d.limit(0)) == []
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
