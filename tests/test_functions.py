@@ -241,3 +241,16 @@ def test_inflection():
     assert [inflection.number(n) for n in ("二十三", "三千五百", "一億二千万", "5万", "千", "3.14", "十")] == ["23", "3500", "120000000", "50000", "1000", "3.14", "10"]
     assert terms("") == [] and terms("…!") == [] and inflection.analysed("Ⅻ読む")[-1][2:] == (1, 3)
     assert len(inflection.analysed("読" + "あ" * 5000)) >= 1
+
+
+def test_tokens_in_batches(spark):
+    """Tokens of many texts, null, empty and long ones among them, are those of each alone; they leave Python as Arrow arrays."""
+    import pyarrow as pa
+
+    from duolex.functions import analyzers
+
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else "Aa bb 鏡かた " * (i % 5) for i in range(450)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    got = {r.id: [tuple(x) for x in r.k] for r in d.select("id", analyzers.analyzed(d.t, "default").alias("k")).collect()}
+    assert got == {i: [tuple(t) for t in analyzers.default_tokens(x)] if x else [] for i, x in enumerate(texts)}
+    assert len(analyzers._token_lists(pa.array([], pa.string()), analyzers.default_tokens)) == 0
