@@ -50,7 +50,7 @@ def read(spark: SparkSession, path: str) -> Index:
     weight = groups.join(F.broadcast(whole)).select(F.col("source").alias("_g"), (F.col("all") / (F.col("n") * F.col("groups"))).alias("weight"))
     docs = live(spark, path, "docs")
     docs = docs.join(weight, docs["source"].eqNullSafe(weight["_g"])).drop("_g")
-    return Index(docs, live(spark, path, "postings"), summed("stats", ["field", "term"], "df"), summed("sizes", ["field"], "n"))
+    return Index(docs, live(spark, path, "postings"), summed("stats", ["field", "term"], "df"), summed("sizes", ["field"], "n"), live(spark, path, "counts"))
 
 
 def _commit(spark: SparkSession, path: str, at: int, segments: list[str], gone: list[str], fields) -> int:  # noqa: ANN001
@@ -70,7 +70,7 @@ def _corrections(spark: SparkSession, path: str, name: str, ids: DataFrame, belo
         return False
     old.select("id", F.lit(below).alias("below")).write.parquet(f"{path}/{name}/ids")
     old.groupBy("source").agg((-F.count("*")).alias("n")).write.parquet(f"{path}/{name}/sources")
-    made = cut(postings_of(old, fields).groupBy("field", "term").agg((-F.count("*")).alias("n")))
+    made = cut(postings_of(old, fields).groupBy("field", "term").agg((-F.sum("df")).alias("n")))
     made.filter("term is not null").withColumnRenamed("n", "df").write.parquet(f"{path}/{name}/stats")
     made.filter("term is null").select("field", "n").write.parquet(f"{path}/{name}/sizes")
     return True
