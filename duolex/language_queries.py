@@ -239,4 +239,4 @@ def jn_intervals(spark, sf_dir):  # noqa: ANN001, ANN201
     key = lambda k, other: F.when(F.col(k) % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col(other)).alias("k")
     a = table(spark, sf_dir, "lineitem").select("l_orderkey", key("l_orderkey", "l_suppkey"), F.floor("l_extendedprice").alias("start"), F.floor(F.col("l_extendedprice") + F.col("l_quantity") * long).alias("end"))
     b = table(spark, sf_dir, "orders").select("o_orderkey", key("o_orderkey", "o_custkey"), F.floor("o_totalprice").alias("start_r"), (F.floor("o_totalprice") + F.col("o_orderkey") % 40).alias("end_r"))
-    return intervals.overlapping(a, b, ["k"]).groupBy("o_orderkey").agg(F.count("*").alias("lines"), F.min("l_orderkey").alias("first_order"))
+    return intervals.overlap_counts(a, b, ["k"], "o_orderkey", "l_orderkey").select("o_orderkey", F.col("n").alias("lines"), F.col("l_orderkey").alias("first_order"))
